@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,12 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that spark.checkpoint.dir names; a folder of our own only where none is set."""
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder that spark.checkpoint.dir names, read again; a folder of our own only where none is set (tests).
+
+    The table cuts the lineage and outlives lost executors. It stays until the folder is cleared.
+    """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="intelweave-"))
-    return df.checkpoint()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="intelweave-")
+        spark.sparkContext.setCheckpointDir(shared)
+    path = f"{shared.rstrip('/')}/intelweave-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, *size_of: str) -> DataFrame:
