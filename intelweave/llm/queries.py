@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, packing, quality, token_counts
+from . import chat, decontaminate, html_text, line_dedup, packing, quality, token_counts, warc
 from .common import table
 
 
@@ -52,6 +52,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return done.select(F.col("source_id").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "payload_digest", "record")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_formatting": op2_chat_formatting,
@@ -59,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
+    "op9_warc_derivatives": op9_warc_derivatives,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 _ESCAPED = r"replace(replace(replace(replace({}, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>'), '<+>', '<\+>')"
