@@ -141,3 +141,17 @@ def verdict(measured: DataFrame, lang_col: str = "lang", bands: dict[str, tuple[
             fits = F.when(F.col(lang_col) == lang, inside(*band)).otherwise(fits)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ((F.col("n_tokens") < VERDICT_FROM) | fits))
+
+
+def good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that the verdict keeps, all columns as they are. The rows are judged where they lie; no join."""
+    names = [c.split()[0] for c in MEASURES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in blocks(batches, "__text"):
+            yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, _measure(texts, tokenizer_path(VOCABULARY)))], ["__row", *names])
+
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_col).alias("__text"))
+    kind = row.schema["__row"].dataType.simpleString()
+    judged = verdict(row.mapInArrow(run, f"__row {kind}, {MEASURES}").withColumn("__lang", F.col(f"__row.{lang_col}").cast("string")), "__lang")
+    return judged.filter("kept").select("__row.*")
