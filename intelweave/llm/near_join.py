@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -54,11 +53,11 @@ def least_matches(threshold: float, tolerance: float = TOLERANCE) -> dict[int, i
     return out
 
 
-def surviving(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of rows that no look at the posterior drops, and their equal values."""
-    alive, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
+def surviving(a: np.ndarray, b: np.ndarray, threshold: float, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs (a[i], b[j]) that no look at the posterior drops, and their equal values."""
+    alive, equal = np.arange(len(i)), np.zeros(len(i), np.int64)
     for n, least in least_matches(threshold).items():
-        equal[alive] += (a[alive, n - STEP : n] == b[alive, n - STEP : n]).sum(1)
+        equal[alive] += np.count_nonzero(a[i[alive], n - STEP : n] == b[j[alive], n - STEP : n], axis=1)
         alive = alive[equal[alive] >= least]
     return alive, equal[alive]
 
@@ -157,56 +156,104 @@ def _prune(threshold: float):
         for b in batches:
             if b.num_rows:
                 xs, ys = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
-                alive, equal = surviving(xs, ys, threshold)
+                all_ = np.arange(len(xs))
+                alive, equal = surviving(xs, ys, threshold, all_, all_)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(alive)), b.column(1).take(pa.array(alive)), pa.array(equal / HASHES)], ["x", "y", "share"])
 
     return run
 
 
-def _block(threshold: float):
-    """Links between the members of one block. side 0 and 1: the two chunks; side 2: a chunk with itself."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["cls", "side"])
-        same = bool((pdf.side == 2).any())
-        left = pdf if same else pdf[pdf.side == 0]
-        right = left if same else pdf[pdf.side == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"cls": [], "links": [], "least": []})
-        sets = {c: np.frombuffer(s, np.uint64) for c, s in zip(pdf.cls, pdf["set"], strict=True)}
-        sig = {c: np.frombuffer(s, np.uint8) for c, s in zip(pdf.cls, pdf["sig"], strict=True)}
-        lc, rc = left.cls.to_numpy(), right.cls.to_numpy()
-        ls, rs = np.stack([sig[c] for c in lc]), np.stack([sig[c] for c in rc])
-        docs = dict(zip(pdf.cls, pdf.docs, strict=True))
+def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, as products of 0-1 matrices over the shared members."""
+    flat = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    first = np.concatenate([[True], flat[1:] != flat[:-1]])
+    column = np.cumsum(first) - 1
+    several = np.bincount(column)[column] > 1
+    column, row = column[several], row[several]
+    column = np.cumsum(np.concatenate([[False], column[1:] != column[:-1]])) if len(column) else column
+    out = np.zeros((len(a), len(b)), np.float32)
+    wide = 1 << 14
+    bounds = np.searchsorted(column, np.arange(0, (int(column[-1]) + 1 if len(column) else 0) + wide, wide))
+    for k, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if e > s:
+            m = np.zeros((len(a) + len(b), min(wide, int(column[e - 1]) - k * wide + 1)), np.float32)
+            m[row[s:e], column[s:e] - k * wide] = 1
+            out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def _links(left: list[tuple], right: list[tuple], same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the similar pairs of two chunks of members (cls, docs, sig, set)."""
+    i, j = np.triu_indices(len(left), 1) if same else (x.ravel() for x in np.indices((len(left), len(right))))
+    ls, rs = (np.frombuffer(b"".join(m[2] for m in x), np.uint8).reshape(-1, HASHES) for x in (left, right))
+    alive, _ = surviving(ls, rs, threshold, i, j)
+    i, j = i[alive], j[alive]
+    a, b = ([np.frombuffer(m[3], np.uint64) for m in x] for x in (left, right))
+    size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    both = size_a[i] + size_b[j]
+    fits = np.minimum(size_a[i], size_b[j]) >= threshold / (1 + threshold) * both - 1e-9
+    i, j, both = i[fits], j[fits], both[fits]
+    if len(i) > 64:
+        rows, cols = np.unique(i), np.unique(j)
+        counts = _shared_counts([a[k] for k in rows], [b[k] for k in cols])
+        shared = counts[np.searchsorted(rows, i), np.searchsorted(cols, j)].astype(np.int64)
+    else:
+        shared = np.array([len(np.intersect1d(a[x], b[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
+    similar = shared >= threshold * (both - shared) - 1e-9
+    return i[similar], j[similar]
+
+
+def _blocks_linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, side, cls, docs, sig, set) sorted by unit, to (cls, links, least) of the members with links.
+
+    A unit is a pair of chunks, sides 0 and 1, or a chunk with itself, side 2. least is the least class that the
+    links of the unit connect a member to.
+    """
+    out: list[tuple] = []
+
+    def compare(members: dict[int, dict[int, tuple]]) -> None:
+        same = 2 in members
+        left = list(members.get(2 if same else 0, {}).values())
+        right = left if same else list(members.get(1, {}).values())
+        if not left or not right or (same and len(left) < 2):
+            return
         links: dict[int, int] = {}
-        root = {c: c for c in sets}
+        root: dict[int, int] = {}
 
         def find(c):
-            while root[c] != c:
+            while root.setdefault(c, c) != c:
                 root[c] = root[root[c]]
                 c = root[c]
             return c
 
-        for i, c in enumerate(lc.tolist()):
-            lo = i + 1 if same else 0
-            if lo >= len(rc):
-                continue
-            alive, _ = surviving(np.broadcast_to(ls[i], (len(rc) - lo, HASHES)), rs[lo:], threshold)
-            for k in (alive + lo).tolist():
-                d = int(rc[k])
-                a, b = sets[c], sets[d]
-                need = threshold / (1 + threshold) * (len(a) + len(b))
-                if min(len(a), len(b)) < need:
-                    continue
-                both = np.count_nonzero(np.isin(a, b, assume_unique=True)) if len(a) < len(b) else np.count_nonzero(np.isin(b, a, assume_unique=True))
-                if both >= threshold * (len(a) + len(b) - both):
-                    links[c] = links.get(c, 0) + docs[d]
-                    links[d] = links.get(d, 0) + docs[c]
-                    x, y = find(c), find(d)
-                    root[max(x, y)] = min(x, y)
-        return pd.DataFrame({"cls": list(links), "links": list(links.values()), "least": [find(c) for c in links]})
+        for i, j in zip(*(x.tolist() for x in _links(left, right, same, threshold)), strict=True):
+            (c, cd), (d, dd) = left[i][:2], right[j][:2]
+            links[c] = links.get(c, 0) + dd
+            links[d] = links.get(d, 0) + cd
+            x, y = find(c), find(d)
+            root[max(x, y)] = min(x, y)
+        out.extend((c, n, find(c)) for c, n in links.items())
 
-    return run
+    def flush() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["cls", "links", "least"])
+        out.clear()
+        return batch
+
+    key, members = None, {}
+    for b in batches:
+        for unit, side, *member in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            if unit != key:
+                compare(members)
+                key, members = unit, {}
+                if len(out) > 1 << 14:
+                    yield flush()
+            members.setdefault(side, {})[member[0]] = tuple(member)
+    compare(members)
+    if out:
+        yield flush()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,8 +336,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*picked, sets], ["cls", "label", "chunk", "docs", "sig", "set"])
 
     sets = texts.select("__text", "__cls", "label", "chunk", "docs", "sig").mapInArrow(with_sets, "cls long, label long, chunk int, docs long, sig binary, set binary")
-    linked = wanted.join(sets, ["label", "chunk"]).groupBy("unit").applyInPandas(_block(threshold), "cls long, links long, least long")
-    linked = written(linked)
+    ready = wanted.join(sets, ["label", "chunk"]).select("unit", "side", "cls", "docs", "sig", "set").repartition("unit").sortWithinPartitions("unit")
+    linked = written(ready.mapInArrow(lambda b: _blocks_linked(b, threshold), "cls long, links long, least long"))
     roots = components(linked.select("cls", "least"))
     n_links = linked.groupBy("cls").agg(F.sum("links").alias("links"))
     facts = classes.select("cls", "rep", "docs").join(n_links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
