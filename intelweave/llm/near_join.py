@@ -4,9 +4,9 @@
 * Each class has MinHash values; BANDS groups of ROWS values are its bucket keys. Two classes of similarity 0.8
   share no bucket with a probability of 6e-7.
 * Each bucket gives pairs of its first class with the others only. Values are compared step by step, and a pair is
-  dropped when the posterior probability of reaching the threshold falls below the tolerance. A class whose pair
-  comes through with a high share of equal values is labelled with that first class: large families of near copies
-  get few labels, and similar classes of different labels lead to pairs of labels that meet in a bucket.
+  dropped when the posterior probability of reaching the threshold falls below the tolerance. A class with a share
+  of LABEL equal values or more is labelled with that first class: large families of near copies get few labels.
+  Classes of different labels that meet in a bucket lead to a pair of labels.
 * Members of the same label, and of labels that met, are compared in blocks: step by step again, and what is left
   is verified exactly on the shingle sets. A block returns counts for each class, never its pairs.
 """
@@ -32,6 +32,8 @@ STEP = 30
 TOLERANCE = 1e-7
 #: Members of one side of a block.
 CHUNK = 256
+#: Share of equal values from which a class takes the first class of a bucket as its label.
+LABEL = 0.5
 
 
 @lru_cache(8)
@@ -300,18 +302,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         y = sigs.withColumnsRenamed({"cls": "y", "sig": "ys"})
         return pairs.distinct().join(x, "x").join(y, "y").select("x", "y", "xs", "ys").mapInArrow(_prune(at), "x long, y long, share double")
 
-    stars = pruned(buckets.filter("cls <> first").select(F.col("cls").alias("x"), F.col("first").alias("y")), threshold)
-    # a share this high means a similarity over threshold - 0.1, so similar members make their labels 0.2 similar at least
-    label = stars.filter(F.col("share") >= threshold).groupBy(F.col("x").alias("cls")).agg(F.min("y").alias("label"))
+    stars = pruned(buckets.filter("cls <> first").select(F.col("cls").alias("x"), F.col("first").alias("y")), LABEL)
+    label = stars.filter(F.col("share") >= LABEL).groupBy(F.col("x").alias("cls")).agg(F.min("y").alias("label"))
     involved = written(buckets.select("cls").distinct().join(label, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label")))
-    met = buckets.select("key", "cls").join(involved, "cls").select("key", "label").distinct().repartition("key")
-    met = met.mapInArrow(lambda b: _merged(_label_pairs(b)), "a long, b long")
-    crossed = pruned(met.select(F.col("a").alias("x"), F.col("b").alias("y")), max(0.05, 1 - 3 * (1 - threshold) - 0.25))
     sizes = involved.groupBy("label").agg(F.count(F.lit(1)).alias("members")).withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int"))
+    met = buckets.select("key", "cls").join(involved, "cls").select("key", "label").distinct().repartition("key")
+    met = met.mapInArrow(lambda b: _merged(_label_pairs(b)), "a long, b long").distinct()
+    met = met.join(sizes.select(F.col("label").alias("a"), F.col("members").alias("ma"), F.col("chunks").alias("ca")), "a")
+    met = written(met.join(sizes.select(F.col("label").alias("b"), F.col("members").alias("mb"), F.col("chunks").alias("cb")), "b"))
+    # two labels of one member each: that pair itself is tested. One such label: a member of the other is LABEL - 0.15
+    # similar to its label at least, so the label keeps some of the similarity. Two large labels: not tested.
+    alone, large = (F.col("ma") == 1) & (F.col("mb") == 1), (F.col("ma") > 1) & (F.col("mb") > 1)
+    as_pair = lambda df: df.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    passed = pruned(as_pair(met.filter(alone)), threshold).unionByName(pruned(as_pair(met.filter(~alone & ~large)), max(0.01, LABEL - 0.15 + threshold - 1)))
+    passed = met.join(passed.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_semi").unionByName(met.filter(large))
     own = sizes.filter("members > 1").select(F.col("label").alias("a"), F.col("label").alias("b"), F.col("chunks").alias("ca"), F.col("chunks").alias("cb"))
-    pairs = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = pairs.join(sizes.select(F.col("label").alias("a"), F.col("chunks").alias("ca")), "a").join(sizes.select(F.col("label").alias("b"), F.col("chunks").alias("cb")), "b").select("a", "b", "ca", "cb")
-    every = own.unionByName(pairs)
+    every = own.unionByName(passed.select("a", "b", "ca", "cb"))
     units = every.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ca") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cb") - 1))).filter("a <> b or i <= j")
     itself = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
     # pairs of small labels share a block only with themselves; a block is one pair of chunks
