@@ -145,13 +145,17 @@ def verdict(measured: DataFrame, lang_col: str = "lang", bands: dict[str, tuple[
 
 def good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that the verdict keeps, all columns as they are. The rows are judged where they lie; no join."""
-    names = [c.split()[0] for c in MEASURES.split(", ")]
+    names = [f"__{c.split()[0]}" for c in MEASURES.split(", ")]
+    places = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in blocks(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, _measure(texts, tokenizer_path(VOCABULARY)))], ["__row", *names])
-
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_col).alias("__text"))
-    kind = row.schema["__row"].dataType.simpleString()
-    judged = verdict(row.mapInArrow(run, f"__row {kind}, {MEASURES}").withColumn("__lang", F.col(f"__row.{lang_col}").cast("string")), "__lang")
-    return judged.filter("kept").select("__row.*")
+        for rows, texts in blocks(batches, places[text_col]):
+            found = [pa.array(x) for x in _measure(texts, tokenizer_path(VOCABULARY))]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *found], [*rows.schema.names, *names])
+
+    plain = docs.toDF(*places.values())
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    measures = ", ".join(f"__{c}" for c in MEASURES.split(", "))
+    measured = plain.mapInArrow(run, f"{kinds}, {measures}")
+    judged = verdict(measured.withColumnsRenamed({n: n[2:] for n in names}), places[lang_col])
+    return judged.filter("kept").select(*places.values()).toDF(*docs.columns)
