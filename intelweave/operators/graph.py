@@ -138,7 +138,9 @@ def edges_fallback(nodes: DataFrame, edges: DataFrame, root: bool = True) -> Dat
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select("report_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    """Every edge and its reverse, in one pass."""
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.select("report_id", F.inline(ways))
 
 
 def assemble_edges(*parts: DataFrame) -> DataFrame:
@@ -146,14 +148,15 @@ def assemble_edges(*parts: DataFrame) -> DataFrame:
 
 
 def build_edges(entities: DataFrame, nodes: DataFrame, root: bool = True, undirected: bool = True, rules: list | None = None) -> DataFrame:
-    """All strategies together, distinct."""
+    """All strategies together, distinct. nodes and entities are read by each of them: keep them (persist) for large inputs."""
     found = mentions(entities, nodes)
     parts = [edges_cooccurrence(found), edges_single_selfloop(found), edges_cross_paragraph(found), edges_semantic(nodes, rules), edges_campaign(found), edges_small_graph(nodes)]
     if root:
         parts.append(edges_root(nodes))
-    edges = assemble_edges(*parts)
-    edges = assemble_edges(edges, edges_fallback(nodes, edges, root))
-    return symmetrize(edges).distinct() if undirected else edges
+    edges = reduce(lambda a, b: a.unionByName(b), parts)
+    if not root:  # with the report as a node, no graph is without an edge
+        edges = edges.unionByName(edges_fallback(nodes, edges, root))
+    return (symmetrize(edges) if undirected else edges).distinct()
 
 
 def prune_edges(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:

@@ -25,6 +25,7 @@ from ..operators import language as LG
 from ..operators import learn as L
 from ..operators import paragraphs as P
 from ..operators import propagate as N
+from ..session import kept
 from ..sources import files as S
 from . import views as V
 from .oracle import TYPE_INDEX, date_sql, group_sql, slug_sql, steps, tags_sql, vendor_sql
@@ -37,7 +38,7 @@ def query(sql: str | None = None, name: str | None = None):
     def register(f):
         QUERIES[name or f.__name__] = f
         if sql:
-            ORACLE_SQL[name or f.__name__] = steps(sql)
+            ORACLE_SQL[name or f.__name__] = steps(sql.replace(", 6)", " + 1e-8, 6)"))
         return f
 
     return register
@@ -48,7 +49,8 @@ DATE = "CAST(published_date AS STRING) AS published_date"
 
 
 def r6(c, name: str):
-    return F.round(c, 6).alias(name)
+    """Rounded to 6 places; the shift keeps sums of other orders from falling to either side of a half. SQL gets the same."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-8, 6).alias(name)
 
 
 class Tables:
@@ -70,13 +72,13 @@ class Tables:
     @property
     @lru_cache(1)
     def entities(self):
-        """Read by several branches of a plan, and dear to make: kept while the query lasts, on disk where memory is short."""
-        return D.extract_entities(self.paragraphs).persist()
+        """Read by several branches of a plan, and dear to make: kept as a table, like nodes and edges."""
+        return kept(D.extract_entities(self.paragraphs))
 
     @property
     @lru_cache(1)
     def nodes(self):
-        return G.min_entities_filter(G.build_nodes(self.entities))
+        return kept(G.min_entities_filter(G.build_nodes(self.entities)))
 
     @property
     @lru_cache(1)
@@ -86,7 +88,7 @@ class Tables:
     @property
     @lru_cache(1)
     def edges(self):
-        return G.build_edges(self.entities, self.nodes)
+        return kept(G.build_edges(self.entities, self.nodes))
 
     @property
     @lru_cache(1)
@@ -384,7 +386,7 @@ _STATS = ["report_id", "apt_group", "num_nodes", "num_edges", "num_paragraphs",
 
 @on_tables(f"SELECT {', '.join(_STATS)}, published_date::VARCHAR AS published_date, round(avg_degree, 6) AS avg_degree FROM st")
 def g17_graph_stats(t):
-    return t.stats.selectExpr(*_STATS, DATE, "round(avg_degree, 6) AS avg_degree")
+    return t.stats.selectExpr(*_STATS, DATE, "round(avg_degree + 1e-8, 6) AS avg_degree")
 
 
 @on_tables("SELECT apt_group, count(*) AS num_graphs, round(avg(num_nodes), 6) AS avg_num_nodes, round(avg(num_edges), 6) AS avg_num_edges, round(avg(num_entities), 6) AS avg_num_entities FROM st GROUP BY ROLLUP (apt_group)")
@@ -711,12 +713,12 @@ def a2_prediction_summary(t):
 
 @on_tables(f"SELECT label, n, round(n / sum(n) OVER (), 6) AS share, k::INTEGER AS rank, CASE WHEN k = 1 THEN 'High' END AS risk FROM (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS k FROM {_BEST} GROUP BY 1)")
 def a3_attribution_shares(t):
-    return A.attribution_shares(E.predictions(t.scores)).withColumn("share", F.round("share", 6))
+    return A.attribution_shares(E.predictions(t.scores)).withColumn("share", r6("share", "share"))
 
 
 @on_tables(f"SELECT label, round(f1, 6) AS f1, CASE WHEN f1 > 0.8 THEN 'High' ELSE 'Medium' END AS risk, label = (SELECT first(label ORDER BY f1 DESC, label) FROM {_REPORT}) AS top FROM {_REPORT}")
 def a4_risk_from_report(t):
-    return A.risk_from_report(E.classification_report(t.judged)).withColumn("f1", F.round("f1", 6))
+    return A.risk_from_report(E.classification_report(t.judged)).withColumn("f1", r6("f1", "f1"))
 
 
 @on_tables("SELECT CASE WHEN probability * 2 > 0.8 THEN 'very high' WHEN probability * 2 > 0.6 THEN 'high' ELSE 'medium' END AS band, CASE WHEN probability * 2 > 0.7 THEN 'high' ELSE 'low' END AS card, count(*) AS n FROM scores GROUP BY 1, 2")
@@ -864,7 +866,7 @@ def k10_class_metrics_long(t):
     report = E.classification_report(t.judged)
     rows = report.select(F.struct(F.col("label").cast("string").alias("k"), F.struct("precision", "recall", "f1").alias("m")).alias("e"))
     total = rows.agg(F.collect_list("e").alias("e")).select(F.lit(0).alias("run_id"), F.map_from_entries(F.concat("e", F.array(F.struct(F.lit("macro avg").alias("k"), F.struct(F.lit(0.0).alias("precision"), F.lit(0.0).alias("recall"), F.lit(0.0).alias("f1")).alias("m"))))).alias("report"))
-    return K.class_metrics_long(total).withColumn("value", F.round("value", 6))
+    return K.class_metrics_long(total).withColumn("value", r6("value", "value"))
 
 
 @on_tables("SELECT page_id FROM pages WHERE contains(lower(url), 'blog') AND starts_with(url, 'https')")
@@ -908,7 +910,7 @@ def k16_top_nodes(t):
 @on_tables("SELECT report_id, src - lo AS src, dst - lo AS dst, round(a, 6) AS a FROM (SELECT *, least(min(src) OVER (PARTITION BY report_id), min(dst) OVER (PARTITION BY report_id)) AS lo FROM (SELECT user_id AS report_id, user_id * 20 + event_id % 13 AS src, user_id * 20 + event_id % 7 AS dst, avg(value) AS a FROM events GROUP BY ALL))")
 def k17_attention_by_graph(t):
     e = t.table("events").select(F.col("user_id").alias("report_id"), (F.col("event_id") % 4).alias("head"), (F.col("user_id") * 20 + F.col("event_id") % 13).alias("src"), (F.col("user_id") * 20 + F.col("event_id") % 7).alias("dst"), F.col("value").alias("a"))
-    return K.attention_by_graph(e).withColumn("a", F.round("a", 6))
+    return K.attention_by_graph(e).withColumn("a", r6("a", "a"))
 
 
 @on_tables("SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive plans, UTC for dates, Arrow for Python stages. Sizes of partitions are left to the cluster.
 SETTINGS = {
@@ -19,3 +22,18 @@ def session(name: str = "intelweave", **more: str) -> SparkSession:
     for key, value in {**SETTINGS, **more}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that spark.checkpoint.dir names, read again; a folder of our own only where none is set.
+
+    For tables that many branches of a plan read: the plan behind them is made once and left behind.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="intelweave-")
+        spark.sparkContext.setCheckpointDir(shared)
+    path = f"{shared.rstrip('/')}/intelweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
