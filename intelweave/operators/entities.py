@@ -11,27 +11,31 @@ from ..functions.patterns import BLACKLIST, Vocabulary
 _OPEN, _GROUP, _CLOSE = "\u0001", "\u0002", "\u0003"
 
 
-def extract_spans(text: Column, pattern: str, grouped: bool) -> Column:
-    """Array of (text, start, end) of all matches, in order; a group, if there is one, replaces the match that it ends."""
-    marked = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_GROUP}{'$1' if grouped else ''}{_CLOSE}"), _OPEN, -1)
-    rest = F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0)))
-    parts = F.transform(
-        rest,
-        lambda p: F.struct(
-            F.substring_index(p, _GROUP, 1).alias("match"),
-            F.substring_index(F.substring_index(p, _CLOSE, 1), _GROUP, -1).alias("group"),
-            F.length(F.substring_index(p, _CLOSE, -1)).alias("after"),
-        ),
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _spans_sql(text: str, pattern: str, grouped: bool, fields: str, keep: str) -> str:
+    """Array of structs (fields, then text, start, end) of all matches of pattern in the column text that keep holds for.
+
+    The text is marked and cut at the marks once (m); a walk over the parts adds up the offsets. A group ends its match.
+    """
+    marks = _literal(f"{_OPEN}$0{_GROUP}{'$1' if grouped else ''}{_CLOSE}")
+    match = f"substring_index(p, '{_GROUP}', 1)"
+    named = f"substring_index(substring_index(p, '{_CLOSE}', 1), '{_GROUP}', -1)" if grouped else match
+    end = f"acc.at + length({match})"
+    kind = ("label_rank: int, label: string, " if fields else "") + "text: string, start: int, end: int"
+    found = f"named_struct({fields}'text', {named}, 'start', {end} - length({named}), 'end', {end})"
+    walk = (
+        f"aggregate(slice(m, 2, greatest(size(m) - 1, 0)), named_struct('at', length(m[0]), 'found', cast(array() AS array<struct<{kind}>>)), "
+        f"(acc, p) -> named_struct('at', {end} + length(substring_index(p, '{_CLOSE}', -1)), 'found', concat(acc.found, array({found}))), acc -> filter(acc.found, s -> {keep}))"
     )
-    first = F.struct(F.length(F.get(marked, F.lit(0))).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("found"))
+    return f"element_at(transform(array(split(regexp_replace({text}, {_literal(pattern)}, {marks}), '{_OPEN}', -1)), m -> {walk}), 1)"
 
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["at"] + F.length(p["match"])
-        named = p["group"] if grouped else p["match"]
-        found = F.struct(named.alias("text"), (end - F.length(named)).alias("start"), end.alias("end"))
-        return F.struct((end + p["after"]).alias("at"), F.concat(acc["found"], F.array(found)).alias("found"))
 
-    return F.aggregate(parts, first, step, lambda acc: acc["found"])
+def extract_spans(text: str, pattern: str, grouped: bool) -> Column:
+    """Array of (text, start, end) of all matches in the column text, in order; a group, if there is one, replaces its match."""
+    return F.expr(_spans_sql(text, pattern, grouped, "", "true"))
 
 
 def long_enough(text: Column) -> Column:
@@ -51,11 +55,9 @@ def extract_entities(paragraphs: DataFrame, vocabulary: Vocabulary | None = None
     registry = (vocabulary or Vocabulary()).registry()
     clean = F.translate("text", _OPEN + _GROUP + _CLOSE, "")
     plain = paragraphs.select("report_id", "paragraph_index", clean.alias("__text"))
-    labelled = []
-    for rank, label, pattern, grouped in registry:
-        spans = F.filter(extract_spans(F.col("__text"), pattern, grouped), lambda s: long_enough(s["text"]) & ~blacklisted(s["text"]))
-        labelled.append(_with_label(spans, rank, label))
-    every = F.concat(*labelled)
+    stays = f"length(s.text) BETWEEN 2 AND 100 AND lower(s.text) NOT IN ({', '.join(map(_literal, BLACKLIST))})"
+    spans = [_spans_sql("__text", p, grouped, f"'label_rank', {rank}, 'label', {_literal(label)}, ", stays) for rank, label, p, grouped in registry]
+    every = F.expr(f"concat({', '.join(spans)})")
     labels = [label for _, label, _, _ in registry]
     if len(set(labels)) < len(labels):
         every = _deduplicated(every)
@@ -63,10 +65,6 @@ def extract_entities(paragraphs: DataFrame, vocabulary: Vocabulary | None = None
     return out.select("report_id", "paragraph_index", F.col("e.label").alias("label"), F.col("e.text").alias("text"), F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.col("e.label_rank").alias("label_rank"), (F.col("ordinal") + 1).alias("ordinal"))
 
 
-def _with_label(spans: Column, rank: int, label: str) -> Column:
-    return F.transform(spans, lambda s: F.struct(F.lit(rank).alias("label_rank"), F.lit(label).alias("label"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end")))
-
-
 def _deduplicated(found: Column) -> Column:
     """The first of entities that agree in place, label and lower-case text."""
     key = lambda e: F.struct(e["start"], e["end"], e["label"], F.lower(e["text"]))
