@@ -7,7 +7,8 @@
   dropped when the posterior probability of reaching the threshold falls below the tolerance. A class with a share
   of LABEL equal values or more is labelled with that first class: large families of near copies get few labels.
   Classes of different labels that meet in a bucket lead to a pair of labels.
-* Members of the same label, and of labels that met, are compared in blocks: step by step again, and what is left
+* Labels that meet form a family around the least of them. Members of one family, and of families that meet, are
+  compared in blocks: step by step again, and what is left
   is verified exactly on the shingle sets. A block returns counts for each class, never its pairs.
 """
 
@@ -316,8 +317,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as_pair = lambda df: df.select(F.col("a").alias("x"), F.col("b").alias("y"))
     passed = pruned(as_pair(met.filter(alone)), threshold).unionByName(pruned(as_pair(met.filter(~alone & ~large)), max(0.01, LABEL - 0.15 + threshold - 1)))
     passed = met.join(passed.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_semi").unionByName(met.filter(large))
+    # labels that meet form families around the least of them, so that many small labels share blocks
+    both_ways = passed.select(F.col("a").alias("label"), F.col("b").alias("other")).unionByName(passed.select(F.col("b").alias("label"), F.col("a").alias("other")))
+    family = written(both_ways.groupBy("label").agg(F.least(F.min("other"), F.first("label")).alias("family")))
+    of = lambda name: family.select(F.col("label").alias(name), F.col("family").alias(f"f{name}"))
+    crossed = passed.select("a", "b").join(of("a"), "a").join(of("b"), "b").filter("fa <> fb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
+    involved = written(involved.join(family, "label", "left").select("cls", F.coalesce("family", "label").alias("label")))
+    sizes = involved.groupBy("label").agg(F.count(F.lit(1)).alias("members")).withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int"))
     own = sizes.filter("members > 1").select(F.col("label").alias("a"), F.col("label").alias("b"), F.col("chunks").alias("ca"), F.col("chunks").alias("cb"))
-    every = own.unionByName(passed.select("a", "b", "ca", "cb"))
+    chunks = lambda name: sizes.select(F.col("label").alias(name), F.col("chunks").alias(f"c{name}"))
+    every = own.unionByName(crossed.join(chunks("a"), "a").join(chunks("b"), "b").select("a", "b", "ca", "cb"))
     units = every.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ca") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cb") - 1))).filter("a <> b or i <= j")
     itself = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
     # pairs of small labels share a block only with themselves; a block is one pair of chunks
