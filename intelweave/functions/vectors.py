@@ -22,13 +22,21 @@ def type_one_hot(label: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(len(NODE_TYPES))), lambda i: F.when(i == type_index(label), 1.0).otherwise(0.0))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def bucket(token: Column, dim: int = DIM) -> Column:
     """The 128-bit md5 number of token modulo dim, from four parts of 32 bits."""
-    h = F.md5(token.cast("binary"))
-    out = F.lit(0).cast("long")
-    for k in range(4):
-        out = F.pmod(out * ((1 << 32) % dim) + F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long"), F.lit(dim))
-    return out.cast("int")
+
+    def fold(h: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for k in range(4):
+            out = F.pmod(out * ((1 << 32) % dim) + F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long"), F.lit(dim))
+        return out.cast("int")
+
+    return let(F.md5(token.cast("binary")), fold)
 
 
 def tokens(text: Column) -> Column:
@@ -40,13 +48,13 @@ def norm(x: Column) -> Column:
 
 
 def l2_normalized(x: Column) -> Column:
-    return F.when(norm(x) > 0, F.transform(x, lambda v: v / norm(x))).otherwise(x)
+    return let(x, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda e: e / n)).otherwise(v)))
 
 
 def hash_vector(text: Column, dim: int = DIM) -> Column:
     """Counts of the tokens by bucket, of length 1; zeros for a text without tokens."""
     held = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: bucket(t, dim))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(held, lambda b: b == i)).cast("double"))
+    counts = let(held, lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(h, lambda b: b == i)).cast("double")))
     return l2_normalized(counts)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.vectors import let
+
 
 def accuracy(rows: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
     return rows.agg(F.avg((F.col(label) == F.col(predicted)).cast("double")).alias("accuracy"))
@@ -77,8 +79,8 @@ def logit_adjust(scores: DataFrame, truth: DataFrame, tau: float = 1.0) -> DataF
 
 
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, v: a + v))
+    e = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return let(e, lambda v: let(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(v, lambda x: x / total)))
 
 
 def predictions(scores: DataFrame, id_col: str = "report_id") -> DataFrame:

@@ -49,7 +49,7 @@ def ranked_globally(rows: DataFrame, order: list[Column], name: str = "rank") ->
 def random_split(rows: DataFrame, id_col: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
     """rows with split over all rows by hash order; shares are rounded down, the rest is test."""
     n = rows.agg(F.count(F.lit(1)).alias("__n"))
-    return ranked_globally(rows, [hash_order(id_col, seed), F.col(id_col)], "__k").crossJoin(F.broadcast(n)).withColumn("split", _named(F.col("__k"), F.col("__n"), train, val)).drop("__k", "__n")
+    return ranked_globally(rows, [hash_order(id_col, seed), F.col(id_col)], "__rank").crossJoin(F.broadcast(n)).withColumn("split", _named(F.col("__rank"), F.col("__n"), train, val)).drop("__rank", "__n")
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:

@@ -697,10 +697,10 @@ def e16_summarize_grid(t):
 # --- attribution and group library
 
 
-@on_tables("SELECT report_id, string_agg(label || ':' || round(probability, 4), ',' ORDER BY probability DESC, label) AS top FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY probability DESC, label) AS k FROM scores) WHERE k <= 3 GROUP BY 1")
+@on_tables("SELECT report_id, string_agg(label || ':' || round(probability + 1e-8, 4), ',' ORDER BY probability DESC, label) AS top FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY probability DESC, label) AS k FROM scores) WHERE k <= 3 GROUP BY 1")
 def a1_top_predictions(t):
     top = A.top_predictions(t.scores)
-    return top.select("report_id", F.array_join(F.transform("top", lambda x: F.concat(x["label"], F.lit(":"), F.round(x["confidence"], 4).cast("string"))), ",").alias("top"))
+    return top.select("report_id", F.array_join(F.transform("top", lambda x: F.concat(x["label"], F.lit(":"), F.round(x["confidence"] + 1e-8, 4).cast("string"))), ",").alias("top"))
 
 
 _BEST = "(SELECT report_id, first(label ORDER BY probability DESC, label) AS label FROM scores GROUP BY 1)"
@@ -721,9 +721,9 @@ def a4_risk_from_report(t):
     return A.risk_from_report(E.classification_report(t.judged)).withColumn("f1", r6("f1", "f1"))
 
 
-@on_tables("SELECT CASE WHEN probability * 2 > 0.8 THEN 'very high' WHEN probability * 2 > 0.6 THEN 'high' ELSE 'medium' END AS band, CASE WHEN probability * 2 > 0.7 THEN 'high' ELSE 'low' END AS card, count(*) AS n FROM scores GROUP BY 1, 2")
+@on_tables("SELECT CASE WHEN round(probability, 9) * 2 > 0.8 THEN 'very high' WHEN round(probability, 9) * 2 > 0.6 THEN 'high' ELSE 'medium' END AS band, CASE WHEN round(probability, 9) * 2 > 0.7 THEN 'high' ELSE 'low' END AS card, count(*) AS n FROM scores GROUP BY 1, 2")
 def a5_confidence_band(t):
-    p = F.col("probability") * 2
+    p = F.round("probability", 9) * 2
     return t.scores.groupBy(A.confidence_band(p).alias("band"), A.cluster_band(p).alias("card")).agg(F.count(F.lit(1)).alias("n"))
 
 
