@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Texts are worked on in blocks of about this many characters, whatever the batch size is.
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 20
 #: A side is broadcast only when its measured size stays below this many bytes.
 BROADCAST_BYTES = 8 << 20
 

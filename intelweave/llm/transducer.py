@@ -30,7 +30,7 @@ STATES = 11
 #: Pieces of the prefix scan, in characters.
 PIECE = 128
 #: Entries after which the merger's table of pairs, and states after which its machine, is built anew.
-PAIRS_KEPT = 1_000_000
+PAIRS_KEPT = 300_000
 STATES_KEPT = 200_000
 
 
@@ -179,14 +179,14 @@ class BpeTransducer:
         self.column = np.full(256, -1, np.int64)  # of the bytes met so far, in the tables
         self.used = 0
         self.next = np.full((1 << 12, 32), -1, np.int32)
-        self.emits = np.zeros((1 << 12, 32), np.int16)
+        self.emits = np.zeros((1 << 12, 32), np.int8)  # a vocabulary entry is shorter than 128 bytes or as long, so 127 at most
         self.final = np.zeros(1 << 12, np.int16)
         self.ended = np.full(1 << 12, -1, np.int32)
 
     def _grow(self, rows: int, cols: int) -> None:
         h, w = self.next.shape
         if rows > h or cols > w:
-            h2, w2 = (h * 3 // 2 if rows > h else h), (min(256, w + 32) if cols > w else w)
+            h2, w2 = (h * 5 // 4 if rows > h else h), (min(256, w + 32) if cols > w else w)
             for name, fill in (("next", -1), ("emits", 0)):
                 old = getattr(self, name)
                 new = np.full((h2, w2), fill, old.dtype)
