@@ -52,7 +52,7 @@ def build_report_index(spark: SparkSession, pdf_roots: list[str], text_roots: li
 
 def load_text(content: Column) -> Column:
     """UTF-8 text of bytes, invalid ones left out."""
-    return F.replace(F.decode(content, "UTF-8"), F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
 
 
 def load_json_log(text: Column) -> Column:
