@@ -306,17 +306,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = pruned(buckets.filter("cls <> first").select(F.col("cls").alias("x"), F.col("first").alias("y")), LABEL)
     label = stars.filter(F.col("share") >= LABEL).groupBy(F.col("x").alias("cls")).agg(F.min("y").alias("label"))
     involved = written(buckets.select("cls").distinct().join(label, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label")))
-    sizes = involved.groupBy("label").agg(F.count(F.lit(1)).alias("members")).withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int"))
+    # a label needn't be a member of its own: its class may carry another label. So a label of one member is tested through that member
+    tested = involved.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.min("cls").alias("sole")).select("label", "members", F.when(F.col("members") == 1, F.col("sole")).otherwise(F.col("label")).alias("by"))
     met = buckets.select("key", "cls").join(involved, "cls").select("key", "label").distinct().repartition("key")
     met = met.mapInArrow(lambda b: _merged(_label_pairs(b)), "a long, b long").distinct()
-    met = met.join(sizes.select(F.col("label").alias("a"), F.col("members").alias("ma"), F.col("chunks").alias("ca")), "a")
-    met = written(met.join(sizes.select(F.col("label").alias("b"), F.col("members").alias("mb"), F.col("chunks").alias("cb")), "b"))
-    # two labels of one member each: that pair itself is tested. One such label: a member of the other is LABEL - 0.15
-    # similar to its label at least, so the label keeps some of the similarity. Two large labels: not tested.
+    met = met.join(tested.select(F.col("label").alias("a"), F.col("members").alias("ma"), F.col("by").alias("x")), "a")
+    met = written(met.join(tested.select(F.col("label").alias("b"), F.col("members").alias("mb"), F.col("by").alias("y")), "b"))
+    # two labels of one member each: the pair of members is tested. One such label: a member of the other is LABEL - 0.15
+    # similar to its label at least, so that label keeps some of the similarity to the one member. Two large labels: not tested.
     alone, large = (F.col("ma") == 1) & (F.col("mb") == 1), (F.col("ma") > 1) & (F.col("mb") > 1)
-    as_pair = lambda df: df.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    passed = pruned(as_pair(met.filter(alone)), threshold).unionByName(pruned(as_pair(met.filter(~alone & ~large)), max(0.01, LABEL - 0.15 + threshold - 1)))
-    passed = met.join(passed.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_semi").unionByName(met.filter(large))
+    some = lambda kind, at: met.filter(kind).join(pruned(met.filter(kind).select("x", "y"), at).select("x", "y"), ["x", "y"], "left_semi").select("a", "b")
+    passed = some(alone, threshold).unionByName(some(~alone & ~large, max(0.01, LABEL - 0.15 + threshold - 1))).unionByName(met.filter(large).select("a", "b"))
     # labels that meet form families around the least of them, so that many small labels share blocks
     both_ways = passed.select(F.col("a").alias("label"), F.col("b").alias("other")).unionByName(passed.select(F.col("b").alias("label"), F.col("a").alias("other")))
     family = written(both_ways.groupBy("label").agg(F.least(F.min("other"), F.first("label")).alias("family")))

@@ -131,6 +131,23 @@ def test_near_duplicates(spark, texts, rng):
     assert near_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_chained_labels(spark, rng):
+    """z ~ y ~ x are half alike and x ~ b is a link: y's label holds x alone, x's label holds b alone."""
+    texts = []
+    while len(texts) < 4 * 12:
+        w = rng.integers(0, 1 << 40, (4, 300)).astype(str)
+        z = w[0]
+        y = np.concatenate([w[1][:85], z[85:]])
+        x = np.concatenate([y[:215], w[2][215:]])
+        b = np.concatenate([x[:140], w[3][140:164], x[164:]])
+        chain = [" ".join(t) for t in (z, y, x, b)]
+        ids = near_join._class_ids(*near_join.shingles(chain, near_join.WIDTH)).tolist()
+        if ids == sorted(ids):
+            texts += chain
+    got = {r.doc_id: (r.n_links, r.class_id) for r in near_join.near_duplicates(_docs(spark, texts).filter("doc_id is not null")).collect()}
+    assert got == {k: (int(k % 4 > 1), k - (k % 4 == 3)) for k in range(len(texts))}
+
+
 def _removed(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
