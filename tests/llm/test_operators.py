@@ -211,6 +211,24 @@ def test_line_dedup(spark, texts, rng):
     assert near and line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_with_growing_edits(spark, rng):
+    lines = [" ".join(rng.choice(WORDS, int(n))) for n in rng.integers(12, 220, 60)]
+    edited = []
+    for x in lines:
+        y, k = list(x), max(2, len(x) // 20) - 1
+        for at in sorted(rng.choice(len(x), k, replace=False).tolist(), reverse=True):
+            y[at : at + 1] = ["", "#", y[at] + "#"][int(rng.integers(0, 3))]
+        edited.append("".join(y))
+    far = ["".join("#" if k % 12 == 0 else c for k, c in enumerate(x)) for x in lines]
+    near = lambda a, b: _distance(a, b) <= max(2, min(len(a), len(b)) // 20)
+    assert max(len(x) // 20 for x in lines) > 31
+    docs = _docs(spark, ["\n".join(lines), "\n".join(edited), "\n".join(far)]).filter("doc_id is not null")
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.drop_repeated_lines(docs, share=line_dedup.SHARE).collect()}
+    assert got[0] == lines
+    assert got[1] == [y for x, y in zip(lines, edited, strict=True) if not near(x, y)] or got[1] == [""]
+    assert got[2] == [z for x, y, z in zip(lines, edited, far, strict=True) if not near(x, z) and not near(y, z)]
+
+
 def test_decontamination(spark, texts, monkeypatch):
     items = spark.createDataFrame([(1, texts[1]), (2, texts[1]), (10, "Jumps, OVER lazy"), (3, None), (4, ""), (5, texts[5])], "item_id long, text string")
     docs = _docs(spark, [*texts, "so it " + (texts[1] or "").upper() + " there"])
