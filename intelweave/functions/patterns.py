@@ -5,8 +5,10 @@ Patterns are Java regular expressions with Unicode classes; a pattern with a gro
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
+from pathlib import Path
 
 # Label, pattern and whether the case counts, in the order in which entities are listed.
 PATTERNS = [
@@ -82,20 +84,9 @@ ORGANISATIONS = [
     "Saudi Aramco", "Qatar Petroleum", "ADNOC", "Gazprom", "Rosneft", "Lukoil", "Sberbank", "VTB Bank", "Central Bank of Russia", "SWIFT", "IMF",
     "World Bank",
 ]
-# The malware names that come first in common lists. Full lists of several hundred names are data:
-# read them with sources.files.load_vocabulary and hand them to Vocabulary.
-MALWARE = [
-    "dodgebox", "moonwalk", "cookieplus", "todoswift", "lightspy", "flexibleferret", "socgholish", "landupdate808", "clearfake", "zerolot", "sting",
-    "acidbox", "magicscroll", "metador", "tajmahal", "darkuniverse", "puzzlemaker", "projectsauron", "usb thief", "plexingeagle", "sinsono", "tensho",
-    "white tur", "plugx", "poisonivy", "gh0st", "darkcomet", "njrat", "zeus", "spyeye", "citadel", "dridex", "emotet", "trickbot", "ryuk", "wannacry",
-    "notpetya", "stuxnet", "duqu", "flame", "gauss", "ragnarok", "sodinokibi", "revil", "conti", "maze", "egregor", "doppelpaymer", "hammertoss",
-    "seaduke", "cozyduke", "onionduke", "miniduke", "dukes", "cozybear", "fancybear", "equationgroup", "lazarus", "turla", "oilrig", "apt28", "apt29",
-    "sofacy", "sednit", "sandworm", "hades", "badrabbit", "olympic destroyer", "xagent", "x-agent", "chopstick", "coreshell", "oldbait", "splm",
-    "kage", "komplex", "dealerschoice", "downdelph", "uroburos", "agent.btz", "comrat", "carbon", "gazer", "skiper", "pfinet", "mosquito",
-    "whitebear", "kopiluwak", "epic turla", "snake", "ouroboros", "penquin", "helminth", "ismdoor", "bondupdater", "twoface", "quadagent", "oopsie",
-    "karkoff", "murky top", "hikit", "derusbi", "winnti", "thor", "rxbot", "sso", "pupy", "cobalt strike", "sakula", "scanbox", "on", "one", "org",
-    "old",
-]
+# Malware names: a data file beside this one, which sources.files.load_vocabulary reads as well.
+MALWARE_FILE = Path(__file__).with_name("malware.json")
+MALWARE = json.loads(MALWARE_FILE.read_text(encoding="utf-8"))["malware"]
 #: Labels of the dictionaries, in the order in which entities are listed after the patterns. The last two are empty unless given.
 DICTIONARIES = ["MALWARE", "TOOL", "ORG", "COUNTRY", "OPERATION", "INDUSTRY"]
 

@@ -1,8 +1,9 @@
 import re
 
-from intelweave.functions.patterns import BLACKLIST, DICTIONARIES, PATTERNS, Vocabulary, compile_dictionary
+from intelweave.functions.patterns import BLACKLIST, DICTIONARIES, MALWARE_FILE, PATTERNS, Vocabulary, compile_dictionary
 from intelweave.operators import entities as D
 from intelweave.operators import graph as G
+from intelweave.sources.files import load_vocabulary
 
 RICH = (
     "éon 😀 on host dc01.corp user admin-x at 10.0.0.1, evil.example.com, a@b.example.org, d41d8cd98f00b204e9800998ecf8427e; T1059.001 CVE-2021-1234 CWE-79 "
@@ -68,3 +69,11 @@ def test_small_and_empty(spark):
     assert {(r.src, r.dst) for r in G.edges_small_graph(nodes).collect()} == {(1, 2)}
     assert {(r.src, r.dst) for r in G.edges_fallback(nodes, G.edges_small_graph(nodes).limit(0)).collect()} == {(1, 1), (0, 1)}
     assert G.build_nodes(e.limit(0)).count() == 0
+
+
+def test_whole_malware_list(spark):
+    v = Vocabulary()
+    assert len(v.malware) == len(set(v.malware)) == 464 and load_vocabulary(spark, str(MALWARE_FILE), "malware") == v.malware
+    names = ["formbook", "greyenergy", "dogcall", "elise", "crosswalk", "gameover zeus", "plugx", "ozone"]
+    p = spark.createDataFrame([("r", 0, "Seen: " + ", ".join(names) + ".")], "report_id string, paragraph_index int, text string")
+    assert {r.text for r in D.extract_entities(p).filter("label = 'MALWARE'").collect()} == set(names)
