@@ -46,7 +46,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), share=line_dedup.SHARE)
+    done = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), share=line_dedup.SHARE, short_words=line_dedup.SHORT_WORDS)
     return done.select("doc_id", "text", "n_equal", "n_near", F.sha2("text", 256).alias("kept_sha256"))
 
 

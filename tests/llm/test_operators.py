@@ -229,6 +229,13 @@ def test_line_dedup_with_growing_edits(spark, rng):
     assert got[2] == [z for x, y, z in zip(lines, edited, far, strict=True) if not near(x, z) and not near(y, z)]
 
 
+def test_line_dedup_of_short_lines(spark):
+    short = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0."]
+    docs = _docs(spark, ["\n".join([*short, "}", "one two three", ""]), "\n".join([short[1], "}", "one two three", "", "Released under the MIT Licence."]), None])
+    got = {r.doc_id: (r.text, r.n_equal, r.n_near) for r in line_dedup.drop_repeated_lines(docs.filter("doc_id is not null"), short_words=line_dedup.SHORT_WORDS).collect()}
+    assert got[0][1:] == (0, 0) and got[1] == ("}\none two three\n\nReleased under the MIT Licence.", 1, 0) and got[2] == (None, 0, 0)
+
+
 def test_decontamination(spark, texts, monkeypatch):
     items = spark.createDataFrame([(1, texts[1]), (2, texts[1]), (10, "Jumps, OVER lazy"), (3, None), (4, ""), (5, texts[5])], "item_id long, text string")
     docs = _docs(spark, [*texts, "so it " + (texts[1] or "").upper() + " there"])
