@@ -1,6 +1,6 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are sorted by host and URL path, dealt out by range, so that a page meets the pages with the nearest paths
+Pages are sorted by host, URL path and query, dealt out by range, so that a page meets the pages with the nearest paths
 in its own task. A page is paired with the neighbour that shares the longer part of the path; the lines of both
 are aligned by longest common subsequence and shared lines are deleted: menus, footers and notices of the site.
 
@@ -11,7 +11,9 @@ lines inside elements marked as menu, advert, form, comment and the like go.
 
 from __future__ import annotations
 
+import pickle
 import re
+import tempfile
 from collections.abc import Iterator
 from html import unescape
 
@@ -135,45 +137,57 @@ def _alike(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-#: Pages of one path held at a time while the next path is awaited.
+#: Pages of one path held in memory while the next path is awaited; more wait in a temporary file.
 HELD = 256
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages sorted by host and path; each is paired with the page before or after that has another path on its host."""
     rows: list[tuple] = []
-    held: list[tuple] = []  # pages of the current path
-    before = None  # (host, path, lines) of the last page with another path
-
-    def settle(after) -> None:
-        nonlocal before
-        for host, path, page, url, lines in held:
-            near = [(_alike(path, x[1]), -k, x[2]) for k, x in enumerate((before, after)) if x and host is not None and x[0] == host]
-            text = main_text(lines, max(near, key=lambda n: n[:2])[2] if near else None)
-            rows.append((page, url, text))
-        if held:
-            host, path, _, _, lines = held[-1]
-            last = (host, path, lines)
-            held.clear()
-            return last
-        return before
-
+    held: list[tuple] = []  # pages of the current path: id, url, lines
+    spilled, blocks = None, 0  # file of the blocks of pages of the current path that came before held
+    key, before = None, None  # (host, path) of the current path; (host, path, lines) of the last page before it
     kinds = None
-    for batch in batches:
-        kinds = [batch.column(k).type for k in (2, 3)]
-        for host, path, page, url, html in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            lines = lines_of(html or "")
-            if held and (held[0][:2] != (host, path) or len(held) >= HELD):
-                same = held[0][:2] == (host, path)
-                last = settle(None if same else (host, path, lines))
-                before = before if same else last
-            held.append((host, path or "", page, url, lines))
-        if len(rows) >= 512:
+
+    def settle(after) -> Iterator[pa.RecordBatch]:
+        """Batches of the pages of the current path, now that the next path is known."""
+        host, path = key
+        near = [(_alike(path, x[1]), -k, x[2]) for k, x in enumerate((before, after)) if x and host is not None and x[0] == host]
+        partner = max(near, key=lambda n: n[:2])[2] if near else None
+        if spilled:
+            spilled.seek(0)
+        for k in range(blocks + 1):
+            for page, url, lines in pickle.load(spilled) if k < blocks else held:
+                rows.append((page, url, main_text(lines, partner)))
+            if len(rows) >= 512:
+                yield _batch(rows, kinds)
+                rows.clear()
+
+    try:
+        for batch in batches:
+            kinds = [batch.column(k).type for k in (2, 3)]
+            for host, path, page, url, html in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                lines, path = lines_of(html or ""), path or ""
+                if key is not None and key != (host, path):
+                    yield from settle((host, path, lines))
+                    before = (*key, held[-1][2])
+                    held, blocks = [], 0
+                    if spilled:
+                        spilled.close()
+                        spilled = None
+                key = (host, path)
+                if len(held) >= HELD:
+                    spilled = spilled or tempfile.TemporaryFile()
+                    pickle.dump(held, spilled)
+                    held, blocks = [], blocks + 1
+                held.append((page, url, lines))
+        if key is not None:
+            yield from settle(None)
+        if rows:
             yield _batch(rows, kinds)
-            rows = []
-    settle(None)
-    if rows:
-        yield _batch(rows, kinds)
+    finally:
+        if spilled:
+            spilled.close()
 
 
 def _batch(rows: list[tuple], kinds: list) -> pa.RecordBatch:
@@ -186,9 +200,10 @@ def url_host(url: Column) -> Column:
 
 
 def url_path(url: Column) -> Column:
-    """The path without query, fragment, a closing slash or a page suffix."""
+    """The path without fragment, a closing slash or a page suffix, with the query."""
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.regexp_replace(path, r"(?:/|\.html?)$", "")
+    query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+    return F.concat(F.regexp_replace(path, r"(?:/|\.html?)$", ""), query)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

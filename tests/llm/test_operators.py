@@ -298,6 +298,20 @@ def test_html(spark):
     assert got[4] == got[5] == [("", 0)]
 
 
+def test_html_differencing_reaches_every_page(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "HELD", 2)
+    page = lambda k: f"<p>Site menu</p><p>Story {k}</p><p>Site foot</p>"
+    rows = [(k, "http://many.org/a", page(0)) for k in range(7)] + [(7, "http://many.org/b", page(7))] + [(k, f"http://query.org/show?id={k}", page(k)) for k in range(8, 12)]
+    got = {r[0]: r[2] for b in html_text._extract(iter(_sorted_pages(spark, rows))) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert got == {k: "Story 0" if k < 7 else f"Story {k}" for k in range(12)}
+
+
+def _sorted_pages(spark, rows):
+    df = spark.createDataFrame(rows, "id long, url string, html string")
+    df = df.select(html_text.url_host(F.col("url")).alias("h"), html_text.url_path(F.col("url")).alias("p"), "id", "url", "html").orderBy("h", "p", "id")
+    return df.toArrow().to_batches()
+
+
 def test_shared_lines(rng):
     def lcs(a, b):
         best = np.zeros((len(a) + 1, len(b) + 1), int)
