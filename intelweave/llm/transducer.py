@@ -8,14 +8,21 @@ Two deterministic machines are compiled from a public vocabulary file:
 * the *merger* reads the bytes of a pre-token. A state holds, for each place where a vocabulary entry may still
   begin, the last token of the only valid tokenisation up to there and its count. Each transition is annotated
   with the tokens that it emits for certain and with the token that ends there. States are built when first met.
+  A long pre-token is cut into chunks of bytes. Each chunk has a map from entry state to exit state, filled for the
+  entry states that the chunk before may hand on; a prefix scan composes the maps and tells every chunk its entry.
 
 The tokenisation of a prefix is unique because two neighbouring tokens either survive merging as they are or don't.
+States live between texts up to KEPT_BYTES; past that the half that was met last stays, and a word that is not at
+its end takes its state along.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,9 +36,19 @@ FRESH, IN_L, IN_N, IN_O, Q, QRV, QL, ONE_B, ONE_S, MANY_B, MANY_S = range(11)
 STATES = 11
 #: Pieces of the prefix scan, in characters.
 PIECE = 128
-#: Entries after which the merger's table of pairs, and states after which its machine, is built anew.
-PAIRS_KEPT = 300_000
-STATES_KEPT = 200_000
+#: Bytes of the merger's states and transitions after which the older half goes, and pairs of tokens after which they are built anew.
+KEPT_BYTES = 48 << 20
+PAIRS_KEPT = 60_000
+STATE_BYTES = 160  # of a state besides its key: entries of a list and of a dict, numbers
+#: Bytes of words walked between two looks at that size; words of more than CHUNKED bytes are walked as chunks of CHUNK.
+PORTION = 1 << 18
+CHUNKED, CHUNK = 4096, 256
+#: Rounds in which every exit of a chunk is tried as an entry of the next; after that only the true ones are.
+ROUNDS = 6
+#: Texts are cut, where a pre-token starts for certain, into parts of about this many characters.
+PART = 1 << 20
+_SURE = re.compile(r"(?<=[A-Za-z0-9])[ \n]")
+_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
 def splitter() -> tuple[np.ndarray, np.ndarray]:
@@ -80,35 +97,37 @@ class BpeTransducer:
             spec = json.load(f)
         self.path = path
         byte_of = self._bytes()
-        vocab = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items()}
-        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+        as_id = spec["model"]["vocab"]
+        vocab = {bytes(byte_of[c] for c in piece): i for piece, i in as_id.items()}
+        count = max(vocab.values()) + 1
+        self.sizes = np.zeros(count, np.int64)
         self.sizes[list(vocab.values())] = [len(b) for b in vocab]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        as_id = {piece: i for piece, i in spec["model"]["vocab"].items()}
-        self.merge: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
-        for rank, (a, b) in enumerate(merges):
-            self.merge[as_id[a], as_id[b]] = rank
-            self.parts.setdefault(as_id[a + b], (as_id[a], as_id[b], rank))
+        self.merge: dict[int, int] = {}
+        # what each token is merged from, and the rank of that merge
+        self.first, self.second, self.rank = (array("i", [-1]) * count for _ in range(3))
+        for rank, m in enumerate(spec["model"]["merges"]):
+            x, y = m.split(" ") if isinstance(m, str) else m
+            self.merge[as_id[x] << 20 | as_id[y]] = rank
+            whole = as_id[x + y]
+            if self.rank[whole] < 0:
+                self.first[whole], self.second[whole], self.rank[whole] = as_id[x], as_id[y], rank
         self.child: dict[int, int] = {}
-        self.token = [-1]
-        inner = set()
+        self.token, self.inner = array("i", [-1]), bytearray(1)
         for b, i in vocab.items():
             node = 0
             for x in b:
                 key = node << 8 | x
-                inner.add(node)
+                self.inner[node] = 1
                 if key not in self.child:
                     self.child[key] = len(self.token)
                     self.token.append(-1)
+                    self.inner.append(0)
                 node = self.child[key]
             self.token[node] = i
-        self.inner = [k in inner for k in range(len(self.token))]
         self.to, self.out = splitter()
         self.classes = self._classes()
-        self._spines: dict[tuple[int, bool], list[tuple[int, float]]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._reset()
 
     @staticmethod
@@ -174,57 +193,95 @@ class BpeTransducer:
     # -- the merger
 
     def _reset(self) -> None:
-        self.states = [((-1, 0, 0),)]
-        self.number = {self.states[0]: 0}
-        self.column = np.full(256, -1, np.int64)  # of the bytes met so far, in the tables
-        self.used = 0
-        self.next = np.full((1 << 12, 32), -1, np.int32)
-        self.emits = np.zeros((1 << 12, 32), np.int8)  # a vocabulary entry is shorter than 128 bytes or as long, so 127 at most
-        self.final = np.zeros(1 << 12, np.int16)
-        self.ended = np.full(1 << 12, -1, np.int32)
-
-    def _grow(self, rows: int, cols: int) -> None:
-        h, w = self.next.shape
-        if rows > h or cols > w:
-            h2, w2 = (h * 5 // 4 if rows > h else h), (min(256, w + 32) if cols > w else w)
-            for name, fill in (("next", -1), ("emits", 0)):
-                old = getattr(self, name)
-                new = np.full((h2, w2), fill, old.dtype)
-                new[:h, :w] = old
-                setattr(self, name, new)
-            self.final = np.concatenate([self.final, np.zeros(h2 - h, np.int16)])
-            self.ended = np.concatenate([self.ended, np.full(h2 - h, -1, np.int32)])
-
-    def _spine(self, t: int, right: bool) -> list[tuple[int, float]]:
-        """Symbols that stand at the right (left) end of t while it forms, with the rank of the merge that takes each in."""
-        if (t, right) not in self._spines:
-            out, above = [(t, float("inf"))], t
-            while above in self.parts:
-                a, b, rank = self.parts[above]
-                above = b if right else a
-                out.append((above, rank))
-            self._spines[t, right] = out
-        return self._spines[t, right]
+        """Only the state in which every word begins, number 0."""
+        self.keys: list[bytes] = []
+        self.number: dict[bytes, int] = {}
+        self.final, self.ended, self.last = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.clock, self.bytes_kept = 0, 0
+        self._table(1 << 14)
+        self._intern(array("Q", [self._live(-1, 0, 0)]).tobytes(), 0, -1)
+
+    def _table(self, size: int) -> None:
+        """An empty table of transitions: state and byte, then the next state and the emitted tokens."""
+        self.asked, self.given, self.filled = np.full(size, -1, np.int64), np.zeros(size, np.int64), 0
+        self.shift = np.uint64(64 - size.bit_length() + 1)
+
+    @staticmethod
+    def _live(last: int, node: int, n: int) -> int:
+        """A place where an entry may still begin: the last token before it (none: 0), the node reached since, tokens up to there."""
+        return (last + 1) << 44 | node << 20 | n
+
+    def _intern(self, key: bytes, final: int, ended: int) -> int:
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.keys)
+            self.keys.append(key)
+            if to >= len(self.final):
+                self.final, self.ended, self.last = (np.concatenate([x, np.zeros_like(x)]) for x in (self.final, self.ended, self.last))
+            self.final[to], self.ended[to], self.last[to] = final, ended, self.clock
+            self.bytes_kept += len(key) + STATE_BYTES
+        return to
+
+    def _slots(self, asked: np.ndarray) -> np.ndarray:
+        """Places of transitions in the table, -1 for those not built yet."""
+        mask = len(self.asked) - 1
+        slot = (asked.astype(np.uint64) * _HASH >> self.shift).astype(np.int64)
+        held = self.asked[slot]
+        off = np.flatnonzero(held != asked)
+        while off.size:
+            none = held[off] < 0
+            slot[off[none]] = -1
+            off = off[~none]
+            slot[off] = (slot[off] + 1) & mask
+            held[off] = self.asked[slot[off]]
+            off = off[held[off] != asked[off]]
+        return slot
+
+    def _put(self, asked: np.ndarray, given: np.ndarray) -> None:
+        if 2 * (self.filled + len(asked)) > len(self.asked):
+            old = np.flatnonzero(self.asked >= 0)
+            kept, size = (self.asked[old], self.given[old]), len(self.asked)
+            while 2 * (len(old) + len(asked)) > size:
+                size *= 2
+            self._table(size)
+            self._put(*kept)
+        mask, slot = len(self.asked) - 1, (asked.astype(np.uint64) * _HASH >> self.shift).astype(np.int64)
+        left = np.arange(len(asked))
+        while left.size:
+            _, one = np.unique(slot[left], return_index=True)  # one for each place
+            one = left[one][self.asked[slot[left[one]]] < 0]
+            self.asked[slot[one]], self.given[slot[one]] = asked[one], given[one]
+            left = left[self.asked[slot[left]] != asked[left]]
+            slot[left] = (slot[left] + 1) & mask
+        self.filled += len(asked)
+
+    def _spine(self, t: int, of: array) -> Iterator[tuple[int, float]]:
+        """Symbols that stand at one end of t while it forms, with the rank of the merge that takes each in."""
+        rank: float = float("inf")
+        while t >= 0:
+            yield t, rank
+            rank, t = self.rank[t], of[t]
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a followed by b stays as it is, or some merge across the border comes first (ties go to the left one)."""
-        got = self._fits.get((a, b))
+        got = self._fits.get(a << 20 | b)
         if got is None:
-            got = True
-            for x, xr in self._spine(a, True):
-                for y, yr in self._spine(b, False):
-                    m = self.merge.get((x, y))
+            got, right = True, list(self._spine(b, self.first))
+            for x, xr in self._spine(a, self.second):
+                for y, yr in right:
+                    m = self.merge.get(x << 20 | y)
                     if m is not None and m < xr and m <= yr:
                         got = False
             if len(self._fits) > PAIRS_KEPT:
                 self._fits.clear()
-            self._fits[a, b] = got
+            self._fits[a << 20 | b] = got
         return got
 
-    def _transition(self, state: int, byte: int) -> None:
-        """Add the state that byte leads to, with the tokens emitted for certain on the way."""
+    def _transition(self, state: int, byte: int) -> int:
+        """The state that byte leads to and the tokens emitted for certain on the way, as one number."""
         live, ended, at = [], -1, 0
-        for last, node, n in self.states[state]:
+        for packed in array("Q", self.keys[state]):
+            last, node, n = (packed >> 44) - 1, packed >> 20 & 0xFFFFFF, packed & 0xFFFFF
             child = self.child.get(node << 8 | byte)
             if child is None:
                 continue
@@ -235,46 +292,164 @@ class BpeTransducer:
                 live.append((last, child, n))
         live.append((ended, 0, at))
         base = min(n for _, _, n in live)
-        key = tuple((last, node, n - base) for last, node, n in live)
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(key)
-            self._grow(to + 1, 0)
-            self.final[to], self.ended[to] = at - base, ended
-        col = self.column[byte]
-        self.next[state, col], self.emits[state, col] = to, base
-
-    def walk(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, trace: np.ndarray | None = None) -> np.ndarray:
-        """Tokens of each word data[begin : begin + size]; all words advance together, a byte at a time.
+        key = array("Q", [self._live(last, node, n - base) for last, node, n in live]).tobytes()
+        return self._intern(key, at - base, ended) << 20 | base
 
-        trace, as long as data, gets the token that ends at each byte.
-        """
-        if len(self.states) > STATES_KEPT:
-            self._reset()
-        for byte in np.unique(data)[self.column[np.unique(data)] < 0].tolist():
-            self.column[byte], self.used = self.used, self.used + 1
-            self._grow(0, self.used)
+    def _run(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, entry: np.ndarray, trace: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Exit state and emitted tokens of each piece data[begin : begin + size]; all advance together, a byte at a time."""
         order = np.argsort(-size, kind="stable")
-        begin, left = begin[order], -np.sort(-size)
-        state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        begin, left = begin[order], size[order]
+        state, total = entry[order].astype(np.int64), np.zeros(len(order), np.int64)
         active = np.searchsorted(-left, -np.arange(left[0] if len(left) else 0), "left")
         for k, m in enumerate(active.tolist()):
             at = begin[:m] + k
-            bytes_, now = data[at], state[:m]
-            cols = self.column[bytes_]
-            to = self.next[now, cols]
-            if (new := np.flatnonzero(to < 0)).size:
-                for pair in np.unique(now[new] << 8 | bytes_[new]).tolist():
-                    self._transition(pair >> 8, pair & 255)
-                to = self.next[now, cols]
-            total[:m] += self.emits[now, cols]
-            state[:m] = to
+            asked = state[:m] << 8 | data[at]
+            slot = self._slots(asked)
+            if (slot < 0).any():
+                new = np.unique(asked[slot < 0])
+                self._put(new, np.array([self._transition(x >> 8, x & 255) for x in new.tolist()], np.int64))
+                slot = self._slots(asked)
+            given = self.given[slot]
+            total[:m] += given & 0xFFFFF
+            state[:m] = given >> 20
+            self.last[state[:m]] = self.clock
             if trace is not None:
-                trace[at] = self.ended[to]
-        out = np.empty(len(order), np.int64)
-        out[order] = total + self.final[state]
-        return out
+                trace[at] = self.ended[state[:m]]
+        exits, emitted = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        exits[order], emitted[order] = state, total
+        return exits, emitted
+
+    def _entries(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, head: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Entry states of chunks. head: the chunk begins a word, or goes on with one, in the state given.
+
+        Chunks of equal bytes share a map. In a round each exit found becomes an entry of the next chunk; the maps
+        are composed by a prefix scan until the chain from each head on is known.
+        """
+        n = len(begin)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        flat = data[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], size)]
+        same = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        known = np.zeros(0, np.int64)  # (chunk's bytes, entry), sorted
+        exits = np.zeros(0, np.int64)
+        at = np.concatenate([np.arange(n), np.flatnonzero(head)])  # entries asked for, by chunk; state 0 is a first guess
+        want = np.concatenate([np.where(head, given, 0), given[head]])
+        entry, rounds = np.where(head, given, -1), 0
+        asked = np.unique(at << 32 | want)
+        while True:
+            at, want = asked >> 32, asked & 0xFFFFFFFF
+            pairs = np.unique(same[at] << 32 | want, return_index=True)
+            new = ~np.isin(pairs[0], known)
+            pick = pairs[1][new]
+            got, _ = self._run(data, begin[at[pick]], size[at[pick]], want[pick])
+            order = np.argsort(np.concatenate([known, pairs[0][new]]), kind="stable")
+            known, exits = np.concatenate([known, pairs[0][new]])[order], np.concatenate([exits, got])[order]
+            # the domain of each chunk in slots, and where each slot leads in the next chunk's domain
+            chunk, state = asked >> 32, asked & 0xFFFFFFFF
+            leads = exits[np.searchsorted(known, same[chunk] << 32 | state)]
+            first = np.searchsorted(chunk, np.arange(n))
+            wide = int(np.diff(np.append(first, len(chunk))).max())
+            maps = np.full((n, wide + 1), wide, np.int64)
+            goes = np.searchsorted(asked, (chunk + 1) << 32 | leads)
+            there = (goes < len(asked)) & (asked[np.minimum(goes, len(asked) - 1)] == ((chunk + 1) << 32 | leads))
+            last = np.append(head[1:], True)[chunk]  # the next chunk has its own entry
+            slot = np.arange(len(chunk)) - first[chunk]
+            maps[chunk, slot] = np.where(there & ~last, goes - first[np.minimum(chunk + 1, n - 1)], wide)
+            opens = np.searchsorted(asked, np.arange(n) << 32 | np.where(head, given, 0)) - first
+            closes = np.flatnonzero(np.append(head[1:], False))
+            maps[closes] = opens[closes + 1][:, None]
+            d = 1
+            while d < n:
+                maps = np.concatenate([maps[:d], np.take_along_axis(np.concatenate([maps[d:], np.full((n - d, 1), wide)], 1), maps[:-d], 1)])[:, : wide + 1]
+                d *= 2
+            into = np.append(opens[0], maps[:-1, opens[0]])
+            sure = into < wide
+            entry = np.where(sure, state[np.minimum(first + into, len(state) - 1)], -1)
+            if sure.all():
+                return entry
+            rounds += 1
+            if rounds < ROUNDS:
+                some = ~last
+                fresh = (chunk[some] + 1) << 32 | leads[some]
+            else:  # the first chunk of each word whose entry isn't known
+                edge = np.flatnonzero(~sure & np.append(False, sure[:-1]))
+                before = exits[np.searchsorted(known, same[edge - 1] << 32 | entry[edge - 1])]
+                fresh = edge << 32 | before
+            asked = np.union1d(asked, fresh)
+
+    def walk(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, trace: np.ndarray | None = None) -> np.ndarray:
+        """Tokens of each word data[begin : begin + size].
+
+        trace, as long as data, gets the token that ends at each byte.
+        """
+        total = np.zeros(len(size), np.int64)
+        short = np.flatnonzero(size <= CHUNKED)
+        short = short[np.argsort(-size[short], kind="stable")]
+        group = np.cumsum(size[short]) // PORTION
+        for words in np.split(short, np.flatnonzero(np.diff(group)) + 1) if len(short) else []:
+            exits, emitted = self._run(data, begin[words], size[words], np.zeros(len(words), np.int64), trace)
+            total[words] = emitted + self.final[exits]
+            self._bound()
+        goes_on = None  # the state of a word that the last portion didn't finish
+        portion: list[tuple[int, int, int]] = []
+        room = PORTION
+        for w in np.flatnonzero(size > CHUNKED).tolist():
+            at, stop = int(begin[w]), int(begin[w] + size[w])
+            while at < stop:
+                n = min(room, stop - at)
+                portion.append((w, at, n))
+                at, room = at + n, room - n
+                if not room:
+                    goes_on = self._portion(data, portion, goes_on, stop if at == stop else None, total, trace)
+                    portion, room = [], PORTION
+        if portion:
+            self._portion(data, portion, goes_on, portion[-1][1] + portion[-1][2], total, trace)
+        return total
+
+    def _bound(self) -> None:
+        """Look at the size after a portion; of too many states the half that was met last stays."""
+        self.clock += 1
+        if self.bytes_kept + 16 * len(self.asked) <= KEPT_BYTES:
+            return
+        n = len(self.keys)
+        stays = np.zeros(n, bool)
+        stays[0] = True
+        stays[np.argsort(self.last[:n], kind="stable")[n // 2 :]] = True
+        number = np.where(stays, np.cumsum(stays) - 1, -1)
+        old = np.flatnonzero(self.asked >= 0)
+        asked, given = self.asked[old], self.given[old]
+        both = stays[asked >> 8] & stays[given >> 20]
+        asked, given = asked[both], given[both]
+        self.keys = [self.keys[k] for k in np.flatnonzero(stays).tolist()]
+        self.number = {key: k for k, key in enumerate(self.keys)}
+        self.bytes_kept = sum(map(len, self.keys)) + STATE_BYTES * len(self.keys)
+        self.final, self.ended, self.last = (x[:n][stays] for x in (self.final, self.ended, self.last))
+        self._table(1 << 14)
+        self._put(number[asked >> 8] << 8 | asked & 255, number[given >> 20] << 20 | given & 0xFFFFF)
+
+    def _portion(self, data: np.ndarray, portion: list[tuple[int, int, int]], goes_on: bytes | None, stop: int | None, total: np.ndarray, trace: np.ndarray | None) -> bytes | None:
+        """Walk parts (word, begin, size) of long words as chunks. stop: None if the last word isn't at its end; then its state is given back."""
+        word, begin, size, head, given = [], [], [], [], []
+        for k, (w, at, n) in enumerate(portion):
+            starts = list(range(at, at + n, CHUNK))
+            begin += starts
+            size += [min(CHUNK, at + n - s) for s in starts]
+            word += [w] * len(starts)
+            head += [True] + [False] * (len(starts) - 1)
+            carried = self.number[goes_on] if k == 0 and goes_on is not None else 0
+            given += [carried] * len(starts)
+        word, begin, size, given = (np.array(x, np.int64) for x in (word, begin, size, given))
+        head = np.array(head)
+        entry = self._entries(data, begin, size, head, given)
+        exits, emitted = self._run(data, begin, size, entry, trace)
+        np.add.at(total, word, emitted)
+        ends = np.append(head[1:], stop is not None)
+        total[word[ends]] += self.final[exits[ends]]
+        rest = None if stop is not None else self.keys[exits[-1]]
+        tail = None if rest is None else (int(self.final[exits[-1]]), int(self.ended[exits[-1]]))
+        self._bound()
+        if rest is not None:
+            self._intern(rest, *tail)
+        return rest
 
     def spell(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of each word, one after the other, and their number."""
@@ -327,14 +502,36 @@ class BpeTransducer:
             sizes.append(len(pieces))
         return parts, sizes, specials
 
+    @staticmethod
+    def _blocks(parts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+        """Parts in blocks of about PART characters, with their numbers; a longer part is cut where a pre-token starts for certain."""
+        numbers, held, size = [], [], 0
+        for k, p in enumerate(parts):
+            at = 0
+            while at == 0 or at < len(p):
+                cut = _SURE.search(p, at + PART) if len(p) - at > PART else None
+                end = cut.start() if cut else len(p)
+                if held and size + end - at > PART:
+                    yield numbers, held
+                    numbers, held, size = [], [], 0
+                numbers.append(k)
+                held.append(p[at:end])
+                size += end - at
+                if end == len(p):
+                    break
+                at = end
+        if held:
+            yield numbers, held
+
     def count_texts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         parts, sizes, specials = self._parts(texts)
-        data, begin, size, where, per = self._words(parts)
-        each = self.walk(data, begin, size)
-        total = np.concatenate([[0], np.cumsum(each[where])])
-        stop = np.cumsum(per)
-        by_part = total[stop] - total[stop - per]
+        by_part = np.zeros(len(parts), np.int64)
+        for numbers, held in self._blocks(parts):
+            data, begin, size, where, per = self._words(held)
+            total = np.concatenate([[0], np.cumsum(self.walk(data, begin, size)[where])])
+            stop = np.cumsum(per)
+            np.add.at(by_part, numbers, total[stop] - total[stop - per])
         for k, _ in specials:
             by_part[k] += 1
         upto = np.concatenate([[0], np.cumsum(by_part)])
@@ -344,23 +541,23 @@ class BpeTransducer:
     def id_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         parts, sizes, specials = self._parts(texts)
-        data, begin, size, where, per = self._words(parts)
-        flat, n = self.spell(data, begin, size)
-        shift = (np.cumsum(n) - n)[where]
-        n = n[where]
-        stop = np.cumsum(n)
-        ids = flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(shift - (stop - n), n)]
-        bound = np.concatenate([[0], stop])
-        last = bound[np.cumsum(per)]
-        first = bound[np.cumsum(per) - per]
-        after = dict(specials)
+        of_part: list[list[np.ndarray]] = [[] for _ in parts]
+        for numbers, held in self._blocks(parts):
+            data, begin, size, where, per = self._words(held)
+            flat, n = self.spell(data, begin, size)
+            shift = (np.cumsum(n) - n)[where]
+            n = n[where]
+            stop = np.cumsum(n)
+            ids = flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(shift - (stop - n), n)]
+            bound = np.concatenate([[0], stop])
+            last = np.cumsum(per)
+            for k, a, b in zip(numbers, bound[last - per].tolist(), bound[last].tolist(), strict=True):
+                of_part[k].append(ids[a:b])
+        for k, i in specials:
+            of_part[k].append(np.array([i], np.int32))
         out, k = [], 0
         for s in sizes:
-            pieces = []
-            for p in range(k, k + s):
-                pieces.append(ids[first[p] : last[p]])
-                if p in after:
-                    pieces.append(np.array([after[p]], np.int32))
+            pieces = [x for p in of_part[k : k + s] for x in p]
             out.append(pieces[0] if len(pieces) == 1 else np.concatenate(pieces))
             k += s
         return out
