@@ -42,7 +42,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeats", "n_passages", "passage_words", (F.col("n_passages") > 0).alias("repeats_passage"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

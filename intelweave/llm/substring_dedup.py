@@ -6,7 +6,10 @@ share a string. The suffixes that start at the anchors of one hash are sorted, n
 lengths, and a stack scan of these gives the interval tree: an interval is a set of anchors with a common
 right context. Children are joined to their parent smaller into larger, in the order of what stands left of the
 anchor, so the longest left extension of each anchor stands next to it; where left and right context make up
-LENGTH bytes, both places are covered. maximal_repeats gives the intervals with all their occurrences.
+LENGTH bytes, both places are covered. maximal_repeats gives the intervals with all their occurrences. A match that can
+grow neither way is a maximal repeat; its digest names its group, and every occurrence found carries that name.
+
+Contexts that are equal within a block of texts travel as one row with the list of their places.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +30,10 @@ from .shingles import mix
 
 LENGTH = 400
 GRAM = 32
+#: A passage is a match of at least so many words, and of so many bytes, that stands in two documents.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 204
 _BASE = 0x9E3779B97F4A7C15
-_PLACE = np.uint64(28)  # bits of a place within a block of texts
+_PLACE = np.uint64(28)  # bits of a place within a block of texts; longer texts are ranked in parts
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +45,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _least_places(x: np.ndarray, w: int) -> np.ndarray:
+    """The place of the least of each w neighbouring values, the first one if their leading bits are equal."""
+    n = len(x)
+    rows = -(-n // w)
+    wide = np.full(rows * w, np.iinfo(np.uint64).max, np.uint64)
+    wide[:n] = (x >> _PLACE << _PLACE) | np.arange(n, dtype=np.uint64)
+    wide = wide.reshape(rows, w)
+    ahead = np.minimum.accumulate(wide, 1).ravel()
+    behind = np.minimum.accumulate(wide[:, ::-1], 1)[:, ::-1].ravel()
+    return (np.minimum(behind[: n - w + 1], ahead[w - 1 : n]) & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)
+
+
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, hash, place, first start, last start) of each anchor: places and starts count from the text's begin."""
     none = np.zeros(0, np.int64)
@@ -51,17 +69,14 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(np.arange(1, 257, dtype=np.uint64))[data] * up[:-1], dtype=np.uint64)])
     grams = mix((sums[gram:] - sums[:-gram]) * down[:n])
     del sums, up, down
-    low = (grams >> _PLACE << _PLACE) | np.arange(n, dtype=np.uint64)
-    rows = -(-n // w)
-    wide = np.full(rows * w, np.iinfo(np.uint64).max, np.uint64)
-    wide[:n] = low
-    wide = wide.reshape(rows, w)
-    ahead = np.minimum.accumulate(wide, 1).ravel()
-    behind = np.minimum.accumulate(wide[:, ::-1], 1)[:, ::-1].ravel()
+    least = np.empty(n - w + 1, np.int64)
+    part = (1 << int(_PLACE)) - w
+    for k in range(0, n - w + 1, part):
+        least[k : k + part] = _least_places(grams[k : k + part + w - 1], w) + k
     ends = np.cumsum(size)
     runs = np.maximum(size - length + 1, 0)
     starts = np.arange(runs.sum()) + np.repeat(ends - size - (np.cumsum(runs) - runs), runs)
-    at = (np.minimum(behind[starts], ahead[starts + w - 1]) & np.uint64((1 << 28) - 1)).astype(np.int64)
+    at = least[starts]
     of = np.repeat(np.arange(len(texts)), runs)
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])]))
     last = np.append(first[1:], len(at)) - 1
@@ -112,19 +127,20 @@ class Bucket:
         self.by_rank = rank
         self.lcp = [0] + [common(a, b) for a, b in zip(self.right, self.right[1:], strict=False)]
 
-    def covered(self) -> list[list[tuple[int, int]]]:
-        """For each context, in the order given, spans (left of the anchor, right of it) that another context shares."""
-        spans: list[list[tuple[int, int]]] = [[] for _ in self.order]
+    def covered(self, least: int | None = None) -> list[list[tuple[int, int, int]]]:
+        """For each context, in the order given, spans (left of the anchor, right of it, a partner) of least bytes or more that another context shares."""
+        least = self.length if least is None else least
+        spans: list[list[tuple[int, int, int]]] = [[] for _ in self.order]
         sets: dict[int, tuple[int, list[int]]] = {}  # by the first suffix: the last one, and left ranks in order
 
         def pair(x: int, y: int, depth: int) -> None:
-            if depth + min(len(self.left[x]), len(self.left[y])) >= self.length:
+            if depth + min(len(self.left[x]), len(self.left[y])) >= least:
                 n = common(self.left[x], self.left[y])
-                if n + depth >= self.length:
-                    for k in (x, y):
+                if n + depth >= least:
+                    for k, partner in ((x, y), (y, x)):
                         own = spans[self.order[k]]
-                        if not own or own[-1] != (n, depth):
-                            own.append((n, depth))
+                        if not own or own[-1] != (n, depth, self.order[partner]):
+                            own.append((n, depth, self.order[partner]))
 
         for depth, first, last in intervals(self.lcp):
             parts, k = [], first
@@ -178,61 +194,90 @@ def _repeated_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _bucket_contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Rows (k1, k2, __text, places) to contexts (hash, k1, k2, left, right, places); equal contexts of a text make one row."""
+    """Rows (k1, k2, __text, places) to contexts (hash, left, right, k1, k2, places); equal contexts of a block make one row."""
     for rows, texts in blocks(batches, "__text"):
         raw = [t.encode() for t in texts]
         wanted = [set(p) for p in rows.column(3).to_pylist()]
         k1, k2 = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-        found: dict[tuple, list[int]] = {}
+        found: dict[tuple, tuple[list, list, list]] = {}
         for text, h, at, lo, hi in zip(*(x.tolist() for x in anchors(raw, length, gram)), strict=True):
             if at in wanted[text]:
                 t = raw[text]
-                found.setdefault((text, h, t[lo:at][::-1], t[at : hi + length]), []).append(at)
+                for held, x in zip(found.setdefault((h, t[lo:at][::-1], t[at : hi + length]), ([], [], [])), (k1[text], k2[text], at), strict=True):
+                    held.append(x)
         keys = list(found)
         for k in range(0, len(keys), 4096):
             some = keys[k : k + 4096]
-            cols = [[x[1] for x in some], [k1[x[0]] for x in some], [k2[x[0]] for x in some], [x[2] for x in some], [x[3] for x in some], [found[x] for x in some]]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["hash", "k1", "k2", "left", "right", "places"])
+            cols = [*([x[c] for x in some] for c in range(3)), *([found[x][c] for x in some] for c in range(3))]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), *(pa.list_(pa.int64()) for _ in range(3)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["hash", "left", "right", "k1", "k2", "places"])
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Groups of rows (k1, k2, left, right, places) with one hash; rows come sorted by hash."""
-    held, key = [], None
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple[bytes, bytes], list[tuple[int, int, int]]]]:
+    """For each hash, its different contexts (left, right) with all their places (k1, k2, place); rows come sorted by hash.
+
+    Equal contexts, of one text or several, are repeats as a whole; one of them stands for all in the tree.
+    """
+    held: dict[tuple[bytes, bytes], list[tuple[int, int, int]]] = {}
+    key = None
     for b in batches:
-        for row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-            if row[0] != key:
+        for h, left, right, k1, k2, at in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            if h != key:
                 if held:
                     yield held
-                held, key = [], row[0]
-            held.append(row[1:])
+                held, key = {}, h
+            held.setdefault((left, right), []).extend(zip(k1, k2, at, strict=True))
     if held:
         yield held
 
 
+def _words(b: bytes) -> int:
+    """Words that stand in b whole."""
+    n = len(b.split())
+    return n - (b[:1] > b" ") - (b[-1:] > b" ") if n else 0
+
+
 def _cover(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Spans (k1, k2, start, end) of bytes that lie in a repeated string."""
+    """Occurrences (k1, k2, start, end, repeat, passage) of maximal repeats of length bytes or more, or of passages.
+
+    repeat is a digest of the string; passage tells that it has enough words and stands in two texts.
+    """
     out: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["k1", "k2", "start", "end"])
+        kinds = (*[pa.int64()] * 5, pa.bool_())
+        batch = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["k1", "k2", "start", "end", "repeat", "passage"])
         out.clear()
         return batch
 
-    for rows in _by_bucket(batches):
-        # equal contexts, of one text or several, are repeats as a whole; one of them stands for all in the tree
-        places: dict[tuple[bytes, bytes], list[tuple[int, int, int]]] = {}
-        for k1, k2, left, right, at in rows:
-            places.setdefault((left, right), []).extend((k1, k2, p) for p in at)
+    for places in _by_bucket(batches):
         contexts = list(places)
-        spans = Bucket(contexts, length).covered() if len(contexts) > 1 else [[]]
-        for c, found in zip(contexts, spans, strict=True):
-            if len(places[c]) > 1:
-                found = [(len(c[0]), len(c[1]))]
-            for n, depth in found:
-                out.extend((k1, k2, p - n, p + depth) for k1, k2, p in places[c])
-        if len(out) >= 1 << 15:
-            yield flush()
+        texts = [{p[:2] for p in places[c]} for c in contexts]
+        least = min(length, PASSAGE_BYTES)
+        spans = Bucket(contexts, length).covered(least) if len(contexts) > 1 else [[]]
+        for k, (c, found) in enumerate(zip(contexts, spans, strict=True)):
+            n_texts = len(texts[k])
+            best: dict[tuple[int, int], bool] = {}
+            if len(places[c]) > 1 and len(c[0]) + len(c[1]) >= least:
+                best[len(c[0]), len(c[1])] = n_texts > 1
+            for n, depth, partner in found:
+                best[n, depth] = best.get((n, depth), False) or n_texts > 1 or texts[partner] != texts[k]
+            # a span within another of the same kind adds nothing
+            for two in (True, False):
+                kept: list[tuple[int, int]] = []
+                for n, depth in sorted((x for x, other in best.items() if other is two or not two), reverse=True):
+                    if not kept or depth > kept[-1][1]:
+                        kept.append((n, depth))
+                for n, depth in kept:
+                    if not two and n + depth < length:
+                        continue
+                    string = c[0][:n][::-1] + c[1][:depth]
+                    passage = two and _words(string) >= PASSAGE_WORDS
+                    if n + depth >= length or passage:
+                        name = xxhash.xxh64_intdigest(string) - (1 << 63)
+                        out.extend((k1, k2, p - n, p + depth, name, passage) for k1, k2, p in places[c])
+            if len(out) >= 1 << 15:
+                yield flush()
     if out:
         yield flush()
 
@@ -256,7 +301,7 @@ def _texts_and_contexts(docs: DataFrame, text_col: str, length: int, gram: int)
     once = plain.groupBy("k1", "k2").agg(F.first("__text").alias("__text"), F.count(F.lit(1)).alias("copies"))
     texts = written(once.join(by_text, ["k1", "k2"], "left"))
     asked = texts.filter("places is not null").select("k1", "k2", "__text", "places")
-    contexts = asked.mapInArrow(lambda b: _bucket_contexts(b, length, gram), "hash long, k1 long, k2 long, left binary, right binary, places array<long>")
+    contexts = asked.mapInArrow(lambda b: _bucket_contexts(b, length, gram), "hash long, left binary, right binary, k1 array<long>, k2 array<long>, places array<long>")
     return texts, contexts.repartition("hash").sortWithinPartitions("hash")
 
 
@@ -268,12 +313,12 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches):
-            contexts = [(left, right) for _, _, left, right, _ in rows]
+        for places in _by_bucket(batches):
+            contexts = list(places)
             out = []
             for n, depth, members in Bucket(contexts, length).groups():
                 left, right = contexts[members[0]]
-                where = [{"k1": rows[k][0], "k2": rows[k][1], "start": p - n} for k in members for p in rows[k][4]]
+                where = [{"k1": k1, "k2": k2, "start": p - n} for k in members for k1, k2, p in places[contexts[k]]]
                 out.append((hashlib.md5(left[:n][::-1] + right[:depth]).hexdigest(), n + depth, where))
             if out:
                 kind = pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64())]))
@@ -288,14 +333,13 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _cut(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    kept, removed, runs, sizes = [], [], [], []
-    for text, copies, spans in zip(pdf["__text"], pdf.copies, pdf.spans, strict=True):
+    out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept", "n_repeats", "n_passages", "passage_words")}
+    for text, copies, found in zip(pdf["__text"], pdf.copies, pdf.found, strict=True):
         raw = text.encode()
-        sizes.append(len(raw))
-        parts, at, n, k = [], 0, 0, 0
-        every = [(0, len(raw))] if copies > 1 and len(raw) >= length else sorted((s["start"], s["end"]) for s in spans) if spans is not None else []
-        end = -1
-        for s, e in every:
+        spans = [] if found is None else [(s["start"], s["end"], s["repeat"], s["passage"]) for s in found]
+        whole = copies > 1
+        parts, at, n, k, end = [], 0, 0, 0, -1
+        for s, e in [(0, len(raw))] if whole and len(raw) >= length else sorted(x[:2] for x in spans if x[1] - x[0] >= length):
             if s > end:
                 k += 1
                 parts.append(raw[at:s])
@@ -305,23 +349,28 @@ def _cut(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
             if e > end:
                 end = at = e
         parts.append(raw[at:])
-        kept.append(b"".join(parts))
-        removed.append(n)
-        runs.append(k)
-    return pd.DataFrame({"k1": pdf.k1, "k2": pdf.k2, "n_bytes": sizes, "n_removed": removed, "n_spans": runs, "kept": kept})
+        own = len(raw.split()) if whole else 0
+        passages = {x[2]: _words(raw[x[0] : x[1]]) for x in spans if x[3]} | ({None: own} if own >= PASSAGE_WORDS else {})
+        row = (len(raw), n, k, b"".join(parts), len({x[2] for x in spans if x[1] - x[0] >= length}), len(passages), max(passages.values(), default=0))
+        for c, x in zip(out, row, strict=True):
+            out[c].append(x)
+    return pd.DataFrame({"k1": pdf.k1, "k2": pdf.k2} | out)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept (the bytes left).
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept (the bytes left), n_repeats, n_passages, passage_words.
 
     A byte goes if a string of length bytes over it also starts at any other place of any row; repeated rows are
-    other places. A null text is empty; a null id is kept; other columns aren't read; no rows, no result. Matches
-    don't cross rows. The bytes left need not be whole characters.
+    other places. n_repeats counts the different maximal repeats of length bytes or more found in the text.
+    n_passages counts those of PASSAGE_WORDS whole words or more that another row shares, whatever their bytes, and
+    passage_words is the longest; under length bytes they are found where their anchors agree, which
+    is so for nearly all. A null text is empty; a null id is kept; other columns aren't read; no rows, no result.
+    Matches don't cross rows. The bytes left need not be whole characters.
     """
     texts, contexts = _texts_and_contexts(docs, text_col, length, gram)
-    spans = contexts.mapInArrow(lambda b: _cover(b, length), "k1 long, k2 long, start long, end long")
-    by_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    shape = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary"
+    found = contexts.mapInArrow(lambda b: _cover(b, length), "k1 long, k2 long, start long, end long, repeat long, passage boolean")
+    by_text = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end", "repeat", "passage")).alias("found"))
+    shape = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary, n_repeats long, n_passages long, passage_words long"
     done = texts.drop("places").join(by_text, ["k1", "k2"], "left").mapInPandas(lambda it: (_cut(p, length) for p in it), shape)
     text = F.coalesce(F.col(text_col), F.lit(""))
     ids = docs.select(F.col(id_col), F.xxhash64(text).alias("k1"), F.crc32(text.cast("binary")).alias("k2"))

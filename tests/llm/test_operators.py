@@ -170,11 +170,24 @@ def test_repeated_substrings(spark, rng):
         got = {r.doc_id: r for r in substring_dedup.drop_repeats(_docs(spark, base), length=length, gram=gram).collect()}
         want = _removed([(t or "").encode() for t in base] + [b"alone in here"], length)
         assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, hashlib.sha256(bytes(got[k].kept)).hexdigest()) for k in range(len(base))] == want[:-1]
+    assert substring_dedup.drop_repeats(_docs(spark, base).limit(0)).count() == 0
     for r in substring_dedup.maximal_repeats(_docs(spark, base), length=12, gram=4).collect():
         strings = {(base[o.id] or "").encode()[o.start : o.start + r.n_bytes] for o in r.occurrences}
         assert len(strings) == 1 and len(r.occurrences) > 1
 
 
+def test_passages_that_documents_share(spark, rng):
+    """A passage of over 50 words in two documents is told, one of fewer words or of one document alone isn't."""
+    words = lambda n: " ".join(rng.choice([f"word{k}" for k in range(5000)], n))
+    long, short, own = words(60), words(30), words(60)
+    texts = [f"{words(40)} {long} {words(40)}", f"{words(9)} {long} {words(90)}", f"{words(40)} {short} {words(40)}", f"{short} {words(50)}", f"{own} {words(20)} {own}", words(200), words(80)]
+    texts += [texts[-1]]
+    got = {r.doc_id: (r.n_passages, r.passage_words, r.n_removed > 0) for r in substring_dedup.drop_repeats(_docs(spark, texts)).collect()}
+    assert [got[k][0] > 0 for k in range(8)] == [True, True, False, False, False, False, True, True]
+    assert 51 <= got[0][1] <= 62 and got[6][1] == 80 and got[4][2] and not got[5][2]
+    assert len({got[k][0] for k in (0, 1)}) == 1
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
