@@ -348,20 +348,52 @@ def test_html(spark):
     assert got[1] == [("Head line One two three & 4 five", 32)] * 2
     assert got[3][0][0] == "Other text" and got[2][0][0] in ("Only here", "Shared line Only here")
     assert got[4] == got[5] == [("", 0)]
+    rows = [(k, f"http://copy.org/{k}", page("<article><p>same words</p></article>")) for k in range(3)]
+    copies = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.text, r.n_shared, r.n_marked) for r in copies} == {("same words", 3, 0)}  # title, menu and foot go by differencing
+
+
+def _brute_text(rows):
+    """Pairing by a plain sort of each host's paths, and lines deleted by an alignment of whole texts."""
+    import difflib
+
+    split = lambda u: re.match(r"^[a-z]+://([^/?#]*)([^?#]*)(\?[^#]*)?", u).groups("")
+    by = defaultdict(dict)
+    for i, u, h in sorted(rows):
+        host, path, q = split(u)
+        by[host].setdefault(re.sub(r"(/|\.html?)$", "", path) + q, [x[0] for x in html_text.lines_of(h)])
+    out = {}
+    for i, u, h in rows:
+        host, path, q = split(u)
+        path = re.sub(r"(/|\.html?)$", "", path) + q
+        paths = sorted(by[host])
+        k = paths.index(path)
+        near = [(html_text._alike(path, paths[j]), -(j > k), j) for j in (k - 1, k + 1) if 0 <= j < len(paths)]
+        own = [x[0] for x in html_text.lines_of(h)]
+        gone = set()
+        if near:
+            for m in difflib.SequenceMatcher(None, own, by[host][paths[max(near)[2]]], False).get_matching_blocks():
+                gone |= set(range(m.a, m.a + m.size))
+        out[i] = " ".join(x for j, x in enumerate(own) if j not in gone)
+    return out
 
 
-def test_html_differencing_reaches_every_page(spark, monkeypatch):
-    monkeypatch.setattr(html_text, "HELD", 2)
-    page = lambda k: f"<p>Site menu</p><p>Story {k}</p><p>Site foot</p>"
+def test_html_pairing_does_not_depend_on_partitions(spark):
+    page = lambda k: f"<p>Site menu</p><p>Story {k}</p><p>Part {k % 3}</p><p>Site foot</p>"
     rows = [(k, "http://many.org/a", page(0)) for k in range(7)] + [(7, "http://many.org/b", page(7))] + [(k, f"http://query.org/show?id={k}", page(k)) for k in range(8, 12)]
-    got = {r[0]: r[2] for b in html_text._extract(iter(_sorted_pages(spark, rows))) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)}
-    assert got == {k: "Story 0" if k < 7 else f"Story {k}" for k in range(12)}
-
-
-def _sorted_pages(spark, rows):
-    df = spark.createDataFrame(rows, "id long, url string, html string")
-    df = df.select(html_text.url_host(F.col("url")).alias("h"), html_text.url_path(F.col("url")).alias("p"), "id", "url", "html").orderBy("h", "p", "id")
-    return df.toArrow().to_batches()
+    rows += [(k, f"http://deep.org/x{k % 4}/y{k}.html", page(k)) for k in range(12, 60)]
+    want = _brute_text(rows)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
+            assert {r.page_id: r.text for r in got} == want and all(r.n_shared + len(r.text.split("Story")) - 1 >= 1 for r in got)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_shared_lines(rng):
@@ -374,7 +406,11 @@ def test_shared_lines(rng):
 
     for _ in range(60):
         a, b = (list(rng.choice(list("abcde"), int(rng.integers(0, 12)))) for _ in range(2))
-        assert len(html_text.shared_lines(a, b)) == lcs(a, b)
+        places = sorted(html_text.shared_lines(a, b))
+        rest = iter(b)
+        assert len(places) == lcs(a, b) and all(a[k] in rest for k in places)
+    long = [f"line {k}" for k in range(20_000)]
+    assert len(html_text.shared_lines([x for k, x in enumerate(long) if k % 3], [x for k, x in enumerate(long) if k % 2])) == sum(k % 3 > 0 and k % 2 > 0 for k in range(20_000))
 
 
 def test_warc_round_trip(spark, tmp_path):
