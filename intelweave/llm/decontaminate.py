@@ -46,13 +46,13 @@ def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str
 def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: the id, n_words, spans (array of struct start, length in words: the hit windows), items (ids of the items hit).
 
-    A null text has no words, a null id is a document like any other. Rows that agree in id and text give one row;
-    rows that share only the id stay apart. Empty tables give no rows, or rows without hits. Other columns aren't read.
+    A null text has no words, a null id is a document like any other. Each row gives a row of its own, also where rows
+    agree in id and text. Empty tables give no rows, or rows without hits. Other columns aren't read.
     """
     windows = benchmark_windows(items, item_col, item_text_col, window)
     lengths = [r.n for r in windows.select("n").distinct().collect()]  # window at most
     base = docs.select(F.col(id_col).alias("__id"), normalised(F.col(text_col)).alias("norm"))
-    base = base.withColumns({"n_words": F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))), "key": F.xxhash64("norm")})
+    base = base.withColumns({"n_words": F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))), "key": F.xxhash64("norm"), "row": F.monotonically_increasing_id()})
     hit = F.lit(False)
     joined = []
     for b in sorted({(n + 1) // 2 for n in lengths}):
@@ -79,10 +79,10 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     places = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("gram")))
     for n in sorted(lengths):
         places = F.concat(places, F.when(F.col("w").isNotNull(), _places(F.col("w"), n)).otherwise(none))
-    each = marked.select("__id", "key", "n_words", F.explode(places).alias("p")).select("__id", "key", "n_words", "p.*")
+    each = marked.select("__id", "key", "row", "n_words", F.explode(places).alias("p")).select("__id", "key", "row", "n_words", "p.*")
     side = small(windows.select(F.col("gram").alias("wgram"), F.col("n").alias("wn"), "item"), "wgram")
     met = each.join(side, (F.col("gram") == F.col("wgram")) & (F.col("n") == F.col("wn")), "left").filter((F.col("at") < 0) | F.col("item").isNotNull())
-    out = met.groupBy("__id", "key", "n_words").agg(
+    out = met.groupBy("__id", "key", "row", "n_words").agg(
         F.collect_set(F.when(F.col("at") >= 0, F.struct(F.col("at").alias("start"), F.col("n").alias("length")))).alias("spans"),
         F.collect_set("item").alias("items"),
     )
@@ -115,7 +115,7 @@ def remove_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
 def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and the normalised text without the hit words."""
-    found = find_hits(docs, items, id_col, text_col).select(F.col(id_col).alias("__id"), "text_key", hit_words(F.col("spans")).alias("__hit"))
+    found = find_hits(docs, items, id_col, text_col).select(F.col(id_col).alias("__id"), "text_key", hit_words(F.col("spans")).alias("__hit")).dropDuplicates(["__id", "text_key"])
     norm = docs.select(F.col(id_col), normalised(F.col(text_col)).alias("norm")).distinct()
     both = norm.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64("norm") == F.col("text_key")))
     return both.select(id_col, F.array_join(F.filter(words_of(F.col("norm")), lambda w, i: ~F.array_contains("__hit", i)), " ").alias("text"))
