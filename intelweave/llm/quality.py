@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, tokenizer_path
@@ -15,20 +15,33 @@ from .common import blocks, tokenizer_path
 VOCABULARY = "piece_bpe_32k.model"
 SPACES = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
-#: Bands by language: characters per token from, to; largest share of byte-fallback tokens; least entropy of the
-#: tokens as a share of the most that so many tokens can have. "" holds for any other language. The lower bounds
-#: leave out about one in 200 of the good texts of each language among 4,000 labelled ones (rows with a doc_id
-#: under 12,000 of the half-size table); texts full of symbols or capitals need more tokens for their characters.
-BANDS: dict[str, tuple[float, float, float, float]] = {
-    "en": (2.02, 8.0, 0.2, 0.4),
-    "de": (2.04, 8.0, 0.2, 0.4),
-    "fr": (1.84, 8.0, 0.2, 0.4),
-    "es": (1.80, 8.0, 0.2, 0.4),
-    "": (0.2, 8.0, 0.9, 0.3),
+#: Bands by language, then by script for any other language. lo, hi and slack: characters per token lie from
+#: lo - slack / sqrt(n) to hi + slack / sqrt(n), n being the tokens, so that a short text has a wide band. bytes: the
+#: largest share of byte-fallback tokens. full, per_doubling: the entropy of the tokens, as a share of the most that n
+#: tokens can have, is at least full - per_doubling * log2(n). Those of the four languages are fitted to the first
+#: FITTED labelled documents of the table of a tenth so that about one good text in 200 falls out; those of scripts are
+#: the loosest of their languages, or wide where no labelled text is at hand.
+FITTED = 4_000
+BANDS: dict[str, dict[str, float]] = {
+    "en": {"lo": 2.16, "hi": 2.35, "slack": 3.0, "bytes": 0.05, "full": 1.13, "per_doubling": 0.05},
+    "de": {"lo": 2.22, "hi": 2.36, "slack": 5.25, "bytes": 0.05, "full": 1.06, "per_doubling": 0.045},
+    "fr": {"lo": 1.96, "hi": 2.10, "slack": 4.25, "bytes": 0.05, "full": 1.07, "per_doubling": 0.045},
+    "es": {"lo": 1.93, "hi": 2.10, "slack": 3.5, "bytes": 0.05, "full": 1.12, "per_doubling": 0.05},
 }
-#: A text of fewer tokens is too short for a verdict by bands.
-VERDICT_FROM = 150
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy_share double"
+SCRIPT_BANDS: dict[str, dict[str, float]] = {
+    "latin": {"lo": 1.5, "hi": 6.0, "slack": 5.25, "bytes": 0.1, "full": 1.05, "per_doubling": 0.05},
+    "greek, cyrillic": {"lo": 0.7, "hi": 5.0, "slack": 5.25, "bytes": 0.3, "full": 1.0, "per_doubling": 0.05},
+    "hebrew, arabic": {"lo": 0.4, "hi": 5.0, "slack": 5.25, "bytes": 0.6, "full": 1.0, "per_doubling": 0.05},
+    "indic": {"lo": 0.3, "hi": 5.0, "slack": 5.25, "bytes": 0.9, "full": 1.0, "per_doubling": 0.05},
+    "cjk": {"lo": 0.3, "hi": 3.0, "slack": 5.25, "bytes": 0.9, "full": 1.0, "per_doubling": 0.05},
+    "other": {"lo": 0.2, "hi": 8.0, "slack": 5.25, "bytes": 1.0, "full": 0.9, "per_doubling": 0.05},
+}
+_SCRIPTS = list(SCRIPT_BANDS)
+#: The script of a letter by its first byte in UTF-8; -1 where that doesn't tell one.
+SCRIPT_OF = np.full(256, -1, np.int64)
+for _first, _last, _script in ((0x41, 0x5A, 0), (0x61, 0x7A, 0), (0xC3, 0xC9, 0), (0xCD, 0xD4, 1), (0xD6, 0xDF, 2), (0xE0, 0xE1, 3), (0xE3, 0xED, 4), (0xF0, 0xF4, 5)):
+    SCRIPT_OF[_first : _last + 1] = _script
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy_share double, script string"
 
 
 @lru_cache(2)
@@ -66,7 +79,7 @@ def _repeated(word: np.ndarray, stop: np.ndarray, width: int = 5) -> np.ndarray:
     return _sums(np.cumsum(covered)[:n] > 0, stop)
 
 
-def _measure(texts: list[str], path: str) -> list[np.ndarray]:
+def _measure(texts: list[str], path: str) -> list[np.ndarray | pa.Array]:
     pieces, is_byte = _pieces(path)
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -103,7 +116,10 @@ def _measure(texts: list[str], path: str) -> list[np.ndarray]:
     with np.errstate(divide="ignore", invalid="ignore"):
         entropy = np.log2(n_tokens) - spent / n_tokens
         share = np.where(n_tokens > 1, entropy / np.log2(np.minimum(n_tokens, len(is_byte))), 1.0)
-        return [n_words, chars, _sums(SYMBOLS[data], ends), np.array(lines, np.int64), _repeated(where, stop), n_tokens, np.where(n_tokens > 0, chars / n_tokens, 0.0), np.where(n_tokens > 0, n_bytes / n_tokens, 0.0), share]
+        letters = np.array([_sums(SCRIPT_OF[data] == k, ends) for k in range(len(_SCRIPTS))])
+        letters[-1, letters.sum(0) == 0] = 1
+        script = pa.array(_SCRIPTS, pa.string()).take(pa.array(letters.argmax(0)))
+        return [n_words, chars, _sums(SYMBOLS[data], ends), np.array(lines, np.int64), _repeated(where, stop), n_tokens, np.where(n_tokens > 0, chars / n_tokens, 0.0), np.where(n_tokens > 0, n_bytes / n_tokens, 0.0), share, script]
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -111,36 +127,47 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     Words are runs of anything but blank, tab, line feed, vertical tab, form feed and carriage return. The
     vocabulary spells every word on its own. A null text has no words: all counts 0, both shares 0, entropy 1.
-    Repeated rows give repeated results; other columns aren't read; no shuffle.
+    script is the one that most letters belong to; other if there are none. Null ids and languages are kept, repeated
+    rows give repeated results, an empty table gives none; other columns aren't read; no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(pa.array, _measure(texts, tokenizer_path(vocabulary)))], ["__id", "__lang", *(x.split()[0] for x in MEASURES.split(", "))])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(x) if isinstance(x, np.ndarray) else x for x in _measure(texts, tokenizer_path(vocabulary)))], ["__id", "__lang", *(x.split()[0] for x in MEASURES.split(", "))])
 
     plain = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
     kind = plain.schema["__id"].dataType.simpleString()
     return plain.mapInArrow(run, f"__id {kind}, __lang string, {MEASURES}").withColumnsRenamed({"__id": id_col, "__lang": lang_col})
 
 
-def verdict(measured: DataFrame, lang_col: str = "lang", bands: dict[str, tuple[float, float, float, float]] | None = None) -> DataFrame:
-    """Adds base_failed and kept. base_failed: under 10 words, or over a fifth of the words in repeated windows.
+def _outside(band: dict[str, float]) -> dict[str, Column]:
+    """The rules of a band that a row breaks, by name."""
+    n, c = F.greatest(F.col("n_tokens"), F.lit(1)), F.col("chars_per_token")
+    slack = band["slack"] / F.sqrt(n)
+    return {
+        "few_chars": c < band["lo"] - slack,
+        "many_chars": c > band["hi"] + slack,
+        "bytes": F.col("byte_share") > band["bytes"],
+        "entropy": F.col("entropy_share") < band["full"] - band["per_doubling"] * F.log2(n),
+    }
 
-    kept: not base_failed and inside the band of the row's language (null or unknown: the band of ""), or of fewer
-    than VERDICT_FROM tokens.
-    """
-    bands = BANDS if bands is None else bands
 
-    def inside(lo: float, hi: float, fallback: float, entropy: float):
-        c = F.col("chars_per_token")
-        return (c >= lo) & (c <= hi) & (F.col("byte_share") <= fallback) & (F.col("entropy_share") >= entropy)
+def verdict(measured: DataFrame, lang_col: str = "lang", bands: dict[str, dict[str, float]] | None = None, script_bands: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """Adds base_failed, rejected_by and kept. base_failed: under 10 words, or over a fifth of the words in repeated windows.
 
-    fits = inside(*bands[""])
-    for lang, band in bands.items():
-        if lang:
-            fits = F.when(F.col(lang_col) == lang, inside(*band)).otherwise(fits)
+    rejected_by is the first rule broken of the band of the row's language, or of its script where the language is null
+    or has no band: few_chars, many_chars, bytes, entropy; null if none is. kept: not base_failed, and no rule broken.
+    """
+    judged = F.lit(None).cast("string")
+    for column, known in (("script", SCRIPT_BANDS if script_bands is None else script_bands), (lang_col, BANDS if bands is None else bands)):
+        for name, band in known.items():
+            broken = F.lit(None).cast("string")
+            for rule, hit in reversed(_outside(band).items()):
+                broken = F.when(hit, rule).otherwise(broken)
+            judged = F.when(F.col(column) == name, broken).otherwise(judged)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ((F.col("n_tokens") < VERDICT_FROM) | fits))
+    out = measured.withColumn("base_failed", failed).withColumn("rejected_by", judged)
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
 
 
 def good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -150,7 +177,7 @@ def good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(batches, places[text_col]):
-            found = [pa.array(x) for x in _measure(texts, tokenizer_path(VOCABULARY))]
+            found = [pa.array(x) if isinstance(x, np.ndarray) else x for x in _measure(texts, tokenizer_path(VOCABULARY))]
             yield pa.RecordBatch.from_arrays([*rows.columns, *found], [*rows.schema.names, *names])
 
     plain = docs.toDF(*places.values())

@@ -86,11 +86,54 @@ def test_quality_base(spark, texts):
         failed = len(words) < 10 or 100 * len(hit) > 20 * len(words)
         r = got[k]
         assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(words), sum(map(len, words)), len(lines) - len(set(lines)), len(hit), failed)
+        assert r.n_symbols == sum(c in "#*$%&|<>" for c in t)
         assert not (r.kept and failed)
+    assert quality.verdict(quality.measure(_docs(spark, []).limit(0))).count() == 0
     kept = quality.good_rows(_docs(spark, texts))
     assert kept.columns == _docs(spark, texts).columns and kept.count() == sum(r.kept for r in got.values())
 
 
+def test_quality_verdict(spark, texts):
+    """Measures and bands, word by word, for languages with a band, null and unknown ones, and other scripts."""
+    import math
+
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(quality.VOCABULARY))
+    more = ["привет мир это обычный русский текст без особых примет и слов " * 3, "日本語の文章です。これはテストです。 " * 5, "𒀀𒀁 𒀂𒀃 " * 20, "|| ## $$ 12 %% && " * 9, "ZXQJ KVWQ PPLX QQZT " * 12, "1 2 3 4 5 6 7 8 9 10 11", "q z x # @ 7 ~ ^ " * 40, *(" ".join(f"{w}{k}" for k, w in enumerate(WORDS * n)) for n in (1, 4))]
+    rows = [(k, t, ("en", "de", "fr", "es", None, "xx")[k % 6]) for k, t in enumerate([*texts, *more])]
+    rows += [(None, t, lang) for t in more for lang in ("en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.verdict(quality.measure(df)).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id, r.lang].append((r.script, r.n_tokens, round(r.byte_share, 9), round(r.entropy_share, 9), r.rejected_by, r.kept))
+    want, rules = defaultdict(list), Counter()
+    for k, t, lang in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        ids = [i for w in words for i in pieces.encode(w)]
+        n = len(ids)
+        counts = Counter(ids)
+        most = math.log2(min(n, pieces.get_piece_size())) if n > 1 else 1
+        entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) / most if n > 1 else 1.0
+        share = sum(pieces.is_byte(i) for i in ids) / n if n else 0.0
+        chars = sum(map(len, words)) / n if n else 0.0
+        kinds = [sum(x) for x in zip(*([c.isascii() and c.isalpha() or "\u00c0" <= c <= "\u027f", "\u0370" <= c <= "\u052f", False, False, "\u3000" <= c <= "\ud7ff", c > "\uffff"] for c in t or ""), strict=True)] or [0] * 6
+        script = quality._SCRIPTS[kinds.index(max(kinds)) if max(kinds) else 5]
+        band = quality.BANDS.get(lang) or quality.SCRIPT_BANDS[script]
+        slack = band["slack"] / math.sqrt(max(n, 1))
+        checks = {"few_chars": chars < band["lo"] - slack, "many_chars": chars > band["hi"] + slack, "bytes": share > band["bytes"], "entropy": entropy < band["full"] - band["per_doubling"] * math.log2(max(n, 1))}
+        rule = next((x for x, hit in checks.items() if hit), None)
+        windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        hit = {i + j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(5)}
+        failed = len(words) < 10 or 100 * len(hit) > 20 * len(words)
+        rules[rule] += 1
+        want[k, lang].append((script, n, round(share, 9), round(entropy, 9) + 0.0, rule, not failed and rule is None))
+    assert {k: sorted(map(str, v)) for k, v in by.items()} == {k: sorted(map(str, v)) for k, v in want.items()}
+    assert {"few_chars", "many_chars", "bytes", "entropy"} <= set(rules)
+
+
 def _shingles(t):
     w = re.findall(r"[^\W_]+", (t or "").lower())
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -315,6 +358,11 @@ def test_decontamination(spark, texts, monkeypatch):
     monkeypatch.setattr(decontaminate, "SET_SIZE", 0)
     check()
     assert decontaminate.remove_documents(docs, items.limit(0)).count() == docs.count()
+    twice = docs.union(docs).withColumn("row", F.lit("mine"))
+    assert decontaminate.find_hits(twice, items).count() == twice.count() == 2 * docs.count()
+    assert decontaminate.find_hits(docs.limit(0), items).count() == decontaminate.remove_spans(docs.limit(0), items).count() == 0
+    left = decontaminate.remove_documents(twice, items)
+    assert left.columns == twice.columns and left.count() == 2 * decontaminate.remove_documents(docs, items).count() < twice.count()
 
 
 def test_packing(spark, texts):
