@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,14 +56,33 @@ def small(df: DataFrame, *size_of: str) -> DataFrame:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, chars: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with their texts, each of about chars characters (one row at least); null texts are empty."""
+    """Slices of the batches with their texts, each of about chars bytes (one row at least); null texts are empty."""
     for batch in batches:
-        texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+        place = batch.schema.get_field_index(column)
+        size = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy()
         start, held = 0, 0
-        for k, t in enumerate(texts):
-            if k > start and held + len(t) > chars:
-                yield batch.slice(start, k - start), texts[start:k]
+        for k, n in enumerate([*size.tolist(), chars + 1]):
+            if k > start and held + n > chars or k == len(size):
+                if k > start:
+                    part = batch.slice(start, k - start)
+                    yield part, ["" if t is None else t for t in part.column(place).to_pylist()]
                 start, held = k, 0
-            held += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            held += n
+
+
+_held: dict = {}
+
+
+def alone(key, make=None):
+    """What make gives, kept for later tasks of this worker process, which keeps one such object at a time.
+
+    Workers outlive tasks and stages: without this each of them would in the end hold every tokeniser. None lets go of
+    what is held.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        if make is None:
+            return None
+        _held[key] = make()
+    return _held[key]

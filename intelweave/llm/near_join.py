@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, written
+from .common import alone, blocks, written
 from .shingles import WIDTH, mix, shingles
 
 BANDS, ROWS = 36, 5
@@ -90,6 +90,7 @@ def _class_ids(values: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    alone(None)
     for rows, texts in blocks(batches, "__text"):
         values, n = shingles(texts, width)
         some = n > 0

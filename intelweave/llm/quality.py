@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, tokenizer_path
+from .common import alone, blocks, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACES = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
@@ -44,12 +43,14 @@ for _first, _last, _script in ((0x41, 0x5A, 0), (0x61, 0x7A, 0), (0xC3, 0xC9, 0)
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy_share double, script string"
 
 
-@lru_cache(2)
 def _pieces(path: str):
-    import sentencepiece
+    def load():
+        import sentencepiece
 
-    pieces = sentencepiece.SentencePieceProcessor(model_file=path)
-    return pieces, np.array([pieces.is_byte(k) for k in range(pieces.get_piece_size())])
+        pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        return pieces, np.array([pieces.is_byte(k) for k in range(pieces.get_piece_size())])
+
+    return alone(("pieces", path), load)
 
 
 def _sums(flags: np.ndarray, stop: np.ndarray) -> np.ndarray:

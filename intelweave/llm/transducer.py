@@ -23,11 +23,12 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+from .common import alone
+
 #: Character classes: letters outside contractions, e, l, r and v, s t d m, digits, blank, other white space, apostrophe, the rest, end of text.
 LETTER, E_, L_, RV, STDM, DIGIT, BLANK, SPACE, QUOTE, OTHER, END, ASK = range(12)
 CLASSES = 11
@@ -563,7 +564,6 @@ class BpeTransducer:
         return out
 
 
-@lru_cache(2)
 def transducer(path: str) -> BpeTransducer:
     """One machine for each worker process; its states stay for later tasks."""
-    return BpeTransducer(path)
+    return alone(("transducer", path), lambda: BpeTransducer(path))

@@ -100,7 +100,7 @@ def test_quality_verdict(spark, texts):
     import sentencepiece
 
     pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(quality.VOCABULARY))
-    more = ["привет мир это обычный русский текст без особых примет и слов " * 3, "日本語の文章です。これはテストです。 " * 5, "𒀀𒀁 𒀂𒀃 " * 20, "|| ## $$ 12 %% && " * 9, "ZXQJ KVWQ PPLX QQZT " * 12, "1 2 3 4 5 6 7 8 9 10 11", "q z x # @ 7 ~ ^ " * 40, *(" ".join(f"{w}{k}" for k, w in enumerate(WORDS * n)) for n in (1, 4))]
+    more = ["привет мир это обычный русский текст без особых примет и слов " * 3, "日本語の文章です。これはテストです。 " * 5, "𒀀𒀁 𒀂𒀃 " * 20, "|| ## $$ 12 %% && " * 9, "ZXQJ KVWQ PPLX QQZT " * 12, "1 2 3 4 5 6 7 8 9 10 11", "q z x # @ 7 ~ ^ " * 40, " ".join(WORDS * 4) + " 𒀀𒀁 𒀂𒀃 𒀄𒀅", *(" ".join(f"{w}{k}" for k, w in enumerate(WORDS * n)) for n in (1, 4))]
     rows = [(k, t, ("en", "de", "fr", "es", None, "xx")[k % 6]) for k, t in enumerate([*texts, *more])]
     rows += [(None, t, lang) for t in more for lang in ("en", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
