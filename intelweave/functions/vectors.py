@@ -53,8 +53,10 @@ def l2_normalized(x: Column) -> Column:
 
 def hash_vector(text: Column, dim: int = DIM) -> Column:
     """Counts of the tokens by bucket, of length 1; zeros for a text without tokens."""
-    held = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: bucket(t, dim))
-    counts = let(held, lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(h, lambda b: b == i)).cast("double")))
+    # the buckets, sorted, as a string of one character each; a bucket's count is the distance between its ends
+    held = F.array_sort(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.char(bucket(t, dim) + 48)))
+    whole = F.concat(F.array_join(held, ""), F.lit(""))
+    counts = let(whole, lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.length(h) - F.length(F.replace(h, F.char(i + 48), F.lit("")))).cast("double")))
     return l2_normalized(counts)
 
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.vectors import cosine_similarity
+from ..session import broadcast_if_small
+
+#: Groups of one block, which a cluster is compared with at once.
+GROUPS_HELD = 1024
 
 
 def top_predictions(scores: DataFrame, k: int = 3, id_col: str = "report_id") -> DataFrame:
@@ -51,10 +55,18 @@ def result_listing(runs: DataFrame, name: str = "result_id") -> DataFrame:
 
 
 def similar_groups(clusters: DataFrame, groups: DataFrame, k: int = 3) -> DataFrame:
-    """clusters (cluster, v) against the known groups (id, v), a small table: the k most similar of each cluster."""
-    both = clusters.select("cluster", F.col("v").alias("cv")).crossJoin(F.broadcast(groups.select("id", F.col("v").alias("gv"))))
-    scored = both.select("cluster", "id", cosine_similarity(F.col("cv"), F.col("gv")).alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("similarity"), "id"))).filter(F.col("rank") <= k)
+    """clusters (cluster, v) against the known groups (id, v): the k most similar of each cluster.
+
+    The groups are packed into blocks of GROUPS_HELD, one row each; every cluster meets every block, keeps its best k
+    there, and the best of these. So no row per pair is made, whatever the number of groups.
+    """
+    n_blocks = max(1, -(-groups.count() // GROUPS_HELD))
+    dealt = groups.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), F.struct("id", F.col("v").alias("gv")).alias("g"))
+    packed = dealt.groupBy("block").agg(F.collect_list("g").alias("gs"))
+    both = clusters.select("cluster", F.col("v").alias("cv"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")).join(broadcast_if_small(packed), "block")
+    best = F.array_sort(F.transform("gs", lambda g: F.struct((-cosine_similarity(F.col("cv"), g["gv"])).alias("s"), g["id"].alias("id"))))
+    found = both.select("cluster", F.slice(best, 1, k).alias("best")).groupBy("cluster").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    return found.select("cluster", F.posexplode("best").alias("pos", "b")).select("cluster", F.col("b.id").alias("id"), (-F.col("b.s")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
 
 
 def cluster_centroids(points: DataFrame) -> DataFrame:
@@ -105,7 +117,7 @@ def search_groups(groups: DataFrame, text: str = "", origin: str | None = None)
 def ioc_match(entities: DataFrame, groups: DataFrame) -> DataFrame:
     """(report_id, id, label, text): entities that are an indicator of a known group."""
     known = groups.select("id", F.explode("iocs").alias("ioc")).select("id", F.lower("ioc").alias("__key")).distinct()
-    return entities.withColumn("__key", F.lower("text")).join(F.broadcast(known), "__key").select("report_id", "id", "label", "text").distinct()
+    return entities.withColumn("__key", F.lower("text")).join(broadcast_if_small(known), "__key").select("report_id", "id", "label", "text").distinct()
 
 
 def search_samples(samples: DataFrame, text: str, columns: tuple[str, ...] = ("name", "type", "sha256", "md5")) -> DataFrame:
@@ -125,8 +137,12 @@ def delete_reports(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone.select("report_id").distinct(), "report_id", "left_anti")
 
 
-def technique_matrix(entities: DataFrame, reports: DataFrame, techniques: list[str] | None = None) -> DataFrame:
-    """Mentions of each technique by group, a column per technique."""
+def technique_counts(entities: DataFrame, reports: DataFrame) -> DataFrame:
+    """(apt_group, technique, n): mentions of every technique by group."""
     said = entities.filter("label = 'MITRE_TECH'").select("report_id", F.upper("text").alias("technique")).join(reports.select("report_id", "apt_group"), "report_id")
-    names = techniques or [r.technique for r in said.select("technique").distinct().orderBy("technique").limit(1000).collect()]
-    return said.groupBy("apt_group").pivot("technique", names).agg(F.count(F.lit(1))).na.fill(0)
+    return said.groupBy("apt_group", "technique").agg(F.count(F.lit(1)).alias("n"))
+
+
+def technique_matrix(entities: DataFrame, reports: DataFrame, techniques: list[str]) -> DataFrame:
+    """Mentions of the named techniques by group, a column per technique. technique_counts has all of them in rows."""
+    return technique_counts(entities, reports).groupBy("apt_group").pivot("technique", techniques).agg(F.sum("n")).na.fill(0)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .learn import ranked_in_groups
+
 # Labels by category (static, dynamic, network, intelligence), and the name of the rest.
 CATEGORIES = {
     "静态特征": ["FILE_PATH", "REGISTRY", "FILE_EXT", "HASH_MD5", "HASH_SHA1", "HASH_SHA256", "SSL_CERT"],
@@ -88,8 +90,9 @@ def history_long(history: DataFrame) -> DataFrame:
 
 def ioc_listing(entities: DataFrame, types: list[str], page: int = 20) -> DataFrame:
     """Distinct indicators by type, in order of their text, in pages."""
-    own = W.partitionBy("label").orderBy("text")
-    return entities.filter(F.col("label").isin(types)).select("label", "text").distinct().withColumn("page", F.floor((F.row_number().over(own) - 1) / page) + 1)
+    found = entities.filter(F.col("label").isin(types)).select("label", "text").distinct()
+    ranked = ranked_in_groups(found, "label", [F.col("text")], "__k", "__n")
+    return ranked.select("label", "text", (F.floor((F.col("__k") - 1) / page) + 1).alias("page"))
 
 
 def attention_normalize(scores: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import broadcast_if_small
+
 
 def valid_graph_filter(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, label: str = "label") -> DataFrame:
     """Graphs with a label, a node and an edge."""
@@ -28,8 +30,7 @@ def _named(place: Column, size: Column, train: float, val: float) -> Column:
 
 def stratified_split(rows: DataFrame, id_col: str, label: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
     """rows with split: shares of each class by hash order, the rest is test."""
-    own = W.partitionBy(label)
-    ranked = rows.withColumn("__k", F.row_number().over(own.orderBy(hash_order(id_col, seed), id_col))).withColumn("__n", F.count(F.lit(1)).over(own))
+    ranked = ranked_in_groups(rows, label, [hash_order(id_col, seed), F.col(id_col)], "__k", "__n")
     return ranked.withColumn("split", _named(F.col("__k"), F.col("__n"), train, val)).drop("__k", "__n")
 
 
@@ -46,6 +47,18 @@ def ranked_globally(rows: DataFrame, order: list[Column], name: str = "rank") ->
     return local.join(F.broadcast(before), "__p").withColumn(name, F.col("__k") + F.col("__before")).drop("__p", "__k", "__before", "__o")
 
 
+def ranked_in_groups(rows: DataFrame, group: str, order: list[Column], rank: str, size: str) -> DataFrame:
+    """rows with their place from 1 within their group and the group's size, also where one group holds most rows.
+
+    The global rank by (group, order) less the rows of the groups before. The groups, one row each, are joined back.
+    """
+    placed = ranked_globally(rows, [F.col(group), *order], "__rank")
+    counts = rows.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias(size))
+    starts = counts.withColumn("__start", F.sum(size).over(W.orderBy("__group")) - F.col(size))
+    both = placed.join(broadcast_if_small(starts), F.col(group).eqNullSafe(F.col("__group")))
+    return both.withColumn(rank, F.col("__rank") - F.col("__start")).drop("__rank", "__group", "__start")
+
+
 def random_split(rows: DataFrame, id_col: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
     """rows with split over all rows by hash order; shares are rounded down, the rest is test."""
     n = rows.agg(F.count(F.lit(1)).alias("__n"))
@@ -68,8 +81,9 @@ def oversample(rows: DataFrame, label: str) -> DataFrame:
 
 
 def stratified_kfold(rows: DataFrame, id_col: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    order = W.partitionBy(label).orderBy(hash_order(id_col, seed), id_col)
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % folds)
+    """rows with fold, from 0: each class dealt out by hash order."""
+    ranked = ranked_in_groups(rows, label, [hash_order(id_col, seed), F.col(id_col)], "__k", "__n")
+    return ranked.withColumn("fold", ((F.col("__k") - 1) % folds).cast("int")).drop("__k", "__n")
 
 
 def edge_dropout(edges: DataFrame, share: float, seed: int = 42) -> DataFrame:

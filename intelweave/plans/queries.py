@@ -25,8 +25,10 @@ from ..operators import language as LG
 from ..operators import learn as L
 from ..operators import paragraphs as P
 from ..operators import propagate as N
-from ..session import kept
+from ..functions.patterns import Vocabulary, compile_dictionary, normalize_terms
+from ..session import kept, shared_path
 from ..sources import files as S
+from ..streaming.ingest import ingest_new_files
 from . import views as V
 from .oracle import TYPE_INDEX, date_sql, group_sql, slug_sql, steps, tags_sql, vendor_sql
 
@@ -254,6 +256,85 @@ def s4_load_json_log(t):
     return t.table("events").select("event_id", F.get_json_object(S.load_json_log(F.col("props")), "$.k").cast("int").alias("k"))
 
 
+def _written(rows, write) -> str:
+    """A new folder beside the checkpoints that write has filled with rows."""
+    path = shared_path(rows.sparkSession)
+    write(rows, path)
+    return path
+
+
+@on_tables("SELECT lang, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents GROUP BY 1")
+def s1_scan_files(t):
+    docs = t.table("documents").select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    root = _written(docs, lambda rows, path: rows.write.partitionBy("lang").text(path))
+    return S.scan_files(t.spark, root, (".txt",)).groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg(F.sum("length").alias("bytes"))
+
+
+@on_tables("SELECT report_id, apt_group, source_vendor, published_date::VARCHAR AS published_date, '/in/' || raw_name || '.TXT' AS file_path, raw_name, 'txt' AS file_type FROM r")
+def s2_build_report_index(t):
+    files = V.raw_reports(t.spark, t.d).select(F.concat(F.lit("/in/"), "raw_name", F.lit(".TXT")).alias("file_path"))
+    return S.index_files(files.unionByName(files)).selectExpr("report_id", "apt_group", "source_vendor", DATE, "file_path", "raw_name", "file_type")
+
+
+@on_tables("SELECT doc_id, md5(replace(text, chr(65533), '') || 'x') AS h FROM documents")
+def s3_load_text(t):
+    broken = F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FF")), F.encode(F.lit("x"), "utf-8"))
+    return t.table("documents").select("doc_id", F.md5(S.load_text(broken).cast("binary")).alias("h"))
+
+
+@on_tables("SELECT report_id, paragraph_index, label, text, ordinal FROM e")
+def s5_write_entities(t):
+    path = _written(t.entities, lambda rows, path: S.write_json(rows, path, "label"))
+    back = t.spark.read.schema("report_id string, paragraph_index int, text string, ordinal int, label string").json(path)
+    return back.select("report_id", "paragraph_index", "label", "text", "ordinal")
+
+
+@on_tables("SELECT report_id, paragraph_index, apt_group, md5(text) AS h FROM p")
+def s6_read_paragraphs(t):
+    path = _written(t.paragraphs, S.write_json)
+    return S.read_paragraphs(t.spark, path).select("report_id", "paragraph_index", "apt_group", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@on_tables("SELECT DISTINCT source AS term FROM documents")
+def s8_load_vocabulary(t):
+    terms = t.table("documents").agg(F.collect_set(F.concat(F.lit(" "), "source", F.lit(" "))).alias("malware"))
+    path = _written(terms.select(F.to_json(F.struct("malware"))), lambda rows, path: rows.write.text(path))
+    found = S.load_vocabulary(t.spark, path, "malware")
+    return t.spark.createDataFrame([(x,) for x in found], "term string")
+
+
+@on_tables("SELECT 'm' || event_id AS model_dir, value AS accuracy, value / 2 AS f1_weighted, value / 4 AS f1_macro FROM events WHERE event_id % 5 <> 0")
+def s9_collect_run_results(t):
+    whole = F.to_json(F.struct(F.col("value").alias("accuracy"), (F.col("value") / 2).alias("f1_weighted"), (F.col("value") / 4).alias("f1_macro")))
+    path = F.concat(F.lit("runs/m"), F.col("event_id").cast("string"), F.lit("/test_results.json"))
+    return S.run_results(t.table("events").select(path.alias("path"), F.when(F.col("event_id") % 5 == 0, "{broken").otherwise(whole).alias("value")))
+
+
+@on_tables("SELECT event_id, user_id, event_type, value, props FROM events")
+def s10_export_csv(t):
+    e = t.table("events").select("event_id", "user_id", "event_type", "value", "props")
+    path = _written(e, S.export_csv)
+    return t.spark.read.option("header", True).schema("event_id long, user_id long, event_type string, value double, props string").option("escape", "\\").csv(path)
+
+
+@on_tables("SELECT n_nationkey::VARCHAR AS id, n_name AS aliases, n_regionkey::VARCHAR AS origin, 2 AS n_iocs FROM nation")
+def s11_load_groups(t):
+    n = t.table("nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("aliases"), F.col("n_regionkey").cast("string").alias("origin"), F.array(F.col("n_name"), F.lit("x")).alias("iocs"))
+    whole = n.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))  # a library of groups is one JSON list
+    path = _written(whole, lambda rows, path: rows.write.text(path))
+    return S.load_groups(t.spark, path).select("id", "aliases", "origin", F.size("iocs").alias("n_iocs"))
+
+
+@on_tables("SELECT label, count(*) AS n FROM (SELECT 'CVE' AS label, unnest(regexp_extract_all(text, 'CVE-\\d{4}-\\d{4,7}')) AS text FROM v) GROUP BY 1")
+def s17_ingest_new_files(t):
+    """All reports as a few files, through the stream."""
+    root = _written(V.raw_reports(t.spark, t.d).select("text"), lambda rows, path: rows.write.text(path))
+    out = shared_path(t.spark)
+    ingest_new_files(t.spark, root, out, shared_path(t.spark)).awaitTermination()
+    found = t.spark.read.parquet(f"{out}/entities")
+    return found.filter("label = 'CVE'").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @on_tables("SELECT report_id, apt_group, source_vendor, published_date::VARCHAR AS published_date, raw_name, 'txt' AS file_type FROM r")
 def s2_report_index(t):
     return t.reports.selectExpr("report_id", "apt_group", "source_vendor", DATE, "raw_name", "'txt' AS file_type")
@@ -294,6 +375,52 @@ def d35_deduplicate_mentions(t):
     return same
 
 
+_TERMS = ["night owl", "Boeing", "Cobalt Strike", " tor ", ""]
+
+
+@on_tables(r"SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(?:boeing|cobalt strike|night owl|tor)\b'))::INTEGER AS n FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', 'q', 'g') AS text FROM v)")
+def d36_compile_dictionary(t):
+    pattern = "(?iU)" + compile_dictionary(_TERMS)
+    return V.raw_reports(t.spark, t.d).select("doc_id", F.size(D.extract_spans("text", pattern, False)).alias("n"))
+
+
+@on_tables("SELECT DISTINCT source AS term FROM documents")
+def d37_normalize_terms(t):
+    """Terms with blanks around them, empty and null ones among them."""
+    raw = [r.s for r in t.table("documents").select(F.concat(F.lit("  "), "source", F.lit("\t")).alias("s")).distinct().collect()]  # as many as there are sources
+    return t.spark.createDataFrame([(x,) for x in normalize_terms([*raw, " ", "", None])], "term string")
+
+
+def _only(**lists) -> Vocabulary:
+    return Vocabulary(**{"malware": [], "tool": [], "org": [], "country": []} | lists)
+
+
+@on_tables(r"""SELECT report_id, paragraph_index, count(*) FILTER (lower(x) = 'night owl') AS named, count(*) FILTER (lower(x) <> 'night owl') AS said FROM (
+  SELECT report_id, paragraph_index, unnest(list_concat(list_filter(regexp_extract_all(m, '(?i)\bOperation\s+[A-Z][a-zA-Z0-9\s-]+\b'), lambda x: length(x) <= 100), regexp_extract_all(m, '(?i)\bnight owl\b'))) AS x
+  FROM (SELECT *, regexp_replace(text, '[^\x00-\x7F]', 'q', 'g') AS m FROM p)) GROUP BY 1, 2""")
+def d30_operation_terms(t):
+    found = D.extract_entities(t.paragraphs, _only(operation=["Night Owl"])).filter("label = 'OPERATION'")
+    named = F.lower("text") == "night owl"
+    return found.groupBy("report_id", "paragraph_index").agg(F.count_if(named).alias("named"), F.count_if(~named).alias("said"))
+
+
+@on_tables(r"""SELECT report_id, paragraph_index, lower(x) AS text, count(*) AS n FROM (
+  SELECT report_id, paragraph_index, unnest(regexp_extract_all(m, '(?i)\b(?:technology|financial|energy|healthcare|government|education|manufacturing|defense|telecommunications|media|aerospace|transportation|retail|boeing)\b')) AS x
+  FROM (SELECT *, regexp_replace(text, '[^\x00-\x7F]', 'q', 'g') AS m FROM p)) GROUP BY 1, 2, 3""")
+def d31_industry_terms(t):
+    """A term that the pattern knows, too, counts once at a place."""
+    found = D.extract_entities(t.paragraphs, _only(industry=["energy", "Boeing"])).filter("label = 'INDUSTRY'")
+    return found.groupBy("report_id", "paragraph_index", F.lower("text").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@on_tables("SELECT report_id, paragraph_index, label, count(*) AS n, true AS in_place FROM e GROUP BY 1, 2, 3")
+def d32_spans_in_place(t):
+    """Every span cuts its own text out of the paragraph."""
+    both = t.entities.join(t.paragraphs.select("report_id", "paragraph_index", F.col("text").alias("whole")), ["report_id", "paragraph_index"])
+    right = F.col("text") == F.substring("whole", F.col("start") + 1, F.col("end") - F.col("start"))
+    return both.groupBy("report_id", "paragraph_index", "label").agg(F.count(F.lit(1)).alias("n"), F.every(right).alias("in_place"))
+
+
 # --- graph
 
 
@@ -458,10 +585,13 @@ def f7_truncated_svd(t):
     return FE.truncated_svd(FE.tfidf(t.table("documents").select("doc_id", "text"), ["doc_id"], "text", 300, []), ["doc_id"], 20)
 
 
-@on_tables("SELECT report_id, node_idx, 225 AS width FROM n")
+@on_tables(f"SELECT report_id, node_idx, 225 AS width, {TYPE_INDEX.format('label')}::INTEGER AS slot, round(least(length(text) / 100.0, 1.0), 6) AS length_share FROM n")
 def f8_assemble_vector(t):
-    x = FE.node_features(FE.node_texts(t.nodes, t.paragraphs))
-    return x.select("report_id", "node_idx", F.size("x").alias("width"))
+    x = FE.node_features(FE.node_texts(t.nodes, t.paragraphs)).join(t.nodes.select("report_id", "node_idx", "text"), ["report_id", "node_idx"])
+    hot = F.array_position(F.slice("x", 1, 30), 1.0) - 1
+    share = F.least(F.length("text") / 100.0, F.lit(1.0))
+    held = F.filter("x", lambda v: F.abs(v - share) < 1e-9)
+    return x.select("report_id", "node_idx", F.size("x").alias("width"), hot.cast("int").alias("slot"), r6(F.get(held, F.lit(0)), "length_share"))
 
 
 @on_tables("SELECT doc_id, len(embedding)::INTEGER AS width, round(embedding[1]::DOUBLE, 5) AS head FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
@@ -780,11 +910,15 @@ def a13_search_groups(t):
     return A.search_groups(groups, " TH", "T").select(F.col("id").alias("item_id"), "origin")
 
 
-@on_tables("SELECT DISTINCT report_id, 'g' || length(lower(e.text)) AS id, label, e.text FROM e WHERE lower(e.text) IN ('10.1.3.4', 'boeing', 'c2-3.example.net', 'cve-2021-1004')")
+_IOCS = "['10.1.' || doc_id % 20 || '.' || doc_id % 7, 'CVE-2021-' || (1000 + doc_id % 30), 'BOEING', md5((doc_id % 40)::VARCHAR)]"
+
+
+@on_tables(f"SELECT DISTINCT report_id, id, label, e.text FROM e JOIN (SELECT DISTINCT 'g' || doc_id % 13 AS id, lower(unnest({_IOCS})) AS ioc FROM documents) ON lower(e.text) = ioc")
 def a14_ioc_match(t):
-    iocs = ["10.1.3.4", "BOEING", "c2-3.example.net", "CVE-2021-1004"]
-    groups = t.spark.createDataFrame([(f"g{len(x)}", [x]) for x in iocs], "id string, iocs array<string>")
-    return A.ioc_match(t.entities, groups)
+    """Indicators of 13 groups, as many as the documents give."""
+    d = F.col("doc_id")
+    iocs = F.array(F.concat(F.lit("10.1."), (d % 20).cast("string"), F.lit("."), (d % 7).cast("string")), F.concat(F.lit("CVE-2021-"), (1000 + d % 30).cast("string")), F.lit("BOEING"), F.md5((d % 40).cast("string").cast("binary")))
+    return A.ioc_match(t.entities, t.table("documents").select(F.concat(F.lit("g"), (d % 13).cast("string")).alias("id"), iocs.alias("iocs")))
 
 
 @on_tables("SELECT page_id FROM pages WHERE contains(lower(url), 'thth') OR contains(sha256(html), 'thth')")
@@ -809,6 +943,12 @@ def a19_technique_matrix(t):
     return A.technique_matrix(t.entities, t.reports, ["T1053", "T1055"])
 
 
+@on_tables("SELECT apt_group, upper(e.text) AS technique, count(*) AS n FROM e JOIN r USING (report_id) WHERE label = 'MITRE_TECH' GROUP BY 1, 2")
+def a19_technique_counts(t):
+    """All techniques, in rows."""
+    return A.technique_counts(t.entities, t.reports)
+
+
 # --- catalogue
 
 

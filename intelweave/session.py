@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Adaptive plans, UTC for dates, Arrow for Python stages. Sizes of partitions are left to the cluster.
 SETTINGS = {
@@ -24,16 +25,32 @@ def session(name: str = "intelweave", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: A side is broadcast only when its measured size stays below this many bytes.
+BROADCAST_BYTES = 8 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast when its rows, written as text, add up to few bytes; as it is otherwise."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))) + 64)
+    return F.broadcast(df) if (df.agg(size.alias("n")).head().n or 0) <= BROADCAST_BYTES else df
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as a table in the folder that spark.checkpoint.dir names, read again; a folder of our own only where none is set.
 
     For tables that many branches of a plan read: the plan behind them is made once and left behind.
     """
-    spark = df.sparkSession
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder. Without one set, only a local session gets a folder of its own; a cluster must name it."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="intelweave-")
         spark.sparkContext.setCheckpointDir(shared)
-    path = f"{shared.rstrip('/')}/intelweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{shared.rstrip('/')}/intelweave-{uuid.uuid4().hex}"

@@ -43,10 +43,16 @@ def build_report_index(spark: SparkSession, pdf_roots: list[str], text_roots: li
     files = roots[0]
     for more in roots[1:]:
         files = files.unionByName(more)
-    files = files.select(F.col("path").alias("file_path")).dropDuplicates(["file_path"])
-    named = with_metadata(files.withColumn("raw_name", _stem(F.col("file_path"))).withColumn("file_type", F.lower(F.regexp_extract("file_path", r"\.([^.]*)$", 1))))
+    named = index_files(files.select(F.col("path").alias("file_path")))
     if named.isEmpty():
         raise ValueError("no report files")
+    return named
+
+
+def index_files(files: DataFrame) -> DataFrame:
+    """reports of files (file_path): a path counts once; everything else is read from the name."""
+    files = files.dropDuplicates(["file_path"])
+    named = with_metadata(files.withColumn("raw_name", _stem(F.col("file_path"))).withColumn("file_type", F.lower(F.regexp_extract("file_path", r"\.([^.]*)$", 1))))
     return named.select("report_id", "apt_group", "source_vendor", "published_date", "file_path", "file_type", "raw_name", "extra_tags")
 
 
@@ -124,9 +130,14 @@ def load_vocabulary(spark: SparkSession, path: str, key: str) -> list[str]:
 
 def collect_run_results(spark: SparkSession, root: str) -> DataFrame:
     """(model_dir, accuracy, f1_weighted, f1_macro) of all test_results.json below root; unreadable ones are left out."""
-    reader = spark.read.schema(RUN_RESULT + ", broken string").option("recursiveFileLookup", True).option("pathGlobFilter", "test_results.json").option("multiLine", True)
-    found = reader.option("columnNameOfCorruptRecord", "broken").json(root).withColumn("model_dir", F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]*$", 1))
-    return found.cache().filter("broken is null and accuracy is not null").select("model_dir", "accuracy", "f1_weighted", "f1_macro")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "test_results.json")
+    return run_results(reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def run_results(files: DataFrame) -> DataFrame:
+    """(model_dir, accuracy, f1_weighted, f1_macro) of files (path, value: JSON); the directory names the model."""
+    read = files.select(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("model_dir"), F.from_json("value", RUN_RESULT).alias("r"))
+    return read.filter("r.accuracy is not null").select("model_dir", "r.accuracy", "r.f1_weighted", "r.f1_macro")
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
