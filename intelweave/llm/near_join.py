@@ -31,8 +31,9 @@ HASHES = BANDS * ROWS
 #: Values compared before each look at the posterior.
 STEP = 30
 TOLERANCE = 1e-7
-#: Members of one side of a block.
+#: Members of one side of a block; labels of a bucket that are compared at once with as many others.
 CHUNK = 256
+PAIRED = 256
 #: Share of equal values from which a class takes the first class of a bucket as its label.
 LABEL = 0.5
 
@@ -131,13 +132,36 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(cls[some]), pa.array(lead[some])], ["key", "cls", "first"])
 
 
-def _label_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs a < b of the different labels in each bucket; rows are (key, label), all of a key in one partition."""
-    (key, label), first = _sorted_groups(batches, 2)
+def _label_pairs(batches: Iterator[pa.RecordBatch], threshold: float, loose: float) -> Iterator[pa.RecordBatch]:
+    """Pairs a < b of the different labels in each bucket that may hold a link; rows are (key, label, single, sig), all of a key in one partition.
+
+    Two single labels are tested at threshold, a single one and a large one at loose, two large ones not at all.
+    """
+    key, label, single, sig = [], [], [], []
+    for b in batches:
+        key.append(b.column(0).to_numpy())
+        label.append(b.column(1).to_numpy())
+        single.append(b.column(2).to_numpy(zero_copy_only=False))
+        sig.append(np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, HASHES))
+    if not key:
+        return
+    key, label, single, sig = (np.concatenate(x) for x in (key, label, single, sig))
+    order = np.lexsort((label, key))
+    key, label, single = key[order], label[order], single[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
     for s, e in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
-        own = np.unique(label[s:e])
-        for k in range(len(own) - 1):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own) - 1 - k, own[k])), pa.array(own[k + 1 :])], ["a", "b"])
+        for i in range(s, e, PAIRED):
+            for j in range(i, e, PAIRED):
+                x, y = (k.ravel() for k in np.indices((min(PAIRED, e - i), min(PAIRED, e - j))))
+                x, y = x + i, y + j
+                x, y = x[x < y], y[x < y]
+                both, one = single[x] & single[y], single[x] ^ single[y]
+                for at, some in ((threshold, both), (loose, one), (None, ~both & ~one)):
+                    k = np.flatnonzero(some)
+                    if at is not None and len(k):
+                        k = k[surviving(sig, sig, at, order[x[k]], order[y[k]])[0]]
+                    if len(k):
+                        yield pa.RecordBatch.from_arrays([pa.array(label[x[k]]), pa.array(label[y[k]])], ["a", "b"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,15 +333,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     involved = written(buckets.select("cls").distinct().join(label, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label")))
     # a label needn't be a member of its own: its class may carry another label. So a label of one member is tested through that member
     tested = involved.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.min("cls").alias("sole")).select("label", "members", F.when(F.col("members") == 1, F.col("sole")).otherwise(F.col("label")).alias("by"))
-    met = buckets.select("key", "cls").join(involved, "cls").select("key", "label").distinct().repartition("key")
-    met = met.mapInArrow(lambda b: _merged(_label_pairs(b)), "a long, b long").distinct()
-    met = met.join(tested.select(F.col("label").alias("a"), F.col("members").alias("ma"), F.col("by").alias("x")), "a")
-    met = written(met.join(tested.select(F.col("label").alias("b"), F.col("members").alias("mb"), F.col("by").alias("y")), "b"))
     # two labels of one member each: the pair of members is tested. One such label: a member of the other is LABEL - 0.15
     # similar to its label at least, so that label keeps some of the similarity to the one member. Two large labels: not tested.
-    alone, large = (F.col("ma") == 1) & (F.col("mb") == 1), (F.col("ma") > 1) & (F.col("mb") > 1)
-    some = lambda kind, at: met.filter(kind).join(pruned(met.filter(kind).select("x", "y"), at).select("x", "y"), ["x", "y"], "left_semi").select("a", "b")
-    passed = some(alone, threshold).unionByName(some(~alone & ~large, max(0.01, LABEL - 0.15 + threshold - 1))).unionByName(met.filter(large).select("a", "b"))
+    # The values come to the buckets, so that only pairs that pass become rows.
+    shown = tested.join(sigs.withColumnRenamed("cls", "by"), "by").select("label", (F.col("members") == 1).alias("single"), "sig")
+    met = buckets.select("key", "cls").join(involved, "cls").select("key", "label").distinct().join(shown, "label").select("key", "label", "single", "sig").repartition("key")
+    passed = written(met.mapInArrow(lambda b: _merged(_label_pairs(b, threshold, max(0.01, LABEL - 0.15 + threshold - 1))), "a long, b long").distinct())
     # labels that meet form families around the least of them, so that many small labels share blocks
     both_ways = passed.select(F.col("a").alias("label"), F.col("b").alias("other")).unionByName(passed.select(F.col("b").alias("label"), F.col("a").alias("other")))
     family = written(both_ways.groupBy("label").agg(F.least(F.min("other"), F.first("label")).alias("family")))
