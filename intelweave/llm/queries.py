@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, line_dedup, near_join, packing, quality, substring_dedup, token_counts, warc
+from . import alignment, chat, decontaminate, html_text, line_dedup, merkle, near_join, packing, quality, substring_dedup, token_counts, url_filters, warc
 from .common import table
 
 
@@ -70,6 +70,22 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the query (host, path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]).drop("proof")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_formatting": op2_chat_formatting,
@@ -81,12 +97,93 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_html_extraction": op10_html_extraction,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_url_filters": op12_url_filters,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _ESCAPED = r"replace(replace(replace(replace({}, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>'), '<+>', '<\+>')"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _template_sql() -> str:
+    """SQL of op12: the tree level by level, as many levels as url_filters.DEPTH."""
+    rule = "".join(f" WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{{k}}}" for k, (h, p, _) in sorted(enumerate(URL_RULES), key=lambda r: -len(r[1][0] + r[1][1])))
+    names, verdicts = [f"'{h}{p}'" for h, p, _ in URL_RULES], [f"'{v}'" for _, _, v in URL_RULES]
+    depth = url_filters.DEPTH
+    levels = []
+    for k in range(depth):
+        chi = " + ".join(
+            f"CASE WHEN all_{c} > 0 THEN ({c}::DOUBLE - n::DOUBLE * all_{c}::DOUBLE / all_n::DOUBLE) * ({c}::DOUBLE - n::DOUBLE * all_{c}::DOUBLE / all_n::DOUBLE) / (n::DOUBLE * all_{c}::DOUBLE / all_n::DOUBLE)"
+            f" + (all_{c} - {c} - (all_n - n)::DOUBLE * all_{c}::DOUBLE / all_n::DOUBLE) * (all_{c} - {c} - (all_n - n)::DOUBLE * all_{c}::DOUBLE / all_n::DOUBLE) / ((all_n - n)::DOUBLE * all_{c}::DOUBLE / all_n::DOUBLE) ELSE 0 END"
+            for c in ("bad", "good", "none")
+        )
+        levels.append(f"""
+on{k} AS MATERIALIZED (SELECT *, segs[{k + 1}] AS child FROM at{k} WHERE len(segs) > {k}),
+child{k} AS MATERIALIZED (
+  SELECT *, next || ' ' || CASE WHEN none >= bad AND none >= good THEN 'none' WHEN bad >= good THEN 'bad' ELSE 'good' END AS pool FROM (
+    SELECT host, prefix, child, list(next ORDER BY n DESC, next DESC)[1] AS next, sum(n) AS n, sum(bad) AS bad, sum(good) AS good, sum(n - bad - good) AS none FROM (
+      SELECT host, prefix, child, coalesce(segs[{k + 2}], '/') AS next, sum(n) AS n, sum(bad) AS bad, sum(good) AS good FROM on{k} GROUP BY ALL) GROUP BY host, prefix, child)),
+branch{k} AS MATERIALIZED (
+  SELECT host, prefix, child, CASE WHEN NOT contains(child, '#') AND (k > {url_filters.FANOUT} OR k > 1 AND {chi} <= {url_filters.CHI}) THEN '* ' || pool ELSE child END AS branch
+  FROM child{k} LEFT JOIN (SELECT host, prefix, pool, count(*) AS k, sum(n) AS all_n, sum(bad) AS all_bad, sum(good) AS all_good, sum(none) AS all_none FROM child{k} WHERE NOT contains(child, '#') GROUP BY ALL) USING (host, prefix, pool)),
+at{k + 1} AS MATERIALIZED (
+  SELECT host, segs, n, bad, good, prefix FROM at{k} WHERE len(segs) <= {k}
+  UNION ALL SELECT host, segs, n, bad, good, prefix || '/' || branch FROM on{k} JOIN branch{k} USING (host, prefix, child))""")
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+s AS (SELECT *, CASE{rule.format(*names)} END AS rule, CASE{rule.format(*verdicts)} END AS ruled, CASE WHEN path = '' THEN [] ELSE string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g'), '/') END AS every FROM h),
+p AS MATERIALIZED (SELECT * EXCLUDE (every), CASE WHEN len(every) > {depth} THEN every[:{depth - 1}] || [array_to_string(every[{depth}:], '/')] ELSE every END AS segs FROM s),
+at0 AS MATERIALIZED (SELECT host, segs, count(*) AS n, count(*) FILTER (ruled = 'block') AS bad, count(*) FILTER (ruled = 'allow') AS good, '' AS prefix FROM p GROUP BY host, segs),{",".join(levels)},
+t AS (SELECT host, prefix, sum(bad)::BIGINT AS n_bad, sum(good)::BIGINT AS n_good FROM at{depth} GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN (n_bad + 1) / (n_bad + n_good + 2) >= {url_filters.PURITY} THEN 'block' ELSE 'allow' END) AS verdict, prefix AS template, n_bad, n_good, (n_bad + 1) / (n_bad + n_good + 2) AS purity
+FROM p JOIN at{depth} USING (host, segs) JOIN t USING (host, prefix)"""
+
+
+def _merkle_sql(in_source: int = 6, over: int = 4) -> str:
+    """SQL of op13 for sources of up to 16 ** in_source rows and up to 16 ** over sources."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    digits = "flatten(list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce([4294967295] || {digits}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+
+    def levels(name: str, count: int) -> list[str]:
+        out = []
+        for k in range(count):
+            out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT src, n, idx // 16 AS idx, CASE WHEN n > {16**k} THEN sha256(string_agg(digest, '' ORDER BY idx)) ELSE min(digest) END AS digest FROM {name}{k} GROUP BY src, n, idx // 16)")
+            side = lambda frame: f"CASE WHEN n > {16**k} THEN coalesce(string_agg(digest, '') OVER (PARTITION BY src, idx // 16 ORDER BY idx ROWS BETWEEN {frame}), '') ELSE '' END"  # noqa: B023, E731
+            out.append(f"{name}_s{k} AS MATERIALIZED (SELECT src, idx, n > {16**k} AS up, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS b, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS a FROM {name}{k})")
+        return out
+
+    def climb(name: str, before: str, count: int, src: str, idx: str) -> list[str]:
+        out = []
+        for k in range(count):
+            out.append(f"{name}c{k + 1} AS (SELECT c.* EXCLUDE (fold, proof), CASE WHEN up THEN sha256(b || fold || a) ELSE fold END AS fold, proof || b || a AS proof FROM {f'{name}c{k}' if k else before} c JOIN {name}_s{k} s ON s.src = {src} AND s.idx = {idx} // {16**k})")
+        return out
+
+    parts = [
+        f"d AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lowered)} END AS tampered FROM documents)",
+        "l AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS src, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d)",
+        "t0 AS (SELECT src, n, idx, leaf AS digest FROM l)",
+        *levels("t", in_source),
+        f"r0 AS MATERIALIZED (SELECT 0 AS src, count(*) OVER () AS n, src AS idx, digest FROM t{in_source})",
+        *levels("r", over),
+        "l0 AS (SELECT *, coalesce(tampered, leaf) AS fold, '' AS proof FROM l)",
+        *climb("t", "l0", in_source, "c.src", "c.idx"),
+        *climb("r", f"tc{in_source}", over, "0", "c.src"),
+    ]
+    return f"""
+WITH {", ".join(parts)}
+SELECT doc_id, leaf, u.digest AS subroot, r.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = r.digest AS verified
+FROM rc{over} c JOIN t{in_source} u USING (src) CROSS JOIN r{over} r"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_url_filters": _template_sql(),
+    "op13_merkle_manifest": _merkle_sql(),
     "op2_chat_formatting": f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
