@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +24,14 @@ from .common import alone, blocks, lookup, tokenizer_path, written
 PIECES = "piece_bpe_32k.model"
 #: Cut before a blank that follows no white space, but not before the last character: B gives nothing for an empty rest.
 _PLACES = re.compile(r"(?<=\S)(?= [\s\S])")
-#: Parts of at most so many characters are remembered, up to about so many bytes in all.
-PART_CHARS = 64
-HELD = 128 << 20
+#: Characters of a text that are cut up at a time, parts that are measured at a time, and bytes of new parts that are tokenised at a time.
+SLICE, AT_ONCE, BATCH = 1 << 20, 1 << 17, 1 << 17
+#: About so many bytes of parts are remembered; then a task starts anew.
+HELD = 160 << 20
 
 
 class Aligner:
-    """Ids, groups and links of the parts of texts."""
+    """Ids, groups and links of the parts of texts. Parts are numbered as they come up; arrays hold what is known of each."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -40,79 +41,165 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letter = _byte_letters()
-        vocabulary = self.a.get_vocab()
-        self.a_bytes = {i: bytes(letter[c] for c in t) if all(c in letter for c in t) else t.encode() for t, i in vocabulary.items()}
+        found = {i: bytes(letter[c] for c in t) if all(c in letter for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        self.a_bytes = [found.get(i, b"") for i in range(max(found) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.known: dict[str, tuple | None] = {}
-        self.held = 0
-
-    def part(self, text: str) -> tuple | None:
-        """(n_a, n_b, n_groups, n_links, groups as text, {pair: links}) of a part that starts with a blank; None if the bytes differ."""
-        a = self.a.encode(text, add_special_tokens=False).ids
-        b = self.b.encode(text[1:])
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.groups: list[bytes | None] = []  # None: the bytes differ
+        self.sizes = np.zeros((1024, 4), np.int64)  # n_a, n_b, n_groups, n_links
+        self.first = np.zeros(1024, np.int64)  # of its links
+        self.links, self.n_links, self.held = np.zeros(4096, np.int64), 0, 0
+
+    def _keep(self, sizes: np.ndarray, links: np.ndarray, groups: list[bytes | None]) -> None:
+        """Parts with the next numbers: sizes in rows, links one part after the other."""
+        at = len(self.groups)
+        while at + len(sizes) > len(self.first):
+            self.sizes, self.first = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.first, np.zeros_like(self.first)])
+        while self.n_links + len(links) > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        self.sizes[at : at + len(sizes)] = sizes
+        self.first[at : at + len(sizes)] = self.n_links + np.cumsum(sizes[:, 3]) - sizes[:, 3]
+        self.links[self.n_links : self.n_links + len(links)] = links
+        self.n_links += len(links)
+        self.groups += groups
+
+    def _learn(self, parts: list[str]) -> None:
+        """Number new parts. Many are tokenised as one text: at the blank that each starts with both tokenisers start anew."""
+        plain: list[str] = []
+        size = 0
+        for p in parts:
+            if "▁" in p or p[-1].isspace() or not self.cuts:  # may differ from its bytes, or reach into the next part
+                if not self._align([p]):
+                    self._differs(p)
+                continue
+            plain.append(p)
+            size += len(p)
+            if size > BATCH:
+                self._learn_batch(plain)
+                plain, size = [], 0
+        if plain:
+            self._learn_batch(plain)
+
+    def _learn_batch(self, parts: list[str]) -> None:
+        if not self._align(parts):
+            for p in parts:
+                if not self._align([p]):
+                    self._differs(p)
+
+    def _differs(self, part: str) -> None:
+        self.number[part] = len(self.groups)
+        self._keep(np.zeros((1, 4), np.int64), np.zeros(0, np.int64), [None])
+
+    def _align(self, parts: list[str]) -> bool:
+        """Align and keep parts; False, with nothing kept, if their bytes or ends aren't those of the tokens."""
+        text = "".join(parts)
         whole = text.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-            return None
-        # Both lists at once: tokens that meet are linked, and the one that ends first makes way; where both end, a group ends.
-        links: list[int] = []
-        groups: list[str] = []
-        i = j = from_a = from_b = 0
-        a_end, b_end = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
-        while True:
-            links.append((a[i] << 32) + b[j])
-            on_a, on_b = a_end <= b_end, b_end <= a_end
-            if on_a:
-                i += 1
-            if on_b:
-                j += 1
-            if on_a and on_b:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                from_a, from_b = i, j
-                if i == len(a):
-                    break
-            if on_a:
-                a_end += len(self.a_bytes[a[i]])
-            if on_b:
-                b_end += len(self.b_bytes[b[j]])
-        return len(a), len(b), len(groups), len(links), ";".join(groups), Counter(links)
-
-    def text(self, text: str) -> tuple:
-        """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, links of each pair) of a whole text; zeros, "" and no pairs if the bytes differ."""
-        nothing = (0, 0, 0, 0, "", [], [])
+        a_ids, b_ids = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+        if b"".join([self.a_bytes[i] for i in a_ids]) != whole or b"".join([self.b_bytes[i] for i in b_ids]) != whole:
+            return False
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        end = np.cumsum([len(p.encode()) for p in parts]) if len(parts) > 1 else np.array([len(whole)])
+        both = np.intersect1d(a_end, b_end, assume_unique=True)
+        if not np.isin(end, both).all():
+            return False
+        # Between two ends that follow each other one token of A and one of B overlap: each such place is a link.
+        places = np.union1d(a_end, b_end)
+        links = (a[np.searchsorted(a_end, places)] << 32) + b[np.searchsorted(b_end, places)]
+        count = lambda ends: np.bincount(np.searchsorted(end, ends), minlength=len(parts))
+        sizes = np.stack([count(a_end), count(b_end), count(both), count(places)], 1)
+        a_at, b_at = [0, *(np.searchsorted(a_end, both) + 1).tolist()], [0, *(np.searchsorted(b_end, both) + 1).tolist()]
+        a_text, b_text = list(map(str, a_ids)), list(map(str, b_ids))
+        groups = [f"{','.join(a_text[i:j])}|{','.join(b_text[k:n])}" for i, j, k, n in zip(a_at, a_at[1:], b_at, b_at[1:], strict=False)]
+        at = [0, *np.cumsum(sizes[:, 2]).tolist()]
+        for k, p in enumerate(parts):
+            self.number[p] = len(self.groups) + k
+        self._keep(sizes, links, [";".join(groups[i:j]).encode() for i, j in zip(at, at[1:], strict=False)])
+        self.held += 350 * len(parts) + 12 * len(whole)
+        return True
+
+    def _numbers(self, parts: list[str]) -> list[int]:
+        get = self.number.get
+        out = [get(p, -1) for p in parts]
+        if -1 in out:
+            self._learn(list(dict.fromkeys([p for p, k in zip(parts, out, strict=True) if k < 0])))
+            out = [self.number[p] for p in parts]
+        return out
+
+    def texts(self, texts: list[str]) -> list[tuple]:
+        """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, links of each pair) of whole texts; zeros, "" and no pairs if the bytes differ."""
+        n = len(texts)
+        sizes, digests, same = np.zeros((n, 4), np.int64), [hashlib.sha256() for _ in texts], [bool(t) for t in texts]
+        begun, pairs = [False] * n, [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        waiting = 0
+        for k, t in enumerate(texts):
+            for parts in self._sliced(t):
+                held.append((k, parts))
+                waiting += len(parts)
+                if waiting > AT_ONCE:
+                    self._add(held, sizes, digests, same, begun, pairs)
+                    held, waiting = [], 0
+        self._add(held, sizes, digests, same, begun, pairs)
+        out = []
+        for k in range(n):
+            if not same[k]:
+                out.append((0, 0, 0, 0, "", [], []))
+                continue
+            ids, links = pairs[k][0] if len(pairs[k]) == 1 else (np.concatenate(x) for x in zip(*pairs[k], strict=True))
+            if len(pairs[k]) > 1:
+                ids, where = np.unique(ids, return_inverse=True)
+                links = np.bincount(where, links).astype(np.int64)
+            out.append((*sizes[k].tolist(), digests[k].hexdigest(), ids, links))
+        return out
+
+    def _sliced(self, text: str) -> Iterator[list[str]]:
+        """The parts of a text, some at a time."""
         if not text:
-            return nothing
-        parts = _PLACES.split(" " + text) if self.cuts else [" " + text]
-        digest, sizes, pairs = hashlib.sha256(), [0, 0, 0, 0], Counter()
-        of: dict[str, tuple] = {}
-        times = Counter(parts)
-        for p, n in times.items():
-            found = self._part(p)
-            if found is None:
-                return nothing
-            of[p] = found
-            for k in range(4):
-                sizes[k] += n * found[k]
-            for pair, links in found[5].items():
-                pairs[pair] += n * links
-        for k in range(0, len(parts), 65536):
-            digest.update(((";" if k else "") + ";".join([of[p][4] for p in parts[k : k + 65536]])).encode())
-        order = sorted(pairs)
-        return (*sizes, digest.hexdigest(), order, [pairs[x] for x in order])
-
-    def _part(self, p: str) -> tuple | None:
-        if p in self.known:
-            return self.known[p]
-        found = self.part(p)
-        if len(p) <= PART_CHARS:
-            size = 800 + 200 * len(p) // 4
-            if self.held + size > HELD:
-                self.known.clear()
-                self.held = 0
-            self.known[p] = found
-            self.held += size
-        return found
+            return
+        text, at = " " + text, 0
+        if not self.cuts:
+            yield [text]
+            return
+        while at < len(text):
+            m = _PLACES.search(text, at + SLICE) if len(text) - at > SLICE else None
+            to = m.start() if m else len(text)
+            yield _PLACES.split(text[at:to] if at or m else text)
+            at = to
+
+    def _add(self, held, sizes, digests, same, begun, pairs) -> None:
+        """Add up parts by text: held has (place of the text, parts) in order."""
+        if not held:
+            return
+        if self.held > HELD:
+            self.forget()
+        parts = [p for _, x in held for p in x]
+        numbers = self._numbers(parts)
+        ids, at = np.array(numbers, np.int64), 0
+        owner = np.repeat(np.array([k for k, _ in held]), [len(x) for _, x in held])
+        for k, x in held:
+            texts = [self.groups[i] for i in numbers[at : at + len(x)]]
+            at += len(x)
+            if None in texts:
+                same[k] = False
+            else:
+                digests[k].update((b";" if begun[k] else b"") + b";".join(texts))
+                begun[k] = True
+        np.add.at(sizes, owner, self.sizes[ids])
+        n = self.sizes[ids, 3]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[ids], n)
+        pair, which = np.unique(self.links[place], return_inverse=True)
+        found, links = np.unique(np.repeat(owner, n) * len(pair) + which, return_counts=True)
+        of, pair = found // max(len(pair), 1), pair[found % max(len(pair), 1)]
+        edge = np.flatnonzero(np.diff(of)) + 1
+        for k, x, y in zip(of[np.concatenate([[0], edge])] if len(of) else [], np.split(pair, edge), np.split(links, edge), strict=False):
+            pairs[k].append((x, y))
 
 
 def _byte_letters() -> dict[str, int]:
@@ -130,7 +217,7 @@ def _aligned(a: str, b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = alone(("align", a, b), lambda: Aligner(a, b))
         for rows, texts in blocks(batches, "text"):
-            found = [aligner.text(t) for t in texts]
+            found = aligner.texts(texts)
             cols = [pa.array([x[k] for x in found], pa.int64()) for k in range(4)]
             lists = [pa.array([x[k] for x in found], pa.list_(pa.int64())) for k in (5, 6)]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *cols, pa.array([x[4] for x in found], pa.string()), *lists], _NAMES)

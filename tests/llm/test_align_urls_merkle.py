@@ -95,15 +95,17 @@ def test_alignment_of_an_empty_table(spark):
 
 
 def test_parts_that_are_forgotten_are_found_again(monkeypatch):
-    monkeypatch.setattr(alignment, "HELD", 5000)
-    small = alignment.Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
-    text = " ".join(f"w{k} x" for k in range(300))
-    got = small.text(text)
-    monkeypatch.setattr(alignment, "HELD", 1 << 30)
-    large = alignment.Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
-    assert got == large.text(text) and len(small.known) < len(large.known)
-    large.cuts = False
-    assert large.text(text) == got
+    texts = [" ".join(f"w{k} x" for k in range(300)), "", "b▁d  \n", "a  b " * 50 + "x▁y", "é中 " * 400 + "\x00", " ", "ab" * 3000]
+    plain = lambda found: [(*x[:5], list(x[5]), list(x[6])) for x in found]
+    make = lambda: alignment.Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    want = plain(make().texts(texts))
+    whole = make()
+    whole.cuts = False
+    assert plain(whole.texts(texts)) == want
+    for name, value in (("SLICE", 40), ("AT_ONCE", 7), ("BATCH", 30), ("HELD", 2000)):
+        monkeypatch.setattr(alignment, name, value)
+    small = make()
+    assert plain(small.texts(texts)) == want and plain(small.texts(texts[::-1])) == want[::-1]
 
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
