@@ -82,7 +82,7 @@ class Packer:
         size = n - whole
         level = self.levels.place(size)
         number = self.levels.stacks[level].pop() if level else self._new()
-        self.held.setdefault(number, []).append((doc, whole, ids[whole:], n))
+        self.held.setdefault(number, []).append((doc, whole, ids[whole:].copy(), n))  # a view would hold all of a long document
         self.levels.move(number, level, size)
         if level + size == w:
             self._close(number, self.held.pop(number))

@@ -365,6 +365,14 @@ def test_decontamination(spark, texts, monkeypatch):
     assert left.columns == twice.columns and left.count() == 2 * decontaminate.remove_documents(docs, items).count() < twice.count()
 
 
+def test_open_windows_hold_no_whole_document():
+    packer = packing.Packer(1024, 0)
+    for k in range(50):
+        packer.add(k, np.arange(200_000, dtype=np.uint32))
+        packer.rows.clear()
+    assert packer.held and all(len(ids.base if ids.base is not None else ids) <= 1024 for pieces in packer.held.values() for _, _, ids, _ in pieces)
+
+
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
