@@ -38,6 +38,31 @@ PATTERNS = [
     ("USER_ACCOUNT", r"\b(?:user|用户|account|账户|username)[\s:：]?([a-zA-Z0-9_\.\-@]+)\b", False),
     ("THREAT_INTEL_SOURCE", r"\b(?:FireEye|CrowdStrike|Mandiant|Kaspersky|Symantec|Trend Micro|Palo Alto|奇安信|360|安天|微步在线|VirusTotal|AlienVault|OTX|MITRE|ATT&CK|Unit 42|Talos|Cylance|Proofpoint|Secureworks)\b", False),
 ]
+# What stands in every text that a pattern matches: literals, one of which must be there in folded text, and a pattern for the rest.
+GUARDS: dict[str, tuple[list[str], str]] = {
+    "IP": (["."], r"[0-9]\.[0-9]"),
+    "DOMAIN": (["."], r"[a-z0-9]\.[a-z]{2}"),
+    "EMAIL": (["@"], ""),
+    "HASH_MD5": ([], r"[a-f0-9]{32}"),
+    "HASH_SHA1": ([], r"[a-f0-9]{40}"),
+    "HASH_SHA256": ([], r"[a-f0-9]{64}"),
+    "MITRE_TECH": ([], r"t\p{Nd}{4}"),
+    "CVE": (["cve-"], ""),
+    "URL": (["://"], ""),
+    "FILE_PATH": (["/", "\\"], r"\.[a-z]"),
+    "REGISTRY": (["hk"], ""),
+    "PORT": (["port", "端口"], ""),
+    "PROCESS": (["process", "进程"], ""),
+    "SERVICE": (["service", "服务"], ""),
+    "USER_AGENT": (["user-agent"], ""),
+    "FILE_EXT": (["."], r"\.[a-z7]"),
+    "OPERATION": (["operation"], ""),
+    "CAMPAIGN": (["campaign", "行动", "活动"], ""),
+    "SSL_CERT": (["ssl", "tls", "证书", "certificate"], ""),
+    "CWE": (["cwe-"], ""),
+    "HOSTNAME": (["host", "主机", "server", "服务器"], ""),
+    "USER_ACCOUNT": (["user", "用户", "account", "账户"], ""),
+}
 # Texts that are no entities, in lower case.
 BLACKLIST = [
     "cnc", "is", "encoded", "victim", "ip", "address", "id", "name", "data", "list", "file", "url", "domain", "host", "server", "user", "account",
@@ -91,6 +116,10 @@ MALWARE = json.loads(MALWARE_FILE.read_text(encoding="utf-8"))["malware"]
 DICTIONARIES = ["MALWARE", "TOOL", "ORG", "COUNTRY", "OPERATION", "INDUSTRY"]
 
 
+#: Patterns that are plain lists of words: found like dictionaries, in the order of the list.
+WORD_LISTS = {label: m[1].split("|") for label, p, cased in PATTERNS if not cased and (m := re.fullmatch(r"\\b\(\?:([^()\[\]\\*+?{}]*)\)\\b", p))}
+
+
 def normalize_terms(terms: list[str] | None) -> list[str]:
     return [t.strip() for t in terms or [] if t and t.strip()]
 
@@ -115,11 +144,13 @@ class Vocabulary:
     operation: list[str] = field(default_factory=list)
     industry: list[str] = field(default_factory=list)
 
-    def registry(self) -> list[tuple[int, str, str, bool]]:
-        """(label_rank, label, Java pattern, has a group) for all patterns and dictionaries."""
-        out = [(k, label, ("(?U)" if cased else "(?iU)") + p, p.replace(r"\(", "").count("(") > p.count("(?")) for k, (label, p, cased) in enumerate(PATTERNS)]
-        for label in DICTIONARIES:
-            p = compile_dictionary(getattr(self, label.lower()))
-            if p:
-                out.append((len(PATTERNS) + DICTIONARIES.index(label), label, "(?iU)" + p, False))
-        return out
+    def terms(self) -> list[tuple[int, int, str]]:
+        """(label_rank, place, term) of the word lists and dictionaries. Dictionaries have one place: their order is that of their escaped terms."""
+        listed = [(k, n, t) for k, (label, _, _) in enumerate(PATTERNS) for n, t in enumerate(WORD_LISTS.get(label, []))]
+        return listed + [(len(PATTERNS) + k, 0, t) for k, label in enumerate(DICTIONARIES) for t in normalize_terms(getattr(self, label.lower()))]
+
+    @staticmethod
+    def pattern(rank: int) -> tuple[str, bool]:
+        """Java pattern of a fixed pattern, and whether it has a group."""
+        _, p, cased = PATTERNS[rank]
+        return ("(?U)" if cased else "(?iU)") + p, p.replace(r"\(", "").count("(") > p.count("(?")

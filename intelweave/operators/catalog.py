@@ -51,6 +51,19 @@ def box_stats(stats: DataFrame, value: str = "num_nodes") -> DataFrame:
     return stats.groupBy("apt_group").agg(F.min(value).alias("least"), q.alias("q"), F.max(value).alias("most")).select("apt_group", "least", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "most")
 
 
+def box_sketches(stats: DataFrame, value: str = "num_nodes", k: int = 800) -> DataFrame:
+    """(apt_group, sketch, least, most, n): quantile sketches that can be stored and merged; with k = 800 a quantile is off by less than 1 % of ranks in 99 of 100 cases."""
+    x = F.col(value).cast("double")
+    return stats.groupBy("apt_group").agg(F.kll_sketch_agg_double(x, k).alias("sketch"), F.min(x).alias("least"), F.max(x).alias("most"), F.count(x).alias("n"))
+
+
+def box_stats_of(sketches: DataFrame) -> DataFrame:
+    """box_stats from sketches, any number for each group: those of partitions, days or sources are merged, no value is read again."""
+    whole = sketches.filter("n > 0").groupBy("apt_group").agg(F.kll_merge_agg_double("sketch").alias("s"), F.min("least").alias("least"), F.max("most").alias("most"))
+    at = lambda rank: F.kll_sketch_get_quantile_double("s", F.lit(rank))
+    return whole.select("apt_group", "least", at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), "most")
+
+
 def node_histogram(stats: DataFrame, value: str = "num_nodes", bins: int = 20) -> DataFrame:
     """(bin from 1, n): equal widths from the least to the greatest value, the greatest in the last bin."""
     ends = stats.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import BLACKLIST, Vocabulary
+from ..functions.patterns import BLACKLIST, DICTIONARIES, GUARDS, PATTERNS, WORD_LISTS, Vocabulary
+from .dictionary import candidate_patterns, folded, term_index
 
 #: Marks put around a match and its group. Taken out of the text first.
 _OPEN, _GROUP, _CLOSE = "\u0001", "\u0002", "\u0003"
@@ -16,26 +17,24 @@ def _literal(text: str) -> str:
 
 
 def _spans_sql(text: str, pattern: str, grouped: bool, fields: str, keep: str) -> str:
-    """Array of structs (fields, then text, start, end) of all matches of pattern in the column text that keep holds for.
+    """Array of structs (fields, then text, start, end) of all matches of pattern (SQL) in the column text that keep holds for.
 
-    The text is marked and cut at the marks once (m); a walk over the parts adds up the offsets. A group ends its match.
+    The text is marked and cut at the marks once (m); the places of the parts are a running sum of their lengths. A group
+    ends its match.
     """
     marks = _literal(f"{_OPEN}$0{_GROUP}{'$1' if grouped else ''}{_CLOSE}")
     match = f"substring_index(p, '{_GROUP}', 1)"
     named = f"substring_index(substring_index(p, '{_CLOSE}', 1), '{_GROUP}', -1)" if grouped else match
-    end = f"acc.at + length({match})"
-    kind = ("label_rank: int, label: string, " if fields else "") + "text: string, start: int, end: int"
-    found = f"named_struct({fields}'text', {named}, 'start', {end} - length({named}), 'end', {end})"
-    walk = (
-        f"aggregate(slice(m, 2, greatest(size(m) - 1, 0)), named_struct('at', length(m[0]), 'found', cast(array() AS array<struct<{kind}>>)), "
-        f"(acc, p) -> named_struct('at', {end} + length(substring_index(p, '{_CLOSE}', -1)), 'found', concat(acc.found, array({found}))), acc -> filter(acc.found, s -> {keep}))"
-    )
-    return f"element_at(transform(array(split(regexp_replace({text}, {_literal(pattern)}, {marks}), '{_OPEN}', -1)), m -> {walk}), 1)"
+    after = f"length({match}) + length(substring_index(p, '{_CLOSE}', -1))"
+    parts = "slice(m, 2, greatest(size(m) - 1, 0))"
+    places = f"aggregate({parts}, named_struct('at', length(m[0]), 'every', cast(array() AS array<int>)), (acc, p) -> named_struct('at', acc.at + {after}, 'every', concat(acc.every, array(acc.at))), acc -> acc.every)"
+    span = f"named_struct({fields}'text', {named}, 'start', at + length({match}) - length({named}), 'end', at + length({match}))"
+    return f"element_at(transform(array(split(regexp_replace({text}, {pattern}, {marks}), '{_OPEN}', -1)), m -> filter(zip_with({parts}, {places}, (p, at) -> {span}), s -> {keep})), 1)"
 
 
 def extract_spans(text: str, pattern: str, grouped: bool) -> Column:
     """Array of (text, start, end) of all matches in the column text, in order; a group, if there is one, replaces its match."""
-    return F.expr(_spans_sql(text, pattern, grouped, "", "true"))
+    return F.expr(_spans_sql(text, _literal(pattern), grouped, "", "true"))
 
 
 def long_enough(text: Column) -> Column:
@@ -46,23 +45,51 @@ def blacklisted(text: Column) -> Column:
     return F.lower(text).isin(BLACKLIST)
 
 
-def extract_entities(paragraphs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
+def _guard_sql(label: str, fold: str) -> str:
+    literals, pattern = GUARDS[label]
+    tests = [" OR ".join(f"contains({fold}, {_literal(x)})" for x in literals)] if literals else []
+    tests += [f"{fold} RLIKE {_literal(pattern)}"] if pattern else []
+    return " AND ".join(f"({t})" for t in tests)
+
+
+def extract_entities(paragraphs: DataFrame, vocabulary: Vocabulary | None = None, terms: DataFrame | None = None) -> DataFrame:
     """entities of paragraphs (report_id, paragraph_index, text): one row per mention, numbered within its paragraph.
 
     Ordered by label, then place. Texts of fewer than 2 or more than 100 characters and blacklisted ones are left
-    out. Labels that a pattern and a dictionary share give a mention at one place once.
+    out. Labels that a pattern and a dictionary share give a mention at one place once. A null text has no mentions.
+    terms (label, term; labels of DICTIONARIES) adds to the vocabulary any number of terms that never pass the driver.
+    (report_id, paragraph_index) must be a key of paragraphs: dictionaries are joined by it.
     """
-    registry = (vocabulary or Vocabulary()).registry()
-    clean = F.translate("text", _OPEN + _GROUP + _CLOSE, "")
-    plain = paragraphs.select("report_id", "paragraph_index", clean.alias("__text"))
+    vocabulary = vocabulary or Vocabulary()
+    spark, ids = paragraphs.sparkSession, ["report_id", "paragraph_index"]
+    known = spark.createDataFrame(vocabulary.terms(), "label_rank int, place int, term string")
+    ranks = sorted({r for r, _, _ in vocabulary.terms()} | set(range(len(PATTERNS), len(PATTERNS) + len(DICTIONARIES)) if terms is not None else ()))
+    if terms is not None:
+        ranked = F.array_position(F.lit(DICTIONARIES), F.col("label")).cast("int")
+        known = known.union(terms.filter(ranked > 0).select(ranked + (len(PATTERNS) - 1), F.lit(0), "term"))
+    clean = F.translate(F.coalesce("text", F.lit("")), _OPEN + _GROUP + _CLOSE, "")
+    plain = paragraphs.select(*ids, clean.alias("__text"))
+    named = candidate_patterns(plain.withColumn("__fold", folded(F.col("__text"))), term_index(known), ranks, ids, "__fold")
+    both = plain.join(named, ids, "left").withColumn("__fold", folded(F.col("__text")))
+
     stays = f"length(s.text) BETWEEN 2 AND 100 AND lower(s.text) NOT IN ({', '.join(map(_literal, BLACKLIST))})"
-    spans = [_spans_sql("__text", p, grouped, f"'label_rank', {rank}, 'label', {_literal(label)}, ", stays) for rank, label, p, grouped in registry]
+    none = "cast(array() AS array<struct<label_rank: int, label: string, text: string, start: int, end: int>>)"
+    spans, labels = [], []
+    for rank, label in enumerate([label for label, _, _ in PATTERNS] + DICTIONARIES):
+        if rank < len(PATTERNS) and label not in WORD_LISTS:
+            pattern, grouped = vocabulary.pattern(rank)
+            guard, pattern = _guard_sql(label, "__fold"), _literal(pattern)
+        elif rank in ranks:
+            guard, pattern, grouped = f"t{rank} IS NOT NULL", f"concat('(?iU)\\\\b(?:', t{rank}, ')\\\\b')", False
+        else:
+            continue
+        labels.append(label)
+        spans.append(f"CASE WHEN {guard} THEN {_spans_sql('__text', pattern, grouped, f"'label_rank', {rank}, 'label', {_literal(label)}, ", stays)} ELSE {none} END")
     every = F.expr(f"concat({', '.join(spans)})")
-    labels = [label for _, label, _, _ in registry]
     if len(set(labels)) < len(labels):
         every = _deduplicated(every)
-    out = plain.select("report_id", "paragraph_index", F.posexplode(every).alias("ordinal", "e"))
-    return out.select("report_id", "paragraph_index", F.col("e.label").alias("label"), F.col("e.text").alias("text"), F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.col("e.label_rank").alias("label_rank"), (F.col("ordinal") + 1).alias("ordinal"))
+    out = both.select(*ids, F.posexplode(every).alias("ordinal", "e"))
+    return out.select(*ids, F.col("e.label").alias("label"), F.col("e.text").alias("text"), F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.col("e.label_rank").alias("label_rank"), (F.col("ordinal") + 1).alias("ordinal"))
 
 
 def _deduplicated(found: Column) -> Column:

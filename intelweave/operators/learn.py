@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, kept
 
 
 def valid_graph_filter(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, label: str = "label") -> DataFrame:
@@ -87,8 +89,9 @@ def stratified_kfold(rows: DataFrame, id_col: str, label: str, folds: int = 5, s
 
 
 def edge_dropout(edges: DataFrame, share: float, seed: int = 42) -> DataFrame:
-    """edges without about share of them, chosen by hash, so the same ones each time."""
-    return edges.filter(F.pmod(F.xxhash64(F.lit(seed), "report_id", "src", "dst"), F.lit(1_000_000)) >= int(share * 1_000_000))
+    """edges without about share of them, chosen by digest, so the same ones each time and in any engine."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "report_id", "src", "dst").cast("binary"))
+    return edges.filter(F.conv(F.left(digest, F.lit(8)), 16, 10).cast("long") >= int(share * (1 << 32)))
 
 
 def feature_noise(features: DataFrame, scale: float, seed: int = 42) -> DataFrame:
@@ -116,6 +119,25 @@ def attribution_classifier(train: DataFrame, vector: str = "readout", label: str
     return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="keep"), kind]).fit(ready)
 
 
+def fold_predictions(rows: DataFrame, id_col: str = "report_id", label: str = "apt_group", folds: int = 5, seed: int = 42, fit=None) -> DataFrame:
+    """(report_id, fold, label, probability) of every row by a model that hasn't seen it: one model for each fold, fitted on the others.
+
+    Folds are those of stratified_kfold, kept as a table. fit takes training rows and gives a model that predict takes;
+    attribution_classifier with class weights of the training rows, if nothing is given. A class all of whose rows are in
+    one fold has no probability there.
+    """
+    dealt = kept(stratified_kfold(rows, id_col, label, folds, seed))
+
+    def weighted(train: DataFrame):
+        return attribution_classifier(train.join(broadcast_if_small(class_weights(train, label)), label), label=label, weight="weight")
+
+    parts = []
+    for k in range(folds):
+        model = (fit or weighted)(dealt.filter(F.col("fold") != k).drop("fold"))
+        parts.append(predict(model, dealt.filter(F.col("fold") == k)).withColumn("fold", F.lit(k)))
+    return reduce(DataFrame.unionByName, parts).select("report_id", "fold", "label", "probability")
+
+
 def predict(model, rows: DataFrame, vector: str = "readout") -> DataFrame:
     """(report_id, label, probability): one row for each report and class."""
     labels = model.stages[0].labels

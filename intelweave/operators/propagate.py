@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import kept
+
 _NODE = ["report_id", "node_idx"]
 
 
@@ -26,20 +28,29 @@ def _or_zeros(v, x):
 
 
 def mean_aggregate(edges: DataFrame, features: DataFrame, rounds: int = 1) -> DataFrame:
-    """Own vector followed by the mean of the neighbours', round after round; zeros without neighbours."""
-    for _ in range(rounds):
+    """Own vector followed by the mean of the neighbours', round after round; zeros without neighbours.
+
+    Each round reads features twice: before a further round they become a table, so that its plan is as large as the first's.
+    """
+    for k in range(rounds):
+        features = kept(features) if k else features
         near = _mean(_sent(edges, features), _NODE)
         features = features.join(near, _NODE, "left").select(*_NODE, F.concat("x", _or_zeros(F.col("v"), F.col("x"))).alias("x"))
     return features
 
 
 def gcn_aggregate(edges: DataFrame, features: DataFrame, rounds: int = 1) -> DataFrame:
-    """Sum over neighbours and the node itself of x / sqrt(d_i d_j); d counts incoming edges and the added loop."""
+    """Sum over neighbours and the node itself of x / sqrt(d_i d_j); d counts incoming edges and the added loop.
+
+    With more rounds than one, the degrees and each round's features are tables, and plans stay of one size.
+    """
     plain = edges.filter("src <> dst").select("report_id", "src", "dst")
     loops = features.select("report_id", F.col("node_idx").alias("src"), F.col("node_idx").alias("dst"))
     every = plain.unionByName(loops)
     degree = every.groupBy("report_id", F.col("dst").alias("node_idx")).agg(F.count(F.lit(1)).alias("d"))
-    for _ in range(rounds):
+    degree = kept(degree) if rounds > 1 else degree
+    for k in range(rounds):
+        features = kept(features) if k else features
         scaled = features.join(degree, _NODE).select(*_NODE, F.transform("x", lambda v: v / F.sqrt("d")).alias("x"))
         near = _mean(_sent(every, scaled), _NODE)
         features = near.join(degree, _NODE).select(*_NODE, F.transform("v", lambda v: v * F.col("n") / F.sqrt("d")).alias("x"))

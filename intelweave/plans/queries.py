@@ -17,6 +17,8 @@ from ..functions import text as TX
 from ..functions import vectors as VX
 from ..operators import attribution as A
 from ..operators import catalog as K
+from ..operators import density as DN
+from ..operators import dictionary as DI
 from ..operators import entities as D
 from ..operators import evaluate as E
 from ..operators import features as FE
@@ -25,12 +27,14 @@ from ..operators import language as LG
 from ..operators import learn as L
 from ..operators import paragraphs as P
 from ..operators import propagate as N
-from ..functions.patterns import Vocabulary, compile_dictionary, normalize_terms
+from ..operators import search as SR
+from ..functions.patterns import BLACKLIST, Vocabulary, compile_dictionary
 from ..session import kept, shared_path
 from ..sources import files as S
+from ..sources import stored as ST
 from ..streaming.ingest import ingest_new_files
 from . import views as V
-from .oracle import TYPE_INDEX, date_sql, group_sql, slug_sql, steps, tags_sql, vendor_sql
+from .oracle import TYPE_INDEX, date_sql, group_sql, listed, slug_sql, steps, tags_sql, vendor_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -228,9 +232,12 @@ def c8_context_window(t):
     return t.table("documents").select("doc_id", TX.context_window(F.col("text"), at, at + 5, 64).alias("context"))
 
 
-@on_tables(r"SELECT doc_id AS report_id, 'empty_text' AS reason FROM documents WHERE coalesce(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') = '' OR doc_id % 97 < 0")
+@on_tables("SELECT doc_id AS report_id, CASE WHEN lang = 'fr' THEN 'no text in ' || source ELSE 'empty_text' END AS reason FROM documents WHERE lang IN ('de', 'fr') UNION ALL SELECT doc_id, 'empty_text' FROM documents WHERE lang NOT IN ('de', 'fr') AND trim(coalesce(text, '')) = ''")
 def s12_quarantine(t):
-    return P.quarantine(t.table("documents").select(F.col("doc_id").alias("report_id"), "text"))[1].select("report_id", "reason")
+    """German documents come without a text or with blanks for one, French ones with an error."""
+    lost = F.when(F.col("lang") == "de", F.when(F.col("doc_id") % 2 == 0, F.lit(" \n\t "))).otherwise(F.col("text"))
+    error = F.when(F.col("lang") == "fr", F.concat(F.lit("no text in "), "source"))
+    return P.quarantine(t.table("documents").select(F.col("doc_id").alias("report_id"), lost.alias("text"), error.alias("error")))[1].select("report_id", "reason")
 
 
 # --- sources that a table can stand for
@@ -246,6 +253,16 @@ def s16_sniff_file_type(t):
     return t.table("pages").select("page_id", S.sniff_file_type(F.col("url"), F.col("html").cast("binary")).alias("kind"))
 
 
+@on_tables("SELECT report_id, apt_group, source_vendor, published_date::VARCHAR AS published_date, raw_name, array_to_string(extra_tags, '|') AS tags FROM r")
+def s7_read_index(t):
+    """An index that is written twice: rows of the first file are out of date."""
+    index = S.index_files(t.reports.select(F.concat(F.lit("/in/"), "raw_name", F.lit(".txt")).alias("file_path")))
+    root = shared_path(t.spark)
+    S.write_index(index.withColumn("apt_group", F.lit("OLD")).withColumn("extra_tags", F.array(F.lit("old"))), f"{root}/1")
+    S.write_index(index, f"{root}/2")
+    return S.read_index(t.spark, f"{root}/*").selectExpr("report_id", "apt_group", "source_vendor", DATE, "raw_name", "array_join(extra_tags, '|') AS tags")
+
+
 @on_tables("SELECT user_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY 1")
 def s7_last_row_wins(t):
     return S.last_per_key(t.table("events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
@@ -270,10 +287,14 @@ def s1_scan_files(t):
     return S.scan_files(t.spark, root, (".txt",)).groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg(F.sum("length").alias("bytes"))
 
 
-@on_tables("SELECT report_id, apt_group, source_vendor, published_date::VARCHAR AS published_date, '/in/' || raw_name || '.TXT' AS file_path, raw_name, 'txt' AS file_type FROM r")
+@on_tables("SELECT report_id, apt_group, source_vendor, published_date::VARCHAR AS published_date, raw_name, 'txt' AS file_type, array_to_string(extra_tags, '|') AS tags FROM r")
 def s2_build_report_index(t):
-    files = V.raw_reports(t.spark, t.d).select(F.concat(F.lit("/in/"), "raw_name", F.lit(".TXT")).alias("file_path"))
-    return S.index_files(files.unionByName(files)).selectExpr("report_id", "apt_group", "source_vendor", DATE, "file_path", "raw_name", "file_type")
+    """A file for every report, in two folders that are both given twice."""
+    texts = V.raw_reports(t.spark, t.d).select("raw_name", "lang", "text").repartition("raw_name")
+    root = _written(texts, lambda rows, path: rows.write.partitionBy("lang", "raw_name").text(path))
+    roots = [f"{root}/{part}" for part in ("lang=en", "lang=[dfe][ers]")]
+    found = S.build_report_index(t.spark, [], [*roots, *roots], name=F.regexp_extract("file_path", "/raw_name=([^/]*)/", 1))
+    return found.selectExpr("report_id", "apt_group", "source_vendor", DATE, "raw_name", "file_type", "array_join(extra_tags, '|') AS tags")
 
 
 @on_tables("SELECT doc_id, md5(replace(text, chr(65533), '') || 'x') AS h FROM documents")
@@ -295,19 +316,31 @@ def s6_read_paragraphs(t):
     return S.read_paragraphs(t.spark, path).select("report_id", "paragraph_index", "apt_group", F.md5(F.col("text").cast("binary")).alias("h"))
 
 
+@on_tables("SELECT report_id, CASE WHEN paragraph_index = 1 THEN 0 ELSE paragraph_index END AS paragraph_index, label, text, ordinal FROM e")
+def s6_read_entities(t):
+    """Entities as JSON lines, among blank lines; a paragraph of number 1 is written without it."""
+    unnumbered = t.entities.withColumn("paragraph_index", F.when(F.col("paragraph_index") != 1, F.col("paragraph_index")))
+    lines = unnumbered.select(F.explode(F.array(F.to_json(F.struct("*")), F.lit(""))).alias("value"))
+    path = _written(lines, lambda rows, path: rows.write.text(path))
+    return S.read_entities(t.spark, path).select("report_id", "paragraph_index", "label", "text", "ordinal")
+
+
 @on_tables("SELECT DISTINCT source AS term FROM documents")
 def s8_load_vocabulary(t):
-    terms = t.table("documents").agg(F.collect_set(F.concat(F.lit(" "), "source", F.lit(" "))).alias("malware"))
-    path = _written(terms.select(F.to_json(F.struct("malware"))), lambda rows, path: rows.write.text(path))
-    found = S.load_vocabulary(t.spark, path, "malware")
-    return t.spark.createDataFrame([(x,) for x in found], "term string")
+    """A vocabulary of a JSON file for each source."""
+    lists = t.table("documents").select("source").distinct().select("source", F.to_json(F.struct(F.array(F.concat(F.lit(" "), "source", F.lit(" ")), F.lit("")).alias("malware"))).alias("value"))
+    path = _written(lists, lambda rows, path: rows.write.partitionBy("source").text(path))
+    return S.vocabulary_terms(t.spark, path, "malware")
 
 
-@on_tables("SELECT 'm' || event_id AS model_dir, value AS accuracy, value / 2 AS f1_weighted, value / 4 AS f1_macro FROM events WHERE event_id % 5 <> 0")
+@on_tables("SELECT 'model=s' || s_suppkey AS model_dir, s_acctbal::DOUBLE AS accuracy, s_acctbal::DOUBLE / 2 AS f1_weighted, s_acctbal::DOUBLE / 4 AS f1_macro FROM supplier WHERE s_acctbal >= 0")
 def s9_collect_run_results(t):
-    whole = F.to_json(F.struct(F.col("value").alias("accuracy"), (F.col("value") / 2).alias("f1_weighted"), (F.col("value") / 4).alias("f1_macro")))
-    path = F.concat(F.lit("runs/m"), F.col("event_id").cast("string"), F.lit("/test_results.json"))
-    return S.run_results(t.table("events").select(path.alias("path"), F.when(F.col("event_id") % 5 == 0, "{broken").otherwise(whole).alias("value")))
+    """A folder with a result for every supplier; those of the ones in debt can't be read."""
+    value = F.col("s_acctbal").cast("double")
+    whole = F.to_json(F.struct(value.alias("accuracy"), (value / 2).alias("f1_weighted"), (value / 4).alias("f1_macro")))
+    runs = t.table("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("model"), F.when(value < 0, "{broken").otherwise(whole).alias("value"))
+    root = _written(runs.repartition("model"), lambda rows, path: rows.write.partitionBy("model").text(path))
+    return S.collect_run_results(t.spark, root, "*.txt")
 
 
 @on_tables("SELECT event_id, user_id, event_type, value, props FROM events")
@@ -325,14 +358,20 @@ def s11_load_groups(t):
     return S.load_groups(t.spark, path).select("id", "aliases", "origin", F.size("iocs").alias("n_iocs"))
 
 
-@on_tables("SELECT label, count(*) AS n FROM (SELECT 'CVE' AS label, unnest(regexp_extract_all(text, 'CVE-\\d{4}-\\d{4,7}')) AS text FROM v) GROUP BY 1")
+@on_tables("""SELECT report_id, apt_group, 'txt' AS file_type, n_paragraphs, coalesce(n_entities, 0) AS n_entities FROM (
+  SELECT report_id, any_value(r.apt_group) AS apt_group, count(*) AS n_paragraphs FROM r JOIN p USING (report_id) GROUP BY 1)
+LEFT JOIN (SELECT report_id, count(*) AS n_entities FROM e GROUP BY 1) USING (report_id)""")
 def s17_ingest_new_files(t):
-    """All reports as a few files, through the stream."""
-    root = _written(V.raw_reports(t.spark, t.d).select("text"), lambda rows, path: rows.write.text(path))
-    out = shared_path(t.spark)
-    ingest_new_files(t.spark, root, out, shared_path(t.spark)).awaitTermination()
-    found = t.spark.read.parquet(f"{out}/entities")
-    return found.filter("label = 'CVE'").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """Every report as a file of its own name. All come a second time, in another folder, and nothing changes."""
+    texts = V.raw_reports(t.spark, t.d).select("text", "raw_name").repartition("raw_name")
+    root, out, state = shared_path(t.spark), shared_path(t.spark), shared_path(t.spark)
+    for folder in ("first", "again"):
+        texts.write.partitionBy("raw_name").option("lineSep", " ").text(f"{root}/{folder}")
+        ingest_new_files(t.spark, root, out, state, name=F.regexp_extract("file_path", "/raw_name=([^/]*)/", 1)).awaitTermination()
+    read = lambda table: t.spark.read.parquet(f"{out}/{table}")
+    size = lambda table: read(table).groupBy("report_id").agg(F.count(F.lit(1)).alias(f"n_{table}"))
+    both = read("reports").select("report_id", "apt_group", "file_type").join(size("paragraphs"), "report_id").join(size("entities"), "report_id", "left")
+    return both.withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
 
 
 @on_tables("SELECT report_id, apt_group, source_vendor, published_date::VARCHAR AS published_date, raw_name, 'txt' AS file_type FROM r")
@@ -368,11 +407,24 @@ def d34_blacklist_filter(t):
     return t.table("events").filter(~D.blacklisted(F.col("event_type"))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@on_tables("SELECT report_id, paragraph_index, label, text, min(ordinal) AS ordinal FROM (SELECT * FROM e) GROUP BY ALL")
+@on_tables("SELECT report_id, paragraph_index, label, text, ordinal FROM e")
 def d35_deduplicate_mentions(t):
-    twice = t.entities.withColumn("start", F.lit(0)).withColumn("end", F.lit(0)).withColumn("text", F.col("text"))
-    same = twice.groupBy("report_id", "paragraph_index", "label", "text").agg(F.min("ordinal").alias("ordinal"))
-    return same
+    """Every mention three times, later ones in capitals or with another label: the first of each label stays."""
+    later = t.entities.withColumn("ordinal", F.col("ordinal") + 10_000)
+    other = later.withColumn("label", F.concat("label", F.lit("_2")))
+    found = D.deduplicate_mentions(t.entities.union(later.withColumn("text", F.upper("text"))).union(other))
+    return found.filter("not label like '%\\_2'").select("report_id", "paragraph_index", "label", "text", "ordinal")
+
+
+@on_tables(rf"""SELECT report_id, paragraph_index, count(*) AS n, count(DISTINCT lower(w)) AS n_terms FROM (
+  SELECT report_id, paragraph_index, unnest(regexp_extract_all(m, '\w+')) AS w FROM (SELECT *, regexp_replace(text, '[^\x00-\x7F]', 'q', 'g') AS m FROM p))
+WHERE lower(w) IN (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}'))) FROM documents WHERE lang = 'en') AND lower(w) NOT IN ({listed(BLACKLIST)}) AND length(w) <= 100 GROUP BY 1, 2""")
+def d36_large_vocabulary(t):
+    """All words of six letters and more of the English documents as a dictionary that never passes the driver."""
+    terms = t.table("documents").filter("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"))).alias("term")).select(F.lower("term").alias("term")).distinct()
+    ascii_only = t.paragraphs.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "q"))
+    found = D.extract_entities(ascii_only, _only(), terms.select(F.lit("MALWARE").alias("label"), "term")).filter("label = 'MALWARE'")
+    return found.groupBy("report_id", "paragraph_index").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.lower("text")).alias("n_terms"))
 
 
 _TERMS = ["night owl", "Boeing", "Cobalt Strike", " tor ", ""]
@@ -387,8 +439,8 @@ def d36_compile_dictionary(t):
 @on_tables("SELECT DISTINCT source AS term FROM documents")
 def d37_normalize_terms(t):
     """Terms with blanks around them, empty and null ones among them."""
-    raw = [r.s for r in t.table("documents").select(F.concat(F.lit("  "), "source", F.lit("\t")).alias("s")).distinct().collect()]  # as many as there are sources
-    return t.spark.createDataFrame([(x,) for x in normalize_terms([*raw, " ", "", None])], "term string")
+    raw = t.table("documents").select(F.explode(F.array(F.concat(F.lit("  "), "source", F.lit("\t")), F.lit(" "), F.lit(""), F.lit(None))).alias("s")).distinct()
+    return DI.normalized_terms(raw, "s")
 
 
 def _only(**lists) -> Vocabulary:
@@ -468,14 +520,19 @@ def g8_edges_campaign(t):
     return G.edges_campaign(t.mentions)
 
 
-@on_tables("SELECT a.report_id, a.node_idx AS src, b.node_idx AS dst FROM n2 a JOIN n2 b USING (report_id) WHERE a.node_idx < b.node_idx AND report_id IN (SELECT report_id FROM n2 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 18)")
+_FEW = "(SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY m.p, m.o)::INTEGER AS node_idx FROM (SELECT report_id, min({'p': paragraph_index, 'o': ordinal, 't': text}) AS m FROM k WHERE label IN ('IP', 'CVE', 'EMAIL', 'CWE') GROUP BY report_id, text_key, label))"
+
+
+@on_tables(f"SELECT a.report_id, a.node_idx AS src, b.node_idx AS dst FROM {_FEW} a JOIN {_FEW} b USING (report_id) WHERE a.node_idx < b.node_idx AND report_id IN (SELECT report_id FROM {_FEW} GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4)")
 def g9_edges_small_graph(t):
-    return G.edges_small_graph(G.build_nodes(t.entities), 2, 18)
+    """Graphs of addresses and weaknesses alone: most have two to four nodes."""
+    return G.edges_small_graph(G.build_nodes(t.entities.filter("label IN ('IP', 'CVE', 'EMAIL', 'CWE')")))
 
 
-@on_tables()
+@on_tables("SELECT report_id, unnest([first, 0])::INTEGER AS src, first::INTEGER AS dst FROM (SELECT report_id, min(node_idx) AS first FROM own WHERE report_id NOT IN (SELECT report_id FROM x_campaign) GROUP BY 1)")
 def g10_edges_fallback(t):
-    return G.edges_fallback(t.nodes, G.edges_single_selfloop(t.mentions))
+    """For the reports that no campaign gives an edge."""
+    return G.edges_fallback(t.nodes, G.edges_campaign(t.mentions))
 
 
 @on_tables(_edges("(SELECT * FROM x_semantic UNION ALL SELECT report_id, dst, src FROM x_semantic)"))
@@ -582,7 +639,7 @@ def f6_tfidf(t):
 
 @on_tables()
 def f7_truncated_svd(t):
-    return FE.truncated_svd(FE.tfidf(t.table("documents").select("doc_id", "text"), ["doc_id"], "text", 300, []), ["doc_id"], 20)
+    return FE.truncated_svd(FE.tfidf(t.table("documents").select("doc_id", "text"), ["doc_id"], "text", FE.MAX_TERMS, []), ["doc_id"], 300)
 
 
 @on_tables(f"SELECT report_id, node_idx, 225 AS width, {TYPE_INDEX.format('label')}::INTEGER AS slot, round(least(length(text) / 100.0, 1.0), 6) AS length_share FROM n")
@@ -629,6 +686,35 @@ def n2_gcn_aggregate(t):
     return out.select("report_id", "node_idx", *[r6(F.col("x")[k], f"m{k}") for k in range(3)])
 
 
+_LOOPED = "(SELECT report_id, src, dst FROM x WHERE src <> dst UNION ALL SELECT report_id, node_idx, node_idx FROM n)"
+
+
+def _gcn(of: str) -> str:
+    """SQL of one round over a table (report_id, node_idx, x0, x1, x2)."""
+    size = f"(SELECT report_id, dst AS node_idx, count(*) AS d FROM {_LOOPED} GROUP BY ALL)"
+    sums = ", ".join(f"sum(s.x{k} / sqrt(a.d)) / sqrt(any_value(b.d)) AS x{k}" for k in range(3))
+    return f"(SELECT g.report_id, g.dst AS node_idx, {sums} FROM {_LOOPED} g JOIN {of} s ON s.report_id = g.report_id AND s.node_idx = g.src JOIN {size} a ON a.report_id = g.report_id AND a.node_idx = g.src JOIN {size} b ON b.report_id = g.report_id AND b.node_idx = g.dst GROUP BY 1, 2)"
+
+
+@on_tables(f"SELECT report_id, node_idx, round(x0, 6) AS m0, round(x1, 6) AS m1, round(x2, 6) AS m2 FROM {_gcn(_gcn('t3'))}")
+def n2_gcn_two_rounds(t):
+    out = N.gcn_aggregate(t.edges, t.small_features, 2)
+    return out.select("report_id", "node_idx", *[r6(F.col("x")[k], f"m{k}") for k in range(3)])
+
+
+def _mean_round(of: str, width: int) -> str:
+    """SQL of one round over a table (report_id, node_idx, x0, ...): twice as many columns."""
+    means = ", ".join(f"avg(s.x{k}) AS m{k}" for k in range(width))
+    wide = ", ".join([f"f.x{k}" for k in range(width)] + [f"coalesce(m{k}, 0) AS x{k + width}" for k in range(width)])
+    return f"(SELECT f.report_id, f.node_idx, {wide} FROM {of} f LEFT JOIN (SELECT x.report_id, x.dst, {means} FROM x JOIN {of} s ON s.report_id = x.report_id AND s.node_idx = x.src GROUP BY x.report_id, x.dst) g ON g.report_id = f.report_id AND g.dst = f.node_idx)"
+
+
+@on_tables(f"SELECT report_id, node_idx, {', '.join(f'round(x{k}, 6) AS x{k}' for k in range(12))} FROM {_mean_round(_mean_round('t3', 3), 6)}")
+def n1_mean_two_rounds(t):
+    out = N.mean_aggregate(t.edges, t.small_features, 2)
+    return out.select("report_id", "node_idx", *[r6(F.col("x")[k], f"x{k}") for k in range(12)])
+
+
 @on_tables(f"SELECT t3.report_id, t3.node_idx, round(1.5 * x0 + coalesce(m0, 0), 6) AS m0, round(1.5 * x1 + coalesce(m1, 0), 6) AS m1, round(1.5 * x2 + coalesce(m2, 0), 6) AS m2 FROM t3 LEFT JOIN (SELECT x.report_id, x.dst, {_three('s', 'sum({})')} {_SENT}) g ON g.report_id = t3.report_id AND g.dst = t3.node_idx")
 def n3_sum_aggregate(t):
     out = N.sum_aggregate(t.edges, t.small_features, 0.5)
@@ -675,6 +761,22 @@ def n9_attribution_classifier(t):
     return E.predictions(L.predict(L.attribution_classifier(weighted, weight="weight"), rows))
 
 
+@on_tables("SELECT vec_id AS report_id, label::VARCHAR AS truth, 10 AS n_labels, 1.0 AS total FROM embeddings")
+def n9_out_of_fold_predictions(t):
+    """Every report by a model that hasn't seen it: one probability for each label."""
+    rows = t.vectors.select(F.col("vec_id").alias("report_id"), F.col("v").alias("readout"), F.col("label").cast("string").alias("apt_group"))
+    each = L.fold_predictions(rows, folds=3).groupBy("report_id").agg(F.count(F.lit(1)).cast("int").alias("n_labels"), r6(F.sum("probability"), "total"))
+    return each.join(rows.select("report_id", F.col("apt_group").alias("truth")), "report_id")
+
+
+@on_tables()
+def n9_out_of_fold_report(t):
+    """Precision, recall and f1 by label, of predictions outside the fold of each report."""
+    rows = t.vectors.select(F.col("vec_id").alias("report_id"), F.col("v").alias("readout"), F.col("label").cast("string").alias("apt_group"))
+    said = E.predictions(L.fold_predictions(rows, folds=3).drop("fold")).select("report_id", F.col("predicted_label").alias("predicted"))
+    return E.classification_report(said.join(rows.select("report_id", F.col("apt_group").alias("label")), "report_id"))
+
+
 # --- learning
 
 
@@ -714,6 +816,11 @@ def l6_stratified_kfold(t):
     return L.stratified_kfold(t.table("documents").select("doc_id", "lang"), "doc_id", "lang").select("doc_id", "fold")
 
 
+@on_tables("SELECT report_id, src, dst FROM x WHERE ('0x' || md5('42|' || report_id || '|' || src || '|' || dst)[:8])::BIGINT >= 858993459")
+def l7_edge_dropout(t):
+    return L.edge_dropout(t.edges, 0.2).select("report_id", "src", "dst")
+
+
 @on_tables()
 def l7_edge_dropout_and_noise(t):
     kept = L.edge_dropout(t.edges, 0.2).groupBy("report_id").agg(F.count(F.lit(1)).alias("edges"))
@@ -897,6 +1004,26 @@ def a11_cluster_reports(t):
     return A.cluster_reports(t.vectors.withColumnRenamed("vec_id", "report_id"))
 
 
+#: Distance and number of points of the density clusters.
+_EPS, _LEAST = 1.2, 5
+
+
+@on_tables()
+def a11_density_clusters(t):
+    return DN.dbscan(t.vectors, _EPS, _LEAST, "vec_id")
+
+
+ORACLE_SQL["a11_density_clusters"] = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+near AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON list_distance(a.v, b.v) <= {_EPS}),
+size AS MATERIALIZED (SELECT a AS id, count(*) AS n FROM near GROUP BY 1),
+link AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT id FROM size WHERE n >= {_LEAST}) AND b IN (SELECT id FROM size WHERE n >= {_LEAST})),
+reach AS (SELECT id, id AS start FROM size WHERE n >= {_LEAST} UNION SELECT l.b, r.start FROM reach r JOIN link l ON l.a = r.id),
+cluster AS MATERIALIZED (SELECT id, min(start) AS cluster FROM reach GROUP BY 1)
+SELECT id AS vec_id, n AS n_near, n >= {_LEAST} AS core, coalesce(c.cluster, b.cluster) AS cluster FROM size
+  LEFT JOIN cluster c USING (id)
+  LEFT JOIN (SELECT a AS id, arg_min(cluster, b) AS cluster FROM near JOIN cluster ON b = id GROUP BY 1) b USING (id)"""
+
+
 @on_tables("SELECT vec_id FROM embeddings WHERE embedding[1] BETWEEN -0.1::FLOAT AND 0.1::FLOAT AND embedding[2] BETWEEN 0 AND 0.2::FLOAT")
 def a12_range_select(t):
     points = t.table("embeddings").select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
@@ -927,6 +1054,14 @@ def a15_search_samples(t):
     return A.search_samples(samples, "ThTh").select("page_id")
 
 
+@on_tables("SELECT doc_id, contains(lower(source), 'erent') AS in_source FROM documents WHERE contains(lower(text), 'erent') OR contains(lower(source), 'erent')")
+def a15_search_by_trigrams(t):
+    docs = t.table("documents").select("doc_id", "text", "source")
+    path = _written(docs, lambda rows, path: SR.write_trigrams(rows, path, "doc_id", ("text", "source")))
+    found = SR.search_trigrams(t.spark, docs, path, "Erent", "doc_id", ("text", "source"))
+    return found.select("doc_id", F.contains(F.lower("source"), F.lit("erent")).alias("in_source"))
+
+
 @on_tables("SELECT user_id AS sha256, max_by(event_type, event_id) AS name, max(event_id) AS added FROM events GROUP BY 1")
 def a16_upsert_samples(t):
     e = t.table("events").select(F.col("user_id").alias("sha256"), F.col("event_type").alias("name"), F.col("event_id").alias("added"))
@@ -938,6 +1073,18 @@ def a18_delete_reports(t):
     return A.delete_reports(t.table("documents").select(F.col("doc_id").alias("report_id")), t.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("report_id")))
 
 
+@on_tables("SELECT user_id AS sha256, max_by(event_type, event_id) AS name, max(event_id) AS added FROM events WHERE user_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY 1")
+def a16_a18_stored_samples(t):
+    """Samples in a stored table: some written, more upserted, then some deleted, all in place."""
+    e = t.table("events").select(F.col("user_id").alias("sha256"), F.col("event_type").alias("name"), F.col("event_id").alias("added"))
+    first, more = e.filter("name = 'click'"), e.filter("name <> 'click'")
+    path = shared_path(t.spark)
+    ST.write_stored(first.groupBy("sha256").agg(F.max_by("name", "added").alias("name"), F.max("added").alias("added")), path, "sha256")
+    ST.upsert_stored(t.spark, path, more, "sha256", "added")
+    ST.delete_stored(t.spark, path, t.table("labels").filter("quality = 0").select(F.col("doc_id").alias("sha256")), "sha256")
+    return ST.read_stored(t.spark, path, "sha256")
+
+
 @on_tables("SELECT apt_group, count(*) FILTER (upper(text) = 'T1053') AS \"T1053\", count(*) FILTER (upper(text) = 'T1055') AS \"T1055\" FROM e JOIN r USING (report_id) WHERE label = 'MITRE_TECH' GROUP BY 1".replace("upper(text)", "upper(e.text)"))
 def a19_technique_matrix(t):
     return A.technique_matrix(t.entities, t.reports, ["T1053", "T1055"])
@@ -985,6 +1132,17 @@ def k6_box_stats(t):
     return K.box_stats(t.stats)
 
 
+@on_tables("SELECT lang AS apt_group, min(n_chars)::DOUBLE AS least, max(n_chars)::DOUBLE AS most, true AS q1_near, true AS median_near, true AS q3_near FROM documents GROUP BY 1")
+def k6_box_stats_of_sketches(t):
+    """Quartiles from a sketch for each source and language, merged by language: within 1 % of ranks of the exact ones."""
+    d = t.table("documents").select(F.concat_ws("/", "lang", "source").alias("apt_group"), "lang", "n_chars")
+    parts = K.box_sketches(d, "n_chars").withColumn("apt_group", F.substring_index("apt_group", "/", 1))
+    box = K.box_stats_of(parts)
+    own = d.join(F.broadcast(box.withColumnRenamed("apt_group", "lang")), "lang")  # a row for each language
+    share = lambda c, rank: ((F.avg((F.col("n_chars") < F.col(c)).cast("double")) <= rank + 0.01) & (F.avg((F.col("n_chars") <= F.col(c)).cast("double")) >= rank - 0.01)).alias(f"{c}_near")
+    return own.groupBy(F.col("lang").alias("apt_group")).agg(F.min("least").alias("least"), F.max("most").alias("most"), share("q1", 0.25), share("median", 0.5), share("q3", 0.75))
+
+
 @on_tables("SELECT least(floor((n_chars - lo) * 20 / (hi - lo)) + 1, 20)::INTEGER AS bin, count(*) AS n FROM documents CROSS JOIN (SELECT min(n_chars) AS lo, max(n_chars)::DOUBLE AS hi FROM documents) GROUP BY 1")
 def k7_node_histogram(t):
     return K.node_histogram(t.table("documents"), "n_chars")

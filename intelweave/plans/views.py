@@ -47,8 +47,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dealt out by report: the patterns are the costly part, and all that follows has the report in its key."""
-    return segment_paragraphs(reports(spark, sf_dir)).repartition("report_id")
+    """Dealt out by paragraph: the patterns are the costly part, a long report must not hold up one task, and dictionaries are joined by this key."""
+    return segment_paragraphs(reports(spark, sf_dir)).repartition("report_id", "paragraph_index")
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Adaptive plans, UTC for dates, Arrow for Python stages. Sizes of partitions are left to the cluster.
+#: Adaptive plans, UTC for dates, Arrow for Python stages, state of streams on disk. Sizes of partitions are left to the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -54,3 +55,29 @@ def shared_path(spark: SparkSession) -> str:
         shared = tempfile.mkdtemp(prefix="intelweave-")
         spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/intelweave-{uuid.uuid4().hex}"
+
+
+#: A key is hot when it holds a thousandth of the rows or more: a table has a thousand of those at most, whatever its size.
+HOT_SHARE = 1000
+#: So many tasks share the rows of one hot key.
+SALTS = 64
+
+
+def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, spread: str, row_bytes: int = 200) -> DataFrame:
+    """rows with the columns of facts, which has one row for each key; null keys meet null keys, rows without facts go.
+
+    weight (a column of facts) is the number of rows of a key. Facts of few rows are broadcast. Else both sides are dealt
+    out by key, and the rows of hot keys by salt, too (by the column spread of rows): only the list of hot keys, a thousand
+    at most, is broadcast. facts must be a written table: it is counted first.
+    """
+    total = facts.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("rows")).head()
+    other = facts.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in facts.columns])
+    same = lambda more: [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys] + more
+    if total.n * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(other), same([])).drop(*[f"__{c}" for c in keys])
+    is_hot = F.col(weight) * HOT_SHARE >= F.lit(total.rows)
+    hot = other.filter(is_hot).select(*[f"__{c}" for c in keys], F.lit(True).alias("__hot"))
+    salted = rows.join(F.broadcast(hot), same([]), "left").drop(*[f"__{c}" for c in keys])
+    salted = salted.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0)).drop("__hot")
+    copies = other.withColumn("__salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_hot, SALTS - 1).otherwise(0).cast("long"))))
+    return salted.join(copies, same([F.col("__salt") == F.col("__salt2")])).drop("__salt", "__salt2", *[f"__{c}" for c in keys])

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metadata import split_tags, with_metadata
+from ..operators.dictionary import normalized_terms
 from ..schemas import ENTITIES, GROUPS, INDEX_CSV, PARAGRAPHS, RUN_RESULT
 
 TEXT_SUFFIXES = (".txt",)
@@ -30,12 +31,16 @@ def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = REPOR
     return files.filter(wanted).select(*cols)
 
 
-def _stem(path: Column) -> Column:
+def file_stem(path: Column) -> Column:
+    """Name of the file at the end of a path, without its suffix."""
     return F.regexp_replace(F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B"))), r"\.[^.]*$", "")
 
 
-def build_report_index(spark: SparkSession, pdf_roots: list[str], text_roots: list[str], only_txt: bool = False) -> DataFrame:
-    """reports of all files below the roots: a path counts once. Of two files with one stem the ids agree. Raises if there are none."""
+def build_report_index(spark: SparkSession, pdf_roots: list[str], text_roots: list[str], only_txt: bool = False, name: Column | None = None) -> DataFrame:
+    """reports of all files below the roots: a path counts once. Of two files with one stem the ids agree. Raises if there are none.
+
+    name tells a report's name from file_path; without it the file's stem is its name.
+    """
     roots = [] if only_txt else [scan_files(spark, r, (".pdf",)) for r in pdf_roots]
     roots += [scan_files(spark, r, TEXT_SUFFIXES) for r in text_roots]
     if not roots:
@@ -43,16 +48,16 @@ def build_report_index(spark: SparkSession, pdf_roots: list[str], text_roots: li
     files = roots[0]
     for more in roots[1:]:
         files = files.unionByName(more)
-    named = index_files(files.select(F.col("path").alias("file_path")))
+    named = index_files(files.select(F.col("path").alias("file_path")), name)
     if named.isEmpty():
         raise ValueError("no report files")
     return named
 
 
-def index_files(files: DataFrame) -> DataFrame:
+def index_files(files: DataFrame, name: Column | None = None) -> DataFrame:
     """reports of files (file_path): a path counts once; everything else is read from the name."""
     files = files.dropDuplicates(["file_path"])
-    named = with_metadata(files.withColumn("raw_name", _stem(F.col("file_path"))).withColumn("file_type", F.lower(F.regexp_extract("file_path", r"\.([^.]*)$", 1))))
+    named = with_metadata(files.withColumn("raw_name", file_stem(F.col("file_path")) if name is None else name).withColumn("file_type", F.lower(F.regexp_extract("file_path", r"\.([^.]*)$", 1))))
     return named.select("report_id", "apt_group", "source_vendor", "published_date", "file_path", "file_type", "raw_name", "extra_tags")
 
 
@@ -71,7 +76,7 @@ def load_reports(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".
     files = scan_files(spark, root, suffixes, content=True)
     raw = load_text(F.col("content"))
     named = files.select(F.col("path").alias("file_path"), F.when(F.endswith(F.lower("path"), F.lit(".json")), load_json_log(raw)).otherwise(raw).alias("text"))
-    named = named.withColumn("raw_name", _stem(F.col("file_path"))).withColumn("file_type", F.lower(F.regexp_extract("file_path", r"\.([^.]*)$", 1)))
+    named = named.withColumn("raw_name", file_stem(F.col("file_path"))).withColumn("file_type", F.lower(F.regexp_extract("file_path", r"\.([^.]*)$", 1)))
     return with_metadata(named)
 
 
@@ -117,20 +122,25 @@ def write_index(reports: DataFrame, path: str) -> None:
     reports.withColumn("extra_tags", F.array_join("extra_tags", "|")).write.mode("overwrite").option("header", True).csv(path)
 
 
-def load_vocabulary(spark: SparkSession, path: str, key: str) -> list[str]:
-    """Terms of a JSON file, either {key: [...]} or a bare list; none if it is missing or holds something else. A list of
-    terms is small: it ends up in one pattern."""
+def vocabulary_terms(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(term) of JSON files, each either {key: [...]} or a bare list, without blanks around terms; no rows if path is missing or holds something else."""
     try:
-        text = F.col("value")
-        rows = spark.read.text(path, wholetext=True).select(F.coalesce(F.from_json(F.get_json_object(text, f"$.{key}"), "array<string>"), F.from_json(text, "array<string>")).alias("terms")).collect()
+        files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     except AnalysisException:
-        return []
-    return [t.strip() for r in rows for t in r.terms or [] if t and t.strip()]
+        return spark.createDataFrame([], "term string")
+    text = F.col("value")
+    terms = F.coalesce(F.from_json(F.get_json_object(text, f"$.{key}"), "array<string>"), F.from_json(text, "array<string>"))
+    return normalized_terms(files.select(F.explode(terms).alias("term")))
+
+
+def load_vocabulary(spark: SparkSession, path: str, key: str) -> list[str]:
+    """vocabulary_terms as a list for Vocabulary, whose lists are small; extract_entities takes a large one as a DataFrame."""
+    return [r.term for r in vocabulary_terms(spark, path, key).collect()]
 
 
-def collect_run_results(spark: SparkSession, root: str) -> DataFrame:
-    """(model_dir, accuracy, f1_weighted, f1_macro) of all test_results.json below root; unreadable ones are left out."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "test_results.json")
+def collect_run_results(spark: SparkSession, root: str, glob: str = "test_results.json") -> DataFrame:
+    """(model_dir, accuracy, f1_weighted, f1_macro) of all test_results.json below root, one a folder; unreadable ones are left out."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     return run_results(reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
