@@ -26,9 +26,13 @@ UNKNOWN_GROUPS = ["未知", "APT", "GROUP"]
 NO_TAGS = ["REPORT", "FINAL", "SUMMARY"]
 
 
+# The characters that Unicode calls white space.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Without white space at both ends, in the Unicode sense."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends, in the Unicode sense; looks at the ends only."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def extract_group(name: Column) -> Column:

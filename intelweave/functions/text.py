@@ -15,17 +15,23 @@ PAGE_LINES = r"(?iU)^(page\s+\d+\s+of\s+\d+|\d+\s*/\s*\d+|table\s+of\s+contents)
 
 
 def _lines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
+def _squeezed(text: Column, sign: str, run: str, one: str) -> Column:
+    """text with runs (a pattern) as one; the pattern is only tried where a text holds sign, the shortest run."""
+    tried = lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, run, one)).otherwise(t)
+    return F.element_at(F.transform(F.array(text), tried), 1)
 
 
 def normalize_block(text: Column) -> Column:
-    out = F.regexp_replace(_lines(text), r"\n{3,}", "\n\n")
+    out = _squeezed(_lines(text), "\n\n\n", r"\n{3,}", "\n\n")
     return strip(F.regexp_replace(out, r"[ \t]{2,}", " "))
 
 
 def normalize_whitespace(text: Column) -> Column:
-    out = F.regexp_replace(F.replace(_lines(text), F.lit("\t"), F.lit(" ")), " {2,}", " ")
-    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    out = _squeezed(F.replace(_lines(text), F.lit("\t"), F.lit(" ")), "  ", " {2,}", " ")
+    return strip(_squeezed(out, "\n\n\n", r"\n{3,}", "\n\n"))
 
 
 def is_header_or_footer(block: Column) -> Column:

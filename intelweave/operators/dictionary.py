@@ -42,14 +42,21 @@ def normalized_terms(terms: DataFrame, column: str = "term") -> DataFrame:
 
 
 def term_index(terms: DataFrame) -> DataFrame:
-    """(key, n_words, label_rank, place, escaped) from terms (label_rank, place, term): blanks around terms go, and so do empty terms.
+    """(key, n_words, label_rank, place, escaped, head) from terms (label_rank, place, term): blanks around terms go, and so do empty terms.
 
     Of terms that match at one place the first by (place, escaped) counts. A term without a word has key 0.
     """
     clean = terms.select("label_rank", "place", strip(F.col("term")).alias("term")).filter("term <> ''").distinct()
     keyed = clean.withColumn("w", F.slice(words(folded(F.col("term"))), 1, KEY_WORDS))
     key = F.when(F.size("w") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(*[F.get("w", F.lit(k)) for k in range(KEY_WORDS)]))
-    return keyed.select(key.alias("key"), F.size("w").alias("n_words"), "label_rank", "place", escaped(F.col("term")).alias("escaped"))
+    return keyed.select(key.alias("key"), F.size("w").alias("n_words"), "label_rank", "place", escaped(F.col("term")).alias("escaped"), escaped(F.left(folded(F.col("term")), F.lit(1))).alias("head"))
+
+
+def alternation(terms: Column) -> Column:
+    """Alternatives of terms (place, escaped, head), in order. Those of one first letter stand together behind a look at that letter: others can't match at the same place."""
+    of_head = lambda h: F.array_join(F.transform(F.filter(terms, lambda t: t["head"] == h), lambda t: t["escaped"]), "|")
+    heads = F.array_distinct(F.transform(terms, lambda t: t["head"]))
+    return F.array_join(F.transform(heads, lambda h: F.concat(F.lit("(?="), h, F.lit(")(?:"), of_head(h), F.lit(")"))), "|")
 
 
 def paragraph_keys(folded_text: Column, lengths: list[int]) -> Column:
@@ -67,5 +74,6 @@ def candidate_patterns(paragraphs: DataFrame, index: DataFrame, ranks: list[int]
     lengths = sorted(r.n_words for r in index.filter("n_words > 0").select("n_words").distinct().collect())  # four numbers at most
     each = paragraphs.select(*keys, F.explode(paragraph_keys(F.col(folded_col), lengths)).alias("key"))
     found = each.join(broadcast_if_small(index.drop("n_words")), "key")
-    alternatives = lambda r: F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("label_rank") == r, F.struct("place", "escaped")))), lambda t: t["escaped"]), "|")
-    return found.groupBy(*keys).agg(*[F.nullif(alternatives(r), F.lit("")).alias(f"t{r}") for r in ranks])
+    of_rank = lambda r: F.array_sort(F.collect_set(F.when(F.col("label_rank") == r, F.struct("place", "escaped", "head")))).alias(f"s{r}")
+    named = found.groupBy(*keys).agg(*[of_rank(r) for r in ranks])
+    return named.select(*keys, *[F.nullif(alternation(F.col(f"s{r}")), F.lit("")).alias(f"t{r}") for r in ranks])

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.patterns import BLACKLIST, DICTIONARIES, GUARDS, PATTERNS, WORD_LISTS, Vocabulary
 from .dictionary import candidate_patterns, folded, term_index
 
+#: Matches of a text whose places are added up at once.
+_CHUNK = 256
 #: Marks put around a match and its group. Taken out of the text first.
 _OPEN, _GROUP, _CLOSE = "\u0001", "\u0002", "\u0003"
 
@@ -19,15 +21,19 @@ def _literal(text: str) -> str:
 def _spans_sql(text: str, pattern: str, grouped: bool, fields: str, keep: str) -> str:
     """Array of structs (fields, then text, start, end) of all matches of pattern (SQL) in the column text that keep holds for.
 
-    The text is marked and cut at the marks once (m); the places of the parts are a running sum of their lengths. A group
-    ends its match.
+    The text is marked and cut at the marks once (m); the places of the parts are a running sum of their lengths, chunk by
+    chunk. A group ends its match.
     """
     marks = _literal(f"{_OPEN}$0{_GROUP}{'$1' if grouped else ''}{_CLOSE}")
     match = f"substring_index(p, '{_GROUP}', 1)"
     named = f"substring_index(substring_index(p, '{_CLOSE}', 1), '{_GROUP}', -1)" if grouped else match
     after = f"length({match}) + length(substring_index(p, '{_CLOSE}', -1))"
     parts = "slice(m, 2, greatest(size(m) - 1, 0))"
-    places = f"aggregate({parts}, named_struct('at', length(m[0]), 'every', cast(array() AS array<int>)), (acc, p) -> named_struct('at', acc.at + {after}, 'every', concat(acc.every, array(acc.at))), acc -> acc.every)"
+    # Sums of chunks first: an array that grows by one is copied each time, here once for each of a chunk.
+    sums = lambda lengths, first: f"aggregate({lengths}, named_struct('at', {first}, 'every', cast(array() AS array<int>)), (acc, n) -> named_struct('at', acc.at + n, 'every', concat(acc.every, array(acc.at))), acc -> acc.every)"
+    chunks = f"transform(sequence(0, greatest(size(m) - 2, 0) div {_CHUNK}), c -> transform(slice(m, cast(c AS int) * {_CHUNK} + 2, {_CHUNK}), p -> {after}))"
+    total = "transform(ch, x -> aggregate(x, 0, (acc, n) -> acc + n))"
+    places = f"element_at(transform(array({chunks}), ch -> flatten(zip_with(ch, {sums(total, 'length(m[0])')}, (x, base) -> {sums('x', 'base')}))), 1)"
     span = f"named_struct({fields}'text', {named}, 'start', at + length({match}) - length({named}), 'end', at + length({match}))"
     return f"element_at(transform(array(split(regexp_replace({text}, {pattern}, {marks}), '{_OPEN}', -1)), m -> filter(zip_with({parts}, {places}, (p, at) -> {span}), s -> {keep})), 1)"
 
@@ -85,20 +91,18 @@ def extract_entities(paragraphs: DataFrame, vocabulary: Vocabulary | None = None
             continue
         labels.append(label)
         spans.append(f"CASE WHEN {guard} THEN {_spans_sql('__text', pattern, grouped, f"'label_rank', {rank}, 'label', {_literal(label)}, ", stays)} ELSE {none} END")
-    every = F.expr(f"concat({', '.join(spans)})")
-    if len(set(labels)) < len(labels):
-        every = _deduplicated(every)
-    out = both.select(*ids, F.posexplode(every).alias("ordinal", "e"))
+    found = both.select(*ids, F.expr(f"concat({', '.join(spans)})").alias("__every"))
+    shared = sorted({x for x in labels if labels.count(x) > 1})
+    every = F.col("__every")
+    if shared:
+        named = lambda e: F.struct(e["start"], e["end"], e["label"])
+        by_pattern = lambda e: (e["label_rank"] < len(PATTERNS)) & e["label"].isin(shared)
+        found = found.withColumn("__first", F.transform(F.filter("__every", by_pattern), named))
+        every = F.filter(every, lambda e: (e["label_rank"] < len(PATTERNS)) | ~e["label"].isin(shared) | ~F.array_contains("__first", named(e)))
+    out = found.select(*ids, F.posexplode(every).alias("ordinal", "e"))
     return out.select(*ids, F.col("e.label").alias("label"), F.col("e.text").alias("text"), F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.col("e.label_rank").alias("label_rank"), (F.col("ordinal") + 1).alias("ordinal"))
 
 
-def _deduplicated(found: Column) -> Column:
-    """The first of entities that agree in place, label and lower-case text."""
-    key = lambda e: F.struct(e["start"], e["end"], e["label"], F.lower(e["text"]))
-    keys = F.transform(found, key)
-    return F.filter(found, lambda e, k: F.array_position(keys, key(e)) == k + 1)
-
-
 def deduplicate_mentions(entities: DataFrame) -> DataFrame:
     """The first row, by ordinal, of mentions of a paragraph that agree in place, label and lower-case text."""
     cols = [c for c in entities.columns if c not in ("report_id", "paragraph_index", "start", "end", "label")]

@@ -418,10 +418,10 @@ def d35_deduplicate_mentions(t):
 
 @on_tables(rf"""SELECT report_id, paragraph_index, count(*) AS n, count(DISTINCT lower(w)) AS n_terms FROM (
   SELECT report_id, paragraph_index, unnest(regexp_extract_all(m, '\w+')) AS w FROM (SELECT *, regexp_replace(text, '[^\x00-\x7F]', 'q', 'g') AS m FROM p))
-WHERE lower(w) IN (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}'))) FROM documents WHERE lang = 'en') AND lower(w) NOT IN ({listed(BLACKLIST)}) AND length(w) <= 100 GROUP BY 1, 2""")
+WHERE lower(w) IN (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{{10,}}'))) FROM documents WHERE lang = 'en') AND lower(w) NOT IN ({listed(BLACKLIST)}) AND length(w) <= 100 GROUP BY 1, 2""")
 def d36_large_vocabulary(t):
-    """All words of six letters and more of the English documents as a dictionary that never passes the driver."""
-    terms = t.table("documents").filter("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"))).alias("term")).select(F.lower("term").alias("term")).distinct()
+    """All words of ten letters and more of the English documents as a dictionary that never passes the driver."""
+    terms = t.table("documents").filter("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{10,})"))).alias("term")).select(F.lower("term").alias("term")).distinct()
     ascii_only = t.paragraphs.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "q"))
     found = D.extract_entities(ascii_only, _only(), terms.select(F.lit("MALWARE").alias("label"), "term")).filter("label = 'MALWARE'")
     return found.groupBy("report_id", "paragraph_index").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.lower("text")).alias("n_terms"))

@@ -47,8 +47,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dealt out by paragraph: the patterns are the costly part, a long report must not hold up one task, and dictionaries are joined by this key."""
-    return segment_paragraphs(reports(spark, sf_dir)).repartition("report_id", "paragraph_index")
+    """Reports are dealt out before anything is done with their texts: a file of few row groups would hold up few tasks."""
+    return segment_paragraphs(with_metadata(raw_reports(spark, sf_dir).repartition("raw_name")))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
