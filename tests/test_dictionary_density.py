@@ -170,4 +170,4 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
 def test_places_of_many_matches(spark):
     text = "".join(f"10.0.{k % 256}.{k % 7} x" + " " * (k % 3) for k in range(1500))
     got = [(s.text, s.start) for r in _paragraphs(spark, [text]).select(D.extract_spans("text", r"\b10\.0\.\d+\.\d+\b", False).alias("s")).collect() for s in r.s]
-    assert got == [(m.group(), m.start()) for m in re.finditer(r"\b10\.0\.\d+\.\d+\b", text)] and len(got) > 1000
+    assert got == [(m.group(), m.start()) for m in re.finditer(r"\b10\.0\.\d+\.\d+\b", text)] and len(got) == 1000
