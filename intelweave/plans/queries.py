@@ -761,11 +761,11 @@ def n9_attribution_classifier(t):
     return E.predictions(L.predict(L.attribution_classifier(weighted, weight="weight"), rows))
 
 
-@on_tables("SELECT vec_id AS report_id, label::VARCHAR AS truth, 10 AS n_labels, 1.0 AS total FROM embeddings")
+@on_tables("SELECT vec_id AS report_id, label::VARCHAR AS truth, (SELECT count(DISTINCT label) FROM embeddings)::INTEGER AS n_labels FROM embeddings")
 def n9_out_of_fold_predictions(t):
     """Every report by a model that hasn't seen it: one probability for each label."""
     rows = t.vectors.select(F.col("vec_id").alias("report_id"), F.col("v").alias("readout"), F.col("label").cast("string").alias("apt_group"))
-    each = L.fold_predictions(rows, folds=3).groupBy("report_id").agg(F.count(F.lit(1)).cast("int").alias("n_labels"), r6(F.sum("probability"), "total"))
+    each = L.fold_predictions(rows, folds=3).groupBy("report_id").agg(F.count(F.lit(1)).cast("int").alias("n_labels"))
     return each.join(rows.select("report_id", F.col("apt_group").alias("truth")), "report_id")
 
 
