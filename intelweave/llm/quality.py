@@ -14,19 +14,10 @@ from .common import alone, blocks, tokenizer_path
 VOCABULARY = "piece_bpe_32k.model"
 SPACES = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
-#: Bands by language, then by script for any other language. lo, hi and slack: characters per token lie from
-#: lo - slack / sqrt(n) to hi + slack / sqrt(n), n being the tokens, so that a short text has a wide band. bytes: the
-#: largest share of byte-fallback tokens. full, per_doubling: the entropy of the tokens, as a share of the most that n
-#: tokens can have, is at least full - per_doubling * log2(n). Those of the four languages are fitted to the first
-#: FITTED labelled documents of the table of a tenth so that about one good text in 200 falls out; those of scripts are
-#: the loosest of their languages, or wide where no labelled text is at hand.
-FITTED = 4_000
-BANDS: dict[str, dict[str, float]] = {
-    "en": {"lo": 2.16, "hi": 2.35, "slack": 3.0, "bytes": 0.05, "full": 1.13, "per_doubling": 0.05},
-    "de": {"lo": 2.22, "hi": 2.36, "slack": 5.25, "bytes": 0.05, "full": 1.06, "per_doubling": 0.045},
-    "fr": {"lo": 1.96, "hi": 2.10, "slack": 4.25, "bytes": 0.05, "full": 1.07, "per_doubling": 0.045},
-    "es": {"lo": 1.93, "hi": 2.10, "slack": 3.5, "bytes": 0.05, "full": 1.12, "per_doubling": 0.05},
-}
+#: A band has lo, hi and slack: characters per token lie from lo - slack / sqrt(n) to hi + slack / sqrt(n), n being the
+#: tokens, so that a short text has a wide band. bytes: the largest share of byte-fallback tokens. full, per_doubling: the
+#: entropy of the tokens, as a share of the most that n tokens can have, is at least full - per_doubling * log2(n).
+#: These bands by script are wide, so that plain prose of any language stays; fit_bands makes narrow ones by language.
 SCRIPT_BANDS: dict[str, dict[str, float]] = {
     "latin": {"lo": 1.5, "hi": 6.0, "slack": 5.25, "bytes": 0.1, "full": 1.05, "per_doubling": 0.05},
     "greek, cyrillic": {"lo": 0.7, "hi": 5.0, "slack": 5.25, "bytes": 0.3, "full": 1.0, "per_doubling": 0.05},
@@ -36,6 +27,10 @@ SCRIPT_BANDS: dict[str, dict[str, float]] = {
     "other": {"lo": 0.2, "hi": 8.0, "slack": 5.25, "bytes": 1.0, "full": 0.9, "per_doubling": 0.05},
 }
 _SCRIPTS = list(SCRIPT_BANDS)
+#: fit_bands looks at so many labelled documents at most, and gives a band to languages with LEAST_GOOD good ones.
+FIT_ROWS, LEAST_GOOD = 4_000, 50
+#: Of the good documents that a band is fitted to, so many may fall out on each of its sides.
+LOST = 1 / 800
 #: The script of a letter by its first byte in UTF-8; -1 where that doesn't tell one.
 SCRIPT_OF = np.full(256, -1, np.int64)
 for _first, _last, _script in ((0x41, 0x5A, 0), (0x61, 0x7A, 0), (0xC3, 0xC9, 0), (0xCD, 0xD4, 1), (0xD6, 0xDF, 2), (0xE0, 0xE1, 3), (0xE3, 0xED, 4), (0xF0, 0xF4, 5)):
@@ -153,14 +148,67 @@ def _outside(band: dict[str, float]) -> dict[str, Column]:
     }
 
 
+def _tightest(good: np.ndarray, bad: np.ndarray, bends: np.ndarray, sides: str, bend: np.ndarray, bend_bad: np.ndarray) -> tuple[float, float, float]:
+    """(bend, lo, hi): of all bends the one whose limits reject most bad values.
+
+    good + k * bend may fall below lo, good - k * bend above hi, for LOST of the good values; the limits are wider the
+    fewer good values there are. sides names the limits in use.
+    """
+    best = (-1, 0.0, 0.0, 0.0)
+    spare = 2 / np.sqrt(len(good))
+    for k in bends:
+        lo, hi = np.quantile(good + k * bend, LOST), np.quantile(good - k * bend, 1 - LOST)
+        lo, hi = lo - spare * max(0.0, np.median(good + k * bend) - lo), hi + spare * max(0.0, hi - np.median(good - k * bend))
+        out = np.zeros(len(bad), bool)
+        if "lo" in sides:
+            out |= bad + k * bend_bad < lo
+        if "hi" in sides:
+            out |= bad - k * bend_bad > hi
+        best = max(best, (int(out.sum()), float(k), float(lo), float(hi)), key=lambda x: x[0])
+    return best[1:]
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", vocabulary: str = VOCABULARY) -> dict[str, dict[str, float]]:
+    """A band for each language that has enough good documents among at most rows labelled ones, for verdict and good_rows.
+
+    labels has 1 (good) or 0 (bad) by id. The sample is the labelled ids of least hash; its size is bounded by rows, at
+    every size of the tables, and only its figures (six numbers a document) come to the driver. Texts that the base rules
+    reject teach nothing. Null ids, labels and languages are left out; an id labelled both ways is bad; of rows with one id
+    one counts. Empty tables, and languages with under LEAST_GOOD good documents, give no band, so that the wide bands by
+    script hold. Costs one more scan of ids and texts; texts outside the sample go before Python sees them.
+    """
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__label")).filter("__id is not null and __label is not null")
+    chosen = known.groupBy("__id").agg((F.min("__label") > 0).alias("__good")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    good_of = {r[0]: r[1] for r in chosen.collect()}
+    if not good_of:
+        return {}
+    ids = docs.sparkSession.createDataFrame([(i,) for i in good_of], chosen.select("__id").schema)
+    sample = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__t"), F.col(lang_col).alias("__l")).join(F.broadcast(ids), F.col("__key") == F.col("__id"), "left_semi")
+    measured = verdict(measure(sample, "__key", "__t", "__l", vocabulary), "__l").filter("not base_failed and __l is not null")
+    figures = measured.groupBy("__key").agg(F.min(F.struct("__l", "n_tokens", "chars_per_token", "byte_share", "entropy_share")).alias("f")).select("__key", "f.*").collect()
+    out = {}
+    for lang in sorted({r[1] for r in figures}):
+        mine = sorted(r for r in figures if r[1] == lang)
+        good = np.array([good_of[r[0]] for r in mine])
+        if good.sum() < LEAST_GOOD:
+            continue
+        n, chars, byte, entropy = (np.array([r[k] for r in mine], float) for k in (2, 3, 4, 5))
+        root, long = 1 / np.sqrt(np.maximum(n, 1)), np.log2(np.maximum(n, 1))
+        slack, lo, hi = _tightest(chars[good], chars[~good], np.arange(1, 8.25, 0.25), "lo hi", root[good], root[~good])
+        per, full, _ = _tightest(entropy[good], entropy[~good], np.arange(0, 0.0825, 0.0025), "lo", long[good], long[~good])
+        out[lang] = {"lo": lo, "hi": hi, "slack": slack, "bytes": float(byte[good].max()) + 0.05, "full": full, "per_doubling": per}
+    return out
+
+
 def verdict(measured: DataFrame, lang_col: str = "lang", bands: dict[str, dict[str, float]] | None = None, script_bands: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Adds base_failed, rejected_by and kept. base_failed: under 10 words, or over a fifth of the words in repeated windows.
 
+    bands holds bands by language, as fit_bands gives them; without, all rows are judged by the wide bands of their script.
     rejected_by is the first rule broken of the band of the row's language, or of its script where the language is null
     or has no band: few_chars, many_chars, bytes, entropy; null if none is. kept: not base_failed, and no rule broken.
     """
     judged = F.lit(None).cast("string")
-    for column, known in (("script", SCRIPT_BANDS if script_bands is None else script_bands), (lang_col, BANDS if bands is None else bands)):
+    for column, known in (("script", SCRIPT_BANDS if script_bands is None else script_bands), (lang_col, bands or {})):
         for name, band in known.items():
             broken = F.lit(None).cast("string")
             for rule, hit in reversed(_outside(band).items()):
@@ -171,8 +219,11 @@ def verdict(measured: DataFrame, lang_col: str = "lang", bands: dict[str, dict[s
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
 
 
-def good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the verdict keeps, all columns as they are. The rows are judged where they lie; no join."""
+def good_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bands: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """The rows of docs that the verdict keeps, all columns as they are. The rows are judged where they lie; no join.
+
+    Nulls, repeated rows and very long texts as in measure; an empty table gives none; other columns may have any name.
+    """
     names = [f"__{c.split()[0]}" for c in MEASURES.split(", ")]
     places = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
 
@@ -185,5 +236,5 @@ def good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
     measures = ", ".join(f"__{c}" for c in MEASURES.split(", "))
     measured = plain.mapInArrow(run, f"{kinds}, {measures}")
-    judged = verdict(measured.withColumnsRenamed({n: n[2:] for n in names}), places[lang_col])
+    judged = verdict(measured.withColumnsRenamed({n: n[2:] for n in names}), places[lang_col], bands)
     return judged.filter("kept").select(*places.values()).toDF(*docs.columns)

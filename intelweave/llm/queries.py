@@ -31,7 +31,9 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = quality.verdict(quality.measure(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    bands = quality.fit_bands(docs, table(spark, sf_dir, "labels"))
+    measured = quality.verdict(quality.measure(docs), bands=bands)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return measured.select(*base, "n_tokens", "chars_per_token", "byte_share", "entropy_share", "script", "rejected_by")
 

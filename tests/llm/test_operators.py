@@ -93,6 +93,55 @@ def test_quality_base(spark, texts):
     assert kept.columns == _docs(spark, texts).columns and kept.count() == sum(r.kept for r in got.values())
 
 
+BANDS = {
+    "en": {"lo": 2.16, "hi": 2.35, "slack": 3.0, "bytes": 0.05, "full": 1.13, "per_doubling": 0.05},
+    "de": {"lo": 2.22, "hi": 2.36, "slack": 5.25, "bytes": 0.05, "full": 1.06, "per_doubling": 0.045},
+    "fr": {"lo": 1.96, "hi": 2.10, "slack": 4.25, "bytes": 0.05, "full": 1.07, "per_doubling": 0.045},
+    "es": {"lo": 1.93, "hi": 2.10, "slack": 3.5, "bytes": 0.05, "full": 1.12, "per_doubling": 0.05},
+}
+PROSE = [
+    ("en", "The committee met on Thursday afternoon to discuss the repairs to the old bridge, which has been closed since the floods of last spring. Several residents complained that the detour adds twenty minutes to their journey to work, and a farmer explained that he can no longer move his cattle to the lower meadows. The engineer said that the foundations are sound but that two of the arches need to be rebuilt."),
+    ("en", "If you leave the dough in a warm place for about two hours, it should double in size. Press it down gently, shape it into a loaf and let it rest again while the oven heats up. A bowl of water on the lowest shelf gives the crust a better colour. Bake it for forty minutes, then knock on the bottom: when it sounds hollow, the bread is done."),
+    ("de", "Am frühen Morgen lag noch Nebel über dem See, und die ersten Fischer kehrten bereits mit ihren Booten zurück. Auf dem Marktplatz wurden die Stände aufgebaut, während der Bäcker die Türen öffnete und der Duft von frischem Brot durch die Gassen zog. Niemand ahnte, dass wenige Stunden später ein Gewitter die Straßen unter Wasser setzen und die Feuerwehr bis in die Nacht beschäftigen würde."),
+    ("fr", "Depuis plusieurs années, les habitants du quartier demandent la création d'un jardin public à la place de l'ancienne usine. La mairie a enfin présenté un projet qui prévoit des arbres, une aire de jeux et un petit marché couvert. Les travaux devraient commencer au printemps prochain, mais certains voisins craignent le bruit et la poussière pendant toute la durée du chantier."),
+    ("es", "Cuando llegamos al pueblo ya era de noche y apenas quedaba gente en la plaza. El dueño de la posada nos recibió con una sopa caliente y nos contó que el camino de la montaña estaba cortado por la nieve desde hacía una semana. Decidimos quedarnos dos días más, aprovechando para visitar la iglesia antigua y conversar con los pastores de la zona."),
+]
+
+
+def test_quality_keeps_plain_prose(spark):
+    df = spark.createDataFrame([(k, t, x) for k, (lang, t) in enumerate(PROSE) for x in (lang, None)], "doc_id long, text string, lang string")
+    assert [r.rejected_by for r in quality.verdict(quality.measure(df)).collect()] == [None] * 10
+    assert quality.good_rows(df).count() == 10
+
+
+def test_quality_bands_on_held_out_labels(spark):
+    """Bands fitted to half of the labelled documents, judged by the other half."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    fitted, other = labels.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 1")
+    bands = quality.fit_bands(docs, fitted)
+    assert set(bands) == {"en", "de", "fr", "es"}
+    judged = quality.verdict(quality.measure(docs.join(other, "doc_id", "left_semi")), bands=bands).join(other, "doc_id").filter("not base_failed")
+    kept = {r.quality: (r.kept, r.n) for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()}
+    assert kept[1][1] > 1000 and kept[1][0] > 0.98 and kept[0][1] > 100 and kept[0][0] < 0.15, kept
+
+
+def test_quality_bands_edges(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    bands = quality.fit_bands(docs, labels)
+    assert bands
+    odd = spark.createDataFrame([(None, "x", "en"), (3, None, None), (None, None, None)], "doc_id long, text string, lang string")
+    more = spark.createDataFrame([(None, 1), (10**9, 0), (10**9 + 1, None)], "doc_id long, quality long")
+    twice = docs.union(docs.filter("doc_id != 3")).union(odd).withColumns({"__id": F.lit("x"), "quality": F.lit(7), "n_tokens": F.lit(None)})
+    assert quality.fit_bands(twice, labels.union(labels).union(more)) == quality.fit_bands(docs.union(odd), labels) == quality.fit_bands(docs.repartition(13), labels.repartition(5))
+    assert quality.fit_bands(docs, labels.limit(0)) == quality.fit_bands(docs.limit(0), labels) == quality.fit_bands(docs, labels, rows=quality.LEAST_GOOD - 1) == {}
+    bad = quality.fit_bands(docs, labels.withColumn("quality", F.lit(0)).union(labels))  # labelled both ways: bad
+    assert bad == {}
+    renamed = docs.toDF("key", "body", "tongue")
+    assert quality.fit_bands(renamed, labels.toDF("key", "mark"), id_col="key", text_col="body", lang_col="tongue", label_col="mark") == bands
+
+
 def test_quality_verdict(spark, texts):
     """Measures and bands, word by word, for languages with a band, null and unknown ones, and other scripts."""
     import math
@@ -104,7 +153,7 @@ def test_quality_verdict(spark, texts):
     rows = [(k, t, ("en", "de", "fr", "es", None, "xx")[k % 6]) for k, t in enumerate([*texts, *more])]
     rows += [(None, t, lang) for t in more for lang in ("en", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = quality.verdict(quality.measure(df)).collect()
+    got = quality.verdict(quality.measure(df), bands=BANDS).collect()
     assert len(got) == len(rows)
     by = defaultdict(list)
     for r in got:
@@ -121,7 +170,7 @@ def test_quality_verdict(spark, texts):
         chars = sum(map(len, words)) / n if n else 0.0
         kinds = [sum(x) for x in zip(*([c.isascii() and c.isalpha() or "\u00c0" <= c <= "\u027f", "\u0370" <= c <= "\u052f", False, False, "\u3000" <= c <= "\ud7ff", c > "\uffff"] for c in t or ""), strict=True)] or [0] * 6
         script = quality._SCRIPTS[kinds.index(max(kinds)) if max(kinds) else 5]
-        band = quality.BANDS.get(lang) or quality.SCRIPT_BANDS[script]
+        band = BANDS.get(lang) or quality.SCRIPT_BANDS[script]
         slack = band["slack"] / math.sqrt(max(n, 1))
         checks = {"few_chars": chars < band["lo"] - slack, "many_chars": chars > band["hi"] + slack, "bytes": share > band["bytes"], "entropy": entropy < band["full"] - band["per_doubling"] * math.log2(max(n, 1))}
         rule = next((x for x, hit in checks.items() if hit), None)

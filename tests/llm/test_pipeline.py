@@ -30,6 +30,7 @@ def test_stages_and_run(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([*enumerate(items), (99, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, 1) for k in range(len(flat))], "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     stages, seen = dict(corpus_pipeline.STAGES), {}
     for name, stage in corpus_pipeline.STAGES:
@@ -41,7 +42,7 @@ def test_stages_and_run(spark, tmp_path):
     for name in list(seen)[:-1]:
         assert seen[name][1].columns == seen[name][0].columns
     before, after = seen["quality rules"]
-    kept = {r.doc_id for r in quality.verdict(quality.measure(before)).filter("kept").collect()}
+    kept = {r.doc_id for r in quality.verdict(quality.measure(before), bands=quality.fit_bands(before, spark.read.parquet(f"{tmp_path}/labels.parquet"))).filter("kept").collect()}
     assert {i for i, _ in ids(after)} == kept and kept.isdisjoint({len(flat) + 8, len(flat) + 9, len(flat) + 10})
     before, after = seen["line dedup"]
     assert all(r.n_chars == len(r.text or "") for r in after.collect())
