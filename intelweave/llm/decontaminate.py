@@ -16,6 +16,8 @@ from .common import small
 WINDOW = 13
 #: Block hashes up to this number are held by every task as a set; beyond it they are joined.
 SET_SIZE = 100_000
+#: Characters that are no part of a word, before letters are lower-cased.
+_NO_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -114,8 +116,20 @@ def remove_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the normalised text without the hit words."""
-    found = find_hits(docs, items, id_col, text_col).select(F.col(id_col).alias("__id"), "text_key", hit_words(F.col("spans")).alias("__hit")).dropDuplicates(["__id", "text_key"])
-    norm = docs.select(F.col(id_col), normalised(F.col(text_col)).alias("norm")).distinct()
-    both = norm.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64("norm") == F.col("text_key")))
-    return both.select(id_col, F.array_join(F.filter(words_of(F.col("norm")), lambda w, i: ~F.array_contains("__hit", i)), " ").alias("text"))
+    """docs with the hit words, and what stands between two of them, cut out of their texts; a row for a row.
+
+    The rest of a text stays as it is, letter case and punctuation included. All columns are kept. A text without hits, and
+    a null one, is as it was; rows that agree in id and text are cut alike; an empty table gives no rows.
+    """
+    hits = F.array_sort(hit_words(F.col("spans")))
+    found = find_hits(docs, items, id_col, text_col).filter(F.size("spans") > 0).select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"), hits.alias("__hit")).dropDuplicates(["__id", "__key"])
+    both = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(normalised(F.col(text_col))) == F.col("__key")), "left")
+    cut = F.regexp_extract_all(F.col(text_col), F.lit(rf"[{_NO_WORD}]*+[^{_NO_WORD}]++|[{_NO_WORD}]++$"), F.lit(0))
+    both = both.withColumn("__parts", F.when(F.col("__hit").isNotNull(), cut))  # a column: lambdas would cut again for each hit
+    parts = F.col("__parts")
+    # runs of kept words between the hits, so that a long text isn't looked through once a word
+    edges = F.concat(F.array(F.lit(-1)), F.col("__hit"), F.array(F.size(parts)))
+    before = lambda i: F.when((i < F.size("__hit")) & ((i == 0) | (F.get(edges, i) + 1 < F.get(edges, i + 1))), F.regexp_extract(F.get(parts, F.get(edges, i + 1)), rf"^[{_NO_WORD}]*+", 0)).otherwise("")
+    kept = lambda i: F.array_join(F.slice(parts, F.get(edges, i) + 2, F.get(edges, i + 1) - F.get(edges, i) - 1), "")
+    stays = F.transform(F.sequence(F.lit(0), F.size("__hit")), lambda i: F.concat(kept(i), before(i)))
+    return both.withColumn(text_col, F.when(F.col("__hit").isNotNull(), F.array_join(stays, "")).otherwise(F.col(text_col))).select(*docs.columns)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import BLOCK_CHARS, blocks
 from .html_text import lines_of
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
+_BETWEEN = f"{END}{VERSION}\r\n".encode()
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 
 
 def _urn(*of: Column) -> Column:
@@ -88,15 +92,86 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select("record").write.option("lineSep", END).text(path)
 
 
+class _Reader:
+    """Joins the pieces of a file to records by their declared lengths; holds the pieces of one record."""
+
+    def __init__(self):
+        self.pieces: list[bytes] = []
+        self.length, self.have = -1, 0
+        self.done: list[tuple[bytes, bytes, bool]] = []
+
+    def feed(self, *more: bytes) -> None:
+        todo = deque(more)
+        while todo:
+            piece = todo.popleft()
+            if not self.pieces and not piece.strip():
+                continue
+            self.pieces.append(piece)
+            if len(self.pieces) == 1:
+                head, _, block = piece.partition(END.encode())
+                declared = _LENGTH.search(head)
+                self.length, self.have = int(declared[1]) if declared else -1, len(block)
+            else:
+                self.have += len(_BETWEEN) + len(piece)
+            if self.have >= self.length:
+                todo.extendleft(reversed(self._close()))
+
+    def _close(self) -> list[bytes]:
+        """Ends the record at the front; the pieces that turn out not to be part of it."""
+        head, _, block = self.pieces[0].partition(END.encode())
+        block = _BETWEEN.join([block, *self.pieces[1:]])
+        rest = self.pieces[1:]
+        self.pieces = []
+        over = self.have - self.length
+        # the last record of a file keeps the line ends that close it
+        if self.length >= 0 and (over == 0 or over == len(END) and block.endswith(END.encode())):
+            self.done.append((head, block[: self.length], True))
+            return []
+        self.done.append((head, block[: len(block) - sum(len(_BETWEEN) + len(p) for p in rest)].removesuffix(END.encode()), False))
+        return rest
+
+    def end(self) -> None:
+        """The file is over: a record that isn't complete is as it was read, and what follows it is looked at anew."""
+        while self.pieces:
+            self.feed(*self._close())
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, piece), in order, to (head, block, intact)."""
+    reader, file = _Reader(), None
+
+    def flush() -> pa.RecordBatch:
+        head, block, intact = zip(*reader.done, strict=True) if reader.done else ((), (), ())
+        reader.done = []
+        text = lambda values: pa.array([x.decode(errors="replace") for x in values], pa.string())
+        return pa.RecordBatch.from_arrays([text(head), text(block), pa.array(intact, pa.bool_())], ["head", "block", "intact"])
+
+    for b in batches:
+        for name, piece in zip(b.column(0), b.column(1), strict=True):
+            name, piece = name.as_py(), piece.as_py()
+            if name != file:
+                reader.end()
+                file, piece = name, piece.removeprefix(f"{VERSION}\r\n".encode())
+            reader.feed(piece)
+            if sum(len(x[1]) for x in reader.done) >= BLOCK_CHARS or len(reader.done) >= 512:
+                yield flush()
+    reader.end()
+    yield flush()
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed WARC files: headers (map by lower-case name), block, intact (the length is as declared).
+    """Records of WARC files, plain or gzip: headers (map by lower-case name), block, intact (the length is as declared).
 
-    Files are split between tasks at the mark between records; a block that holds that mark itself shows as not intact.
+    Spark cuts files at each line end pair before a version line; the pieces of a file then come to one task in order
+    and are joined until a block has its Content-Length, so a block may hold that mark itself. A task holds one record.
+    A record whose length is missing, wrong or not there in full isn't intact and ends at the next mark; those after it
+    are read as if it were right. Bytes that aren't UTF-8 are replaced in block, but count for intact. Of headers
+    named twice the last one holds. Empty files give no rows.
     """
-    raw = spark.read.option("lineSep", f"{END}{VERSION}\r\n").text(path)
-    text = F.regexp_replace(F.regexp_replace("value", rf"^{VERSION}\r\n", ""), r"\r\n\r\n$", "")
-    cut = F.instr("t", END)
-    parted = raw.filter(F.length("value") > 0).select(text.alias("t")).select(F.substring("t", F.lit(1), cut - 1).alias("head"), F.substring("t", cut + len(END), F.length("t")).alias("block"))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")]
+    raw = spark.read.option("lineSep", _BETWEEN.decode()).text(path).select(*place, F.col("value").cast("binary").alias("piece"))
+    sorted_ = raw.repartition("file").sortWithinPartitions("file", "start", "row")
+    parted = sorted_.select("file", "piece").mapInArrow(_records, "head string, block string, intact boolean")
     pairs = F.transform(F.split("head", r"\r\n"), lambda h: F.struct(F.lower(F.substring_index(h, ":", 1)).alias("key"), F.trim(F.regexp_replace(h, r"^[^:]*:", "")).alias("value")))
-    out = parted.select(F.map_from_entries(pairs).alias("headers"), "block")
-    return out.withColumn("intact", F.coalesce(F.octet_length("block") == F.col("headers")["content-length"].cast("int"), F.lit(False)))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return parted.select(F.map_from_entries(last).alias("headers"), "block", "intact")

@@ -532,3 +532,44 @@ def test_warc_round_trip(spark, tmp_path):
             assert r.headers["warc-refers-to"] in ids
     assert {r.block for r in back if r.headers["warc-type"] == "conversion"} == {"One\né", ""}
     assert any("http-header-Content-Type: text/html" in r.block for r in back if r.headers["warc-type"] == "metadata")
+
+
+def test_warc_reads_by_length(spark, tmp_path):
+    import gzip
+
+    mark = "\r\n\r\nWARC/1.1\r\n"
+    record = lambda block, length=None, name="n": f"WARC/1.1\r\nWARC-Type: resource\r\nX-Name: {name}\r\nContent-Length: {len(block.encode()) if length is None else length}\r\n\r\n{block}\r\n\r\n"
+    held = ["plain", f"a{mark}b", f"{mark}", f"Content-Length: 3\r\n\r\nabc{mark}WARC-Type: x\r\nContent-Length: 1\r\n\r\nz", "", "é" * 40_000 + mark * 3, "ends\r\n\r\n", "\r\n\r\n"]
+    for k, name in enumerate(("a.warc", "b.warc.gz")):
+        data = [record(x, name=f"{k}").encode() for x in held]
+        with open(tmp_path / name, "wb") as f:  # gzip: a member for each record
+            f.write(b"".join(gzip.compress(x) for x in data) if k else b"".join(data))
+    (tmp_path / "c.warc").write_bytes((record("good") + record("short", 9) + record("long", 2) + record("after") + record("cut", 10**6)).encode() + record("x").encode().replace(b"x", b"\xff"))
+    (tmp_path / "d.warc").write_bytes(b"")
+    (tmp_path / "e.warc").write_bytes(b"WARC/1.1\r\nX-Name: e\r\n\r\nno length\r\n\r\n")
+    for size in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = warc.read_warc(spark, str(tmp_path)).collect()
+        by = defaultdict(list)
+        for r in rows:
+            by[r.headers.get("x-name")].append((r.block, r.intact))
+        assert by["0"] == by["1"] == [(x, True) for x in held]
+        assert by["n"] == [("good", True), ("short", False), ("long", False), ("after", True), ("cut", False), ("\ufffd", True)]
+        assert by["e"] == [("no length", False)]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_remove_spans_keeps_the_rest(spark):
+    item = [f"w{k}" for k in range(13)]
+    passage = ", ".join(item).upper()
+    texts = [f"First: keep THIS! {passage}. And, that too...", f"{passage}", f"no Hit -- here\n", None, "", f"({passage}) ({passage})", f"x {passage}\n", f"Ünï {' '.join(item)} Ende"]
+    rows = [(k, t, "extra") for k, t in enumerate(texts)] + [(0, texts[0], "again"), (None, texts[0], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __hit string").withColumnRenamed("__hit", "item")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, None)], "item_id long, text string")
+    got = defaultdict(list)
+    for r in decontaminate.remove_spans(docs, items).collect():
+        got[r.doc_id].append((r.text, r.item))
+    assert sorted(got[0]) == [("First: keep THIS! . And, that too...", x) for x in ("again", "extra")]
+    assert got[None] == [("First: keep THIS! . And, that too...", None)]
+    want = {1: "", 2: texts[2], 3: None, 4: "", 5: "()", 6: "x \n", 7: "Ünï  Ende"}
+    assert {k: [t for t, _ in got[k]] for k in want} == {k: [t] for k, t in want.items()}
