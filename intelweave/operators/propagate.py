@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import kept
+from ..session import by_key, kept
 
 _NODE = ["report_id", "node_idx"]
 
@@ -16,7 +16,7 @@ _NODE = ["report_id", "node_idx"]
 def _sent(edges: DataFrame, features: DataFrame) -> DataFrame:
     """Each edge with the vector of its source, at its target."""
     sources = features.select("report_id", F.col("node_idx").alias("src"), "x")
-    return edges.select("report_id", "src", "dst").join(sources, ["report_id", "src"]).withColumnRenamed("dst", "node_idx")
+    return edges.select("report_id", "src", "dst").join(by_key(sources), ["report_id", "src"]).withColumnRenamed("dst", "node_idx")
 
 
 def _mean(df: DataFrame, keys: list[str], name: str = "v") -> DataFrame:
@@ -35,7 +35,7 @@ def mean_aggregate(edges: DataFrame, features: DataFrame, rounds: int = 1) -> Da
     for k in range(rounds):
         features = kept(features) if k else features
         near = _mean(_sent(edges, features), _NODE)
-        features = features.join(near, _NODE, "left").select(*_NODE, F.concat("x", _or_zeros(F.col("v"), F.col("x"))).alias("x"))
+        features = features.join(by_key(near), _NODE, "left").select(*_NODE, F.concat("x", _or_zeros(F.col("v"), F.col("x"))).alias("x"))
     return features
 
 
@@ -51,9 +51,9 @@ def gcn_aggregate(edges: DataFrame, features: DataFrame, rounds: int = 1) -> Dat
     degree = kept(degree) if rounds > 1 else degree
     for k in range(rounds):
         features = kept(features) if k else features
-        scaled = features.join(degree, _NODE).select(*_NODE, F.transform("x", lambda v: v / F.sqrt("d")).alias("x"))
+        scaled = features.join(by_key(degree), _NODE).select(*_NODE, F.transform("x", lambda v: v / F.sqrt("d")).alias("x"))
         near = _mean(_sent(every, scaled), _NODE)
-        features = near.join(degree, _NODE).select(*_NODE, F.transform("v", lambda v: v * F.col("n") / F.sqrt("d")).alias("x"))
+        features = near.join(by_key(degree), _NODE).select(*_NODE, F.transform("v", lambda v: v * F.col("n") / F.sqrt("d")).alias("x"))
     return features
 
 
@@ -61,13 +61,13 @@ def sum_aggregate(edges: DataFrame, features: DataFrame, eps: float = 0.0) -> Da
     """(1 + eps) x plus the sum of the neighbours'."""
     near = _mean(_sent(edges, features), _NODE)
     total = F.zip_with("x", _or_zeros(F.col("v"), F.col("x")), lambda a, b: (1 + eps) * a + b * F.coalesce("n", F.lit(0)))
-    return features.join(near, _NODE, "left").select(*_NODE, total.alias("x"))
+    return features.join(by_key(near), _NODE, "left").select(*_NODE, total.alias("x"))
 
 
 def relation_aggregate(edges: DataFrame, features: DataFrame) -> DataFrame:
     """(report_id, node_idx, relation, v): mean of the neighbours' by relation; edges carry relation."""
     sources = features.select("report_id", F.col("node_idx").alias("src"), "x")
-    sent = edges.join(sources, ["report_id", "src"]).withColumnRenamed("dst", "node_idx")
+    sent = edges.join(by_key(sources), ["report_id", "src"]).withColumnRenamed("dst", "node_idx")
     return _mean(sent, [*_NODE, "relation"]).drop("n")
 
 
@@ -86,7 +86,7 @@ def attention_weights(scores: DataFrame) -> DataFrame:
 
 def pool_attention(features: DataFrame, scores: DataFrame) -> DataFrame:
     """(report_id, att): sum of x weighted by the softmax of the scores."""
-    both = features.join(attention_weights(scores), _NODE)
+    both = features.join(by_key(attention_weights(scores)), _NODE)
     mean = both.groupBy("report_id").agg(vector_to_array(Summarizer.mean(array_to_vector(F.transform("x", lambda v: v * F.col("weight"))))).alias("v"), F.count(F.lit(1)).alias("n"))
     return mean.select("report_id", F.transform("v", lambda v: v * F.col("n")).alias("att"))
 
@@ -98,5 +98,5 @@ def gated_fusion(a, b, gate):
 
 def concat_readout(pooled: DataFrame, attention: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """(report_id, readout): mean, max and attention pools, then the report's own vector (report_id, v) if given."""
-    out = pooled.join(attention, "report_id").select("report_id", F.concat("mean", "max", "att").alias("readout"))
+    out = pooled.join(by_key(attention), "report_id").select("report_id", F.concat("mean", "max", "att").alias("readout"))
     return out if vectors is None else out.join(vectors, "report_id", "left").select("report_id", F.concat("readout", F.coalesce("v", F.array().cast("array<double>"))).alias("readout"))
