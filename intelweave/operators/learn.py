@@ -39,10 +39,11 @@ def stratified_split(rows: DataFrame, id_col: str, label: str, train: float = 0.
 def ranked_globally(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """rows with their place from 1 in a global order, without bringing all rows to one task.
 
-    Rows are sorted by range; the sizes of the partitions, one number each, give every partition its first place.
+    Rows are sorted by range; the sizes of the partitions, one number each, give every partition its first place. The
+    rows with their partition become a table first: made twice, rows could be cut into other ranges the second time.
     """
     key = rows.select("*", F.struct(*order).alias("__o"))
-    placed = key.repartitionByRange("__o").sortWithinPartitions("__o").withColumn("__p", F.spark_partition_id())
+    placed = kept(key.repartitionByRange("__o").withColumn("__p", F.spark_partition_id()))
     local = placed.withColumn("__k", F.row_number().over(W.partitionBy("__p").orderBy("__o")))
     sizes = local.groupBy("__p").agg(F.max("__k").alias("__n"))
     before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))  # one row per partition
