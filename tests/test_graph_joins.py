@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from intelweave.operators import graph as G
 from intelweave.operators import propagate as N
+from intelweave.plans import queries as Q
 from intelweave.session import kept
 
 
@@ -33,3 +34,13 @@ def test_edges_and_statistics_broadcast_the_rules_only(spark):
     assert _broadcasts(G.prune_edges(edges, nodes, 2)) == 0 == _broadcasts(G.degrees(edges, nodes))
     x = nodes.select("report_id", "node_idx", F.array(F.lit(1.0)).alias("x"))
     assert _broadcasts(N.mean_aggregate(edges, x)) == _broadcasts(N.gcn_aggregate(edges, x)) == _broadcasts(N.sum_aggregate(edges, x)) == 0
+
+
+def test_g9_takes_whole_graphs(spark, monkeypatch):
+    """Nodes of every label count, so that a graph of 36 nodes is small and one of 37 is not."""
+    rows = [(r, 0, "ORG", f"o{k}", k) for r, n in (("r1", 36), ("r2", 37)) for k in range(n)]
+    found = spark.createDataFrame(rows, "report_id string, paragraph_index int, label string, text string, ordinal int").select("*", F.lit(0).alias("start"), F.lit(1).alias("end"))
+
+    monkeypatch.setattr(Q.Tables, "entities", found)
+    got = Q.QUERIES["g9_edges_small_graph"](spark, None)
+    assert {tuple(r) for r in got.groupBy("report_id").count().collect()} == {("r1", 36 * 35 // 2)}
