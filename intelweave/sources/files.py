@@ -41,17 +41,17 @@ def build_report_index(spark: SparkSession, pdf_roots: list[str], text_roots: li
 
     name tells a report's name from file_path; without it the file's stem is its name.
     """
-    roots = [] if only_txt else [scan_files(spark, r, (".pdf",)) for r in pdf_roots]
-    roots += [scan_files(spark, r, TEXT_SUFFIXES) for r in text_roots]
+    # a root that is given twice is listed once
+    roots = [] if only_txt else [scan_files(spark, r, (".pdf",)) for r in dict.fromkeys(pdf_roots)]
+    roots += [scan_files(spark, r, TEXT_SUFFIXES) for r in dict.fromkeys(text_roots)]
     if not roots:
         raise ValueError("no report files")
     files = roots[0]
     for more in roots[1:]:
         files = files.unionByName(more)
-    named = index_files(files.select(F.col("path").alias("file_path")), name)
-    if named.isEmpty():
+    if files.isEmpty():
         raise ValueError("no report files")
-    return named
+    return index_files(files.select(F.col("path").alias("file_path")), name)
 
 
 def index_files(files: DataFrame, name: Column | None = None) -> DataFrame:

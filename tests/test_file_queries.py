@@ -26,3 +26,11 @@ def test_s17_files_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
     texts = [p.read_text() for p in Path(seen[0]).glob("*.txt")]
     counts = [t.count("Actor used") for t in texts]
     assert sum(counts) == 1100 and max(counts) <= 500
+
+
+def test_s2_lists_a_root_that_is_given_twice_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "APT28_20200101_ESET_x.txt").write_text("x")
+    seen, scan = [], S.scan_files
+    monkeypatch.setattr(S, "scan_files", lambda spark, root, *rest: seen.append(root) or scan(spark, root, *rest))
+    assert S.build_report_index(spark, [], [str(tmp_path)] * 2).count() == 1
+    assert seen == [str(tmp_path)]
