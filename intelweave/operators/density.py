@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from ..session import kept, lookup
 from .components import connected_components
 
-#: Points of one block: a task compares two blocks at once.
+#: Points of one block at least: a task compares two blocks.
 HELD = 1024
+#: A block of a larger table holds a so-many-th of its points, but no more bytes of vectors than these.
+SPREAD, HELD_BYTES = 12, 32 << 20
+#: Points of each block that are compared at once.
+CHUNK = 1024
 
 
 def _cells(points: DataFrame, eps: float, directions: int) -> DataFrame:
@@ -62,59 +66,106 @@ def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
     return left, right, same
 
 
-def _counted(eps: float):
+def _vectors(rows: pd.DataFrame) -> np.ndarray:
+    return np.stack(rows.v.to_list())
+
+
+def _chunks(left: int, right: int, chunk: int):
+    """Slices of both sides that are compared at once."""
+    return [(slice(i, i + chunk), slice(j, j + chunk)) for i in range(0, left, chunk) for j in range(0, right, chunk)]
+
+
+def _counted(eps: float, chunk: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _sides(rows)
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "n": []})
-        near = _near(np.stack(left.v.to_list()), np.stack(right.v.to_list()), eps)
-        mine = pd.DataFrame({"id": left.id, "n": near @ right.weight.to_numpy()})
-        return mine if same else pd.concat([mine, pd.DataFrame({"id": right.id, "n": near.T @ left.weight.to_numpy()})])
+        a, b, of_a, of_b = _vectors(left), _vectors(right), left.weight.to_numpy(), right.weight.to_numpy()
+        n_a, n_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        for x, y in _chunks(len(a), len(b), chunk):
+            near = _near(a[x], b[y], eps)
+            n_a[x] += near @ of_b[y]
+            if not same:
+                n_b[y] += near.T @ of_a[x]
+        mine = pd.DataFrame({"id": left.id, "n": n_a})
+        return mine if same else pd.concat([mine, pd.DataFrame({"id": right.id, "n": n_b})])
 
     return run
 
 
-def _linked(eps: float):
+def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The root of each place; what is passed on the way is hung to it."""
+    found = parent[at]
+    while (more := parent[found] != found).any():
+        found[more] = parent[found[more]]
+    parent[at] = found
+    return found
+
+
+def _join(parent: np.ndarray, links: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> None:
+    """One root for all places that links (rows at_a, columns at_b) connect."""
+    if not links.any() or not (links & (_roots(parent, at_a)[:, None] != _roots(parent, at_b)[None, :])).any():
+        return
+    free = np.ones(len(at_a), bool)
+    for k in range(len(at_a)):
+        if not free[k] or not links[k].any():
+            continue
+        mine, theirs = np.zeros(len(at_a), bool), links[k].copy()
+        while True:  # from one side to the other until nothing is added
+            more = links[:, theirs].any(1)
+            if (more == mine).all():
+                break
+            mine, theirs = more, theirs | links[more].any(0)
+        free &= ~mine
+        roots = _roots(parent, np.concatenate([at_a[mine], at_b[theirs]]))
+        parent[roots] = roots.min()
+
+
+def _linked(eps: float, chunk: int):
     """Links of core points, as stars of what is connected within the unit, and for each other point its least core neighbour."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _sides(rows)
-        out: list[pd.DataFrame] = []
-        if len(left) and len(right):
-            near = _near(np.stack(left.v.to_list()), np.stack(right.v.to_list()), eps)
-            for x, y, m in ((left, right, near), *(() if same else ((right, left, near.T),))):
-                ids, cores = y.id.to_numpy(), y.core.to_numpy()
-                order = np.argsort(ids, kind="stable")
-                order = order[cores[order]]
-                m = m[:, order]
-                has = m.any(1) & ~x.core.to_numpy() if len(order) else np.zeros(len(x), bool)
-                out.append(pd.DataFrame({"src": x.id.to_numpy()[has], "dst": ids[order][m[has].argmax(1)] if has.any() else [], "core": False}))
-            a, b = left.core.to_numpy(), right.core.to_numpy()
-            links, a_ids, b_ids = near[a][:, b], left.id.to_numpy()[a], right.id.to_numpy()[b]
-            free = np.ones(len(a_ids), bool)
-            for k in range(len(a_ids)):
-                if not free[k] or not links[k].any():
-                    continue
-                mine, theirs = np.zeros(len(a_ids), bool), links[k].copy()
-                while True:  # from one side to the other until nothing is added
-                    more = links[:, theirs].any(1)
-                    if (more == mine).all():
-                        break
-                    mine, theirs = more, theirs | links[more].any(0)
-                free &= ~mine
-                out.append(pd.DataFrame({"src": a_ids[k], "dst": np.concatenate([a_ids[mine], b_ids[theirs]]), "core": True}))
-        return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "core": []})
+        if not len(left) or not len(right):
+            return pd.DataFrame({"src": [], "dst": [], "core": []})
+        left, right = left.sort_values("id", kind="stable"), right.sort_values("id", kind="stable")
+        a, b, core_a, core_b = _vectors(left), _vectors(right), left.core.to_numpy(), right.core.to_numpy()
+        ids_a, ids_b = left.id.to_numpy(), right.id.to_numpy()
+        ids, begin = (ids_a, 0) if same else (np.concatenate([ids_a, ids_b]), len(a))
+        parent, linked = np.arange(len(ids)), np.zeros(len(ids), bool)
+        first_a, first_b = np.full(len(a), len(b)), np.full(len(b), len(a))
+        for x, y in _chunks(len(a), len(b), chunk):
+            near = _near(a[x], b[y], eps)
+            for first, m, start in ((first_a[x], near & core_b[y], y.start), (first_b[y], near.T & core_a[x], x.start)):
+                has = m.any(1)
+                first[has] = np.minimum(first[has], start + m[has].argmax(1))  # sides are in order of id
+            at_a, at_b = x.start + np.flatnonzero(core_a[x]), begin + y.start + np.flatnonzero(core_b[y])
+            links = near[core_a[x]][:, core_b[y]]
+            linked[at_a[links.any(1)]] = linked[at_b[links.any(0)]] = True
+            _join(parent, links, at_a, at_b)
+        out = []
+        for own, core, first, other in ((ids_a, core_a, first_a, ids_b), *(() if same else ((ids_b, core_b, first_b, ids_a),))):
+            has = ~core & (first < len(other))
+            out.append(pd.DataFrame({"src": own[has], "dst": other[first[has]], "core": False}))
+        some = np.flatnonzero(linked)
+        out.append(pd.DataFrame({"src": ids[_roots(parent, some)], "dst": ids[some], "core": True}))
+        return pd.concat(out)
 
     return run
 
 
+def _held(points: int, size: int) -> int:
+    """Points of a block: a share of all, so that a point goes to as many tasks in a large table as in a small one, until memory bounds it."""
+    return max(HELD, min(points // SPREAD, HELD_BYTES // (8 * size)))
+
+
 def dbscan(points: DataFrame, eps: float, min_points: int, id_col: str = "report_id", vector_col: str = "v", directions: int = 3) -> DataFrame:
     """(id, n_near, core, cluster): density clusters of vectors by Euclidean distance.
 
     n_near counts the points within eps, the point itself among them; from min_points on it is a core point. Core points
     within eps of each other share a cluster, named by its least core id. Another point within eps of core points takes the
     cluster of the one of least id; the rest is noise, with a null cluster. Ids are unique. Equal vectors are one point
-    of their number. Points are dealt out by cells of a few directions, large cells in blocks of HELD points; exact
+    of their number. Points are dealt out by cells of a few directions, large cells in blocks of _held points; exact
     for any directions, which only decide how many blocks meet. Null vectors are noise of no neighbours.
     """
     kind = points.schema[id_col].dataType.simpleString()
@@ -130,17 +181,19 @@ def dbscan(points: DataFrame, eps: float, min_points: int, id_col: str = "report
 
 
 def _judged(points: DataFrame, eps: float, min_points: int, directions: int, kind: str) -> DataFrame:
-    directions = min(directions, len(points.head().v))
+    size = len(points.head().v)
+    directions = min(directions, size)
     placed = kept(_cells(points, eps, directions))
-    cells = kept(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("n_blocks", F.ceil(F.col("n") / HELD).cast("int")))
+    held = _held(placed.count(), size)
+    cells = kept(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("n_blocks", F.ceil(F.col("n") / held).cast("int")))
     dealt = lookup(placed, cells, ["cell"], "n", "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     units = kept(_units(cells, directions))
     home = F.concat_ws(" ", F.array_join(F.transform("cell", lambda x: x.cast("string")), ","), "block")
     met = lambda rows: units.join(rows, ["cell", "block"]).withColumn("home", home)
-    counts = met(dealt).select("unit", "side", "home", "id", "v", "weight").groupBy("unit").applyInPandas(_counted(eps), f"id {kind}, n long")
+    counts = met(dealt).select("unit", "side", "home", "id", "v", "weight").groupBy("unit").applyInPandas(_counted(eps, CHUNK), f"id {kind}, n long")
     near = kept(counts.groupBy("id").agg(F.sum("n").alias("n_near")).withColumn("core", F.col("n_near") >= min_points))
     flagged = dealt.join(near.select("id", "core"), "id")
-    links = kept(met(flagged).select("unit", "side", "home", "id", "v", "core").groupBy("unit").applyInPandas(_linked(eps), f"src {kind}, dst {kind}, core boolean"))
+    links = kept(met(flagged).select("unit", "side", "home", "id", "v", "core").groupBy("unit").applyInPandas(_linked(eps, CHUNK), f"src {kind}, dst {kind}, core boolean"))
     joined = connected_components(links.filter("core").select("src", "dst"))
     cores = kept(near.filter("core").select(F.col("id").alias("node")).join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"), F.lit(1).alias("n")))
     beside = links.filter("not core").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("node"))
