@@ -19,8 +19,16 @@ def _sent(edges: DataFrame, features: DataFrame) -> DataFrame:
     return edges.select("report_id", "src", "dst").join(by_key(sources), ["report_id", "src"]).withColumnRenamed("dst", "node_idx")
 
 
-def _mean(df: DataFrame, keys: list[str], name: str = "v") -> DataFrame:
-    return df.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("x")))).alias(name), F.count(F.lit(1)).alias("n"))
+def _width(features: DataFrame) -> int:
+    """Numbers in a vector; a look at one row."""
+    first = features.filter("x is not null").select(F.size("x").alias("n")).head()
+    return first.n if first else 0
+
+
+def _mean(df: DataFrame, keys: list[str], width: int, name: str = "v") -> DataFrame:
+    """Means of the vectors, a column for each place: rows are added up by hash before they are dealt out, which vectors as objects are not."""
+    means = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("x")[k]).alias(f"__{k}") for k in range(width)])
+    return means.select(*keys, F.array(*[F.col(f"__{k}") for k in range(width)]).cast("array<double>").alias(name), "n")
 
 
 def _or_zeros(v, x):
@@ -34,7 +42,7 @@ def mean_aggregate(edges: DataFrame, features: DataFrame, rounds: int = 1) -> Da
     """
     for k in range(rounds):
         features = kept(features) if k else features
-        near = _mean(_sent(edges, features), _NODE)
+        near = _mean(_sent(edges, features), _NODE, _width(features))
         features = features.join(by_key(near), _NODE, "left").select(*_NODE, F.concat("x", _or_zeros(F.col("v"), F.col("x"))).alias("x"))
     return features
 
@@ -52,14 +60,14 @@ def gcn_aggregate(edges: DataFrame, features: DataFrame, rounds: int = 1) -> Dat
     for k in range(rounds):
         features = kept(features) if k else features
         scaled = features.join(by_key(degree), _NODE).select(*_NODE, F.transform("x", lambda v: v / F.sqrt("d")).alias("x"))
-        near = _mean(_sent(every, scaled), _NODE)
+        near = _mean(_sent(every, scaled), _NODE, _width(features))
         features = near.join(by_key(degree), _NODE).select(*_NODE, F.transform("v", lambda v: v * F.col("n") / F.sqrt("d")).alias("x"))
     return features
 
 
 def sum_aggregate(edges: DataFrame, features: DataFrame, eps: float = 0.0) -> DataFrame:
     """(1 + eps) x plus the sum of the neighbours'."""
-    near = _mean(_sent(edges, features), _NODE)
+    near = _mean(_sent(edges, features), _NODE, _width(features))
     total = F.zip_with("x", _or_zeros(F.col("v"), F.col("x")), lambda a, b: (1 + eps) * a + b * F.coalesce("n", F.lit(0)))
     return features.join(by_key(near), _NODE, "left").select(*_NODE, total.alias("x"))
 
@@ -68,7 +76,7 @@ def relation_aggregate(edges: DataFrame, features: DataFrame) -> DataFrame:
     """(report_id, node_idx, relation, v): mean of the neighbours' by relation; edges carry relation."""
     sources = features.select("report_id", F.col("node_idx").alias("src"), "x")
     sent = edges.join(by_key(sources), ["report_id", "src"]).withColumnRenamed("dst", "node_idx")
-    return _mean(sent, [*_NODE, "relation"]).drop("n")
+    return _mean(sent, [*_NODE, "relation"], _width(features)).drop("n")
 
 
 def pool(features: DataFrame) -> DataFrame:
