@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, blocks, lookup, tokenizer_path, written
+from .common import alone, blocks, lookup, rested, tokenizer_path, written
 
 PIECES = "piece_bpe_32k.model"
 #: Cut before a blank that follows no white space, but not before the last character: B gives nothing for an empty rest.
@@ -236,7 +236,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a: st
     key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("digest"))
     distinct = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
-    texts = written(distinct.select(F.unhex(F.sha2("text", 256)).alias("digest"), "copies", "text").mapInArrow(_aligned(tokenizer_path(a), tokenizer_path(b)), f"digest binary, copies long, {_MEASURES}, pair array<long>, links array<long>"))
+    texts = written(distinct.select(F.unhex(F.sha2("text", 256)).alias("digest"), "copies", "text").mapInArrow(rested(_aligned(tokenizer_path(a), tokenizer_path(b))), f"digest binary, copies long, {_MEASURES}, pair array<long>, links array<long>"))
 
     each = texts.select("digest", "copies", F.explode(F.arrays_zip("pair", "links")).alias("p")).select("digest", "copies", F.col("p.pair").alias("pair"), F.col("p.links").alias("links"))
     counted = each.groupBy("pair").agg(F.sum(F.col("links") * F.col("copies")).alias("count"), F.count(F.lit(1)).alias("n_texts"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, blocks, written
+from .common import alone, blocks, rested, written
 from .shingles import WIDTH, mix, shingles
 
 BANDS, ROWS = 36, 5
@@ -317,16 +317,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind = plain.schema["__id"].dataType.simpleString()
-    signed = written(plain.mapInArrow(lambda b: _sign(b, width), f"__id {kind}, cls long, n long, sig binary, keys binary"))
+    signed = written(plain.mapInArrow(rested(lambda b: _sign(b, width)), f"__id {kind}, cls long, n long, sig binary, keys binary"))
     classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("__id").alias("rep"), F.count(F.lit(1)).alias("docs"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    buckets = classes.select("cls", "keys").mapInArrow(_bucket_rows, "key long, cls long").repartition("key").mapInArrow(_full, "key long, cls long, first long")
+    buckets = classes.select("cls", "keys").mapInArrow(rested(_bucket_rows), "key long, cls long").repartition("key").mapInArrow(rested(_full), "key long, cls long, first long")
     buckets = written(buckets)
     sigs = classes.select("cls", "sig")
 
     def pruned(pairs: DataFrame, at: float) -> DataFrame:
         x = sigs.withColumnsRenamed({"cls": "x", "sig": "xs"})
         y = sigs.withColumnsRenamed({"cls": "y", "sig": "ys"})
-        return pairs.distinct().join(x, "x").join(y, "y").select("x", "y", "xs", "ys").mapInArrow(_prune(at), "x long, y long, share double")
+        return pairs.distinct().join(x, "x").join(y, "y").select("x", "y", "xs", "ys").mapInArrow(rested(_prune(at)), "x long, y long, share double")
 
     stars = pruned(buckets.filter("cls <> first").select(F.col("cls").alias("x"), F.col("first").alias("y")), LABEL)
     label = stars.filter(F.col("share") >= LABEL).groupBy(F.col("x").alias("cls")).agg(F.min("y").alias("label"))
@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The values come to the buckets, so that only pairs that pass become rows.
     shown = tested.join(sigs.withColumnRenamed("cls", "by"), "by").select("label", (F.col("members") == 1).alias("single"), "sig")
     met = buckets.select("key", "cls").join(involved, "cls").select("key", "label").distinct().join(shown, "label").select("key", "label", "single", "sig").repartition("key")
-    passed = written(met.mapInArrow(lambda b: _merged(_label_pairs(b, threshold, max(0.01, LABEL - 0.15 + threshold - 1))), "a long, b long").distinct())
+    passed = written(met.mapInArrow(rested(lambda b: _merged(_label_pairs(b, threshold, max(0.01, LABEL - 0.15 + threshold - 1)))), "a long, b long").distinct())
     # labels that meet form families around the least of them, so that many small labels share blocks
     both_ways = passed.select(F.col("a").alias("label"), F.col("b").alias("other")).unionByName(passed.select(F.col("b").alias("label"), F.col("a").alias("other")))
     family = written(both_ways.groupBy("label").agg(F.least(F.min("other"), F.first("label")).alias("family")))
@@ -372,9 +372,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             picked = [rows.column(k).take(pa.array(right)) for k in range(1, 6)]
             yield pa.RecordBatch.from_arrays([*picked, sets], ["cls", "label", "chunk", "docs", "sig", "set"])
 
-    sets = texts.select("__text", "__cls", "label", "chunk", "docs", "sig").mapInArrow(with_sets, "cls long, label long, chunk int, docs long, sig binary, set binary")
+    sets = texts.select("__text", "__cls", "label", "chunk", "docs", "sig").mapInArrow(rested(with_sets), "cls long, label long, chunk int, docs long, sig binary, set binary")
     ready = wanted.join(sets, ["label", "chunk"]).select("unit", "side", "cls", "docs", "sig", "set").repartition("unit").sortWithinPartitions("unit")
-    linked = written(ready.mapInArrow(lambda b: _blocks_linked(b, threshold), "cls long, links long, least long"))
+    linked = written(ready.mapInArrow(rested(lambda b: _blocks_linked(b, threshold)), "cls long, links long, least long"))
     roots = components(linked.select("cls", "least"))
     n_links = linked.groupBy("cls").agg(F.sum("links").alias("links"))
     facts = classes.select("cls", "rep", "docs").join(n_links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER, blocks, tokenizer_path
+from .common import TOKENIZER, blocks, rested, tokenizer_path
 from .transducer import transducer
 
 #: Open windows of a task after which the emptiest are used up.
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
     plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind = plain.schema["__id"].dataType.simpleString()
-    out = plain.mapInArrow(run, f"__id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    out = plain.mapInArrow(rested(run), f"__id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("__id", id_col)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER, blocks, tokenizer_path
+from .common import TOKENIZER, blocks, rested, tokenizer_path
 from .transducer import transducer
 
 
@@ -28,5 +28,5 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), pa.array(machine.count_texts(texts))], ["__id", "n_bytes", "n_tokens"])
 
     plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    counted = plain.mapInArrow(run, f"__id {plain.schema['__id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    counted = plain.mapInArrow(rested(run), f"__id {plain.schema['__id'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.select(F.col("__id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
