@@ -356,6 +356,22 @@ def test_line_dedup_loses_no_pair_within_the_sure_edits(spark, rng):
     assert got == {0: (0, 0), 1: (0, len(lines))}
 
 
+def test_line_dedup_finds_all_pairs_within_the_share(spark, rng):
+    """As many edits as are allowed, as evenly as can be, and one more; lines of 20 to 39 characters may have one, with and without blanks."""
+    lines = [(" " if k % 3 else "").join(rng.choice([f"w{n}" for n in range(500)], 200))[: int(n)] for k, n in enumerate([*range(20, 70), *rng.integers(70, 900, 50)])]
+
+    def edited(x, n):
+        y = list(x)
+        for at in [int((i + 0.5) * len(x) / n) for i in range(n)]:
+            y[at] = "#"
+        return "".join(y)
+
+    near, far = [edited(x, len(x) // 20) for x in lines], [edited(x, len(x) // 20 + 1).replace("#", "~") for x in lines]
+    docs = _docs(spark, ["\n".join(lines), "\n".join(near), "\n".join(far), "a line of nineteen.\na line of nineteen!"]).filter("doc_id is not null")
+    got = {r.doc_id: (r.equal_lines, r.near_lines) for r in line_dedup.repeated_lines(docs, share=line_dedup.SHARE, short_words=1).collect()}
+    assert sorted(got[1][1]) == list(range(len(lines))) and got[0] == got[2] == got[3] == ([], [])
+
+
 def test_line_dedup_of_a_large_group(spark, rng, monkeypatch):
     """Groups larger than GROUP are dealt out as pairs of chunks; columns with the names of results stay in texts_left."""
     monkeypatch.setattr(line_dedup, "GROUP", 8)
