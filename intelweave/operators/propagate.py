@@ -35,30 +35,32 @@ def _or_zeros(v, x):
     return F.coalesce(v, F.transform(x, lambda _: F.lit(0.0)))
 
 
-def mean_aggregate(edges: DataFrame, features: DataFrame, rounds: int = 1) -> DataFrame:
+def mean_aggregate(edges: DataFrame, features: DataFrame, rounds: int = 1, parts: int | None = None) -> DataFrame:
     """Own vector followed by the mean of the neighbours', round after round; zeros without neighbours.
 
     Each round reads features twice: before a further round they become a table, so that its plan is as large as the first's.
+    parts are those of kept tables of edges and features.
     """
     for k in range(rounds):
-        features = kept(features) if k else features
+        features = kept(features, parts) if k else features
         near = _mean(_sent(edges, features), _NODE, _width(features))
         features = features.join(by_key(near), _NODE, "left").select(*_NODE, F.concat("x", _or_zeros(F.col("v"), F.col("x"))).alias("x"))
     return features
 
 
-def gcn_aggregate(edges: DataFrame, features: DataFrame, rounds: int = 1) -> DataFrame:
+def gcn_aggregate(edges: DataFrame, features: DataFrame, rounds: int = 1, parts: int | None = None) -> DataFrame:
     """Sum over neighbours and the node itself of x / sqrt(d_i d_j); d counts incoming edges and the added loop.
 
-    With more rounds than one, the degrees and each round's features are tables, and plans stay of one size.
+    With more rounds than one, the degrees and each round's features are tables, and plans stay of one size. parts as in mean_aggregate.
     """
     plain = edges.filter("src <> dst").select("report_id", "src", "dst")
     loops = features.select("report_id", F.col("node_idx").alias("src"), F.col("node_idx").alias("dst"))
     every = plain.unionByName(loops)
+    every = every if parts is None else kept(every, parts)
     degree = every.groupBy("report_id", F.col("dst").alias("node_idx")).agg(F.count(F.lit(1)).alias("d"))
-    degree = kept(degree) if rounds > 1 else degree
+    degree = kept(degree, parts) if rounds > 1 else degree
     for k in range(rounds):
-        features = kept(features) if k else features
+        features = kept(features, parts) if k else features
         scaled = features.join(by_key(degree), _NODE).select(*_NODE, F.transform("x", lambda v: v / F.sqrt("d")).alias("x"))
         near = _mean(_sent(every, scaled), _NODE, _width(features))
         features = near.join(by_key(degree), _NODE).select(*_NODE, F.transform("v", lambda v: v * F.col("n") / F.sqrt("d")).alias("x"))

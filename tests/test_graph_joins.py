@@ -44,3 +44,22 @@ def test_g9_takes_whole_graphs(spark, monkeypatch):
     monkeypatch.setattr(Q.Tables, "entities", found)
     got = Q.QUERIES["g9_edges_small_graph"](spark, None)
     assert {tuple(r) for r in got.groupBy("report_id").count().collect()} == {("r1", 36 * 35 // 2)}
+
+
+def test_edges_are_made_where_reports_lie(spark):
+    """Tables dealt out by report: no edge is shuffled, and edges, sums and degrees are those of tables that lie anyhow."""
+    from intelweave.plans import views as V
+    from intelweave.session import co_partitioned
+
+    found = V.entities(spark, "/root/testdata/sf0.001")
+    plain_nodes = kept(G.min_entities_filter(G.build_nodes(kept(found))))
+    dealt = kept(found.repartition(3, "report_id"), 3)
+    nodes = kept(G.min_entities_filter(G.build_nodes(dealt)), 3)
+    edges = kept(G.build_edges(dealt, nodes, parts=3), 3)
+    want = G.build_edges(found, plain_nodes)
+    assert edges.exceptAll(want).isEmpty() and want.exceptAll(edges).isEmpty()
+    with co_partitioned(spark):
+        for made in (G.edges_cross_paragraph(G.mentions(dealt, nodes)), G.prune_edges(edges, nodes, 8), G.degrees(edges, nodes)):
+            assert "Exchange hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    assert G.degrees(edges, nodes).exceptAll(G.degrees(want, plain_nodes)).isEmpty()
